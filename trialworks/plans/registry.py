@@ -1,0 +1,11 @@
+"""Queries over the driver's tables and their DuckDB counterparts."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
