@@ -16,6 +16,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+EXACT_SQL = r"""
+with d as (select doc_id, length(coalesce(text, '')) as chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as bytes from documents),
+k as (select bytes, count(*) as group_size, arg_min(doc_id, [-chars, doc_id]) as keep_id from d group by bytes)
+select d.doc_id, k.keep_id, k.group_size, d.doc_id = k.keep_id as kept, sha256(d.bytes) as text_sha256 from d join k using (bytes)
+"""
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trialworks.llm.tokens import count_tokens
 
@@ -28,9 +35,29 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trialworks.llm.exact import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trialworks.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trialworks.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from trialworks.llm.mixing import MIX_SQL
+
+    return {"op6_exact_dedup": EXACT_SQL, "op7_source_mixing": MIX_SQL.format(docs="documents")}
