@@ -62,7 +62,8 @@ def mix(
     docs: DataFrame, block_size: int = 16_384, cycle: int = 256, power: float = 0.5, weights: DataFrame | None = None,
     text: str = "text", doc_id: str = "doc_id", source: str = "source",
 ) -> DataFrame:
-    """Places every document on a line of slots: doc_id, source, size, block, release, deadline, slot, slot_offset.
+    """Places every document on a line of slots: doc_id, source, size, block, release, deadline, slot, slot_offset,
+    and text_hash, which tells apart rows that repeat an id.
 
     A source's documents, in an order that a hash of the id fixes, form a line of bytes (each document counts its
     UTF-8 bytes and one more); ``block_size`` bytes are a block, and a document belongs to the block where it starts.
@@ -77,7 +78,7 @@ def mix(
     empty result. Other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
-                       (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"))
+                       (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"))
     # About a thousand buckets a source at any size; a bucket is cut further where it would hold many rows.
     n = rows.count()
     buckets = max(1024, n // 2048)
@@ -101,7 +102,18 @@ def mix(
     rows = rows.join(plan.select("key", "share", "cycle").distinct(), "key").withColumn("k", F.col("block") % F.col("share")).withColumn("turn", size)
     rows = rows.join(plan.select("key", "k", "release", "deadline", "slot"), ["key", "k"])
     at = [(F.col("turn") + F.col(c)).cast("long").alias(c) for c in ("release", "deadline", "slot")]
-    return rows.select("doc_id", "source", "size", "block", *at, "slot_offset")
+    return rows.select("doc_id", "source", "size", "block", *at, "slot_offset", "text_hash")
+
+
+def in_mixed_order(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` in the order of :func:`mix`: ranges of slots are partitions, sorted within."""
+    cols = docs.columns
+    at = mix(docs, text=text, doc_id=doc_id, **options).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("slot").alias("__slot"), F.col("slot_offset").alias("__at"))
+    at = at.groupBy("__id", "__hash").agg(F.min(F.struct("__slot", "__at")).alias("__place"))
+    rows = docs.withColumn("__row_hash", F.xxhash64(text))
+    rows = rows.join(at, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__row_hash") == F.col("__hash")))
+    order = ["__place.__slot", doc_id]
+    return rows.repartitionByRange(*order).sortWithinPartitions("__place", doc_id).select(*[F.col(f"`{c}`") for c in cols])
 
 
 #: The same in DuckDB, for the defaults. {docs} is the table.

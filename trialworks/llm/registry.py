@@ -62,7 +62,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trialworks.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trialworks.llm.suffix import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
