@@ -65,7 +65,9 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
                     o.append(x)
         at = stop
     kinds = (np.int64, np.int64, np.int64, U)
-    return tuple(np.concatenate([np.empty(0, k), *o]).astype(k, copy=False) for k, o in zip(kinds, out))
+    doc, first, last, h = (np.concatenate([np.empty(0, k), *o]).astype(k, copy=False) for k, o in zip(kinds, out))
+    h = h * U(0xA24BAED4963EE407)  # least hashes are small numbers: spread them, since buckets go by the high bits
+    return doc, first, last, h ^ (h >> U(32))
 
 
 def keyed_words(buf: np.ndarray) -> np.ndarray:
@@ -140,7 +142,7 @@ def _split(blob: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 50, block_bytes: int = 4_000_000, bucket_bytes: int = 24_000_000, parts: int = 8, text: str = "text", doc_id: str = "doc_id",
+    docs: DataFrame, length: int = 50, block_bytes: int = 2_000_000, bucket_bytes: int = 24_000_000, parts: int = 32, text: str = "text", doc_id: str = "doc_id",
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (bytes) of every row.
 
