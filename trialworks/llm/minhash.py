@@ -15,6 +15,7 @@ from trialworks.storage import written
 #: Universe of the permutations, as a power of two.
 UNIVERSE_BITS = 22
 REMEMBERED = 400_000
+BITS = ["b0", "b1", "b2", "b3"]
 
 
 class WordHashes(dict):
@@ -80,7 +81,7 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n (set size), d1 and d2 (an order-free 128-bit digest of the set), keys (one a band), low (8 bits a coordinate)."""
+    """doc_id, n (set size), d1 and d2 (an order-free 128-bit digest of the set), keys (one a band), low (8 bits a coordinate), b0 to b3 (one bit a coordinate)."""
 
     def run(batches):
         import pyarrow as pa
@@ -88,7 +89,7 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
         words = WordHashes()
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                part, n, d1, d2, keys, low = b.slice(at, 256), [], [], [], [], []
+                part, n, d1, d2, keys, low, bits = b.slice(at, 256), [], [], [], [], [], []
                 for t in part.column("text").to_pylist():
                     s = shingle_set(t, k, words)
                     n.append(len(s))
@@ -97,10 +98,12 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     sig = signature(s, bands * rows) if len(s) else None
                     keys.append(None if sig is None else band_keys(sig, rows))
                     low.append(None if sig is None else sig.astype(np.uint8).tobytes())
+                    bits.append(np.zeros(4, np.int64) if sig is None else np.frombuffer(np.packbits(sig[:256] & 1).tobytes().ljust(32, b"\0"), np.int64))
                 cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "d1", "d2", "keys", "low"])
+                cols += [pa.array([x[i] for x in bits], pa.int64()) for i in range(4)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "d1", "d2", "keys", "low", *BITS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>, low binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>, low binary, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def _agreement(a: Column, b: Column) -> Column:
@@ -149,9 +152,9 @@ def near_duplicates(
     rows a pair at similarity 0.8 shares a bucket but for about 3 in a million, a closer one more surely still. First
     each bucket's members are checked against its least member only, and the confirmed links are closed to components.
     Then, in buckets whose members are still in several components, members outside the largest component meet the
-    members of other components: no pair within a component is ever made. Candidates of incompatible size, or whose
-    signatures agree less than percent / 100 - ``margin`` (over six standard deviations), are left out; the rest is
-    confirmed on the full sets of the whole texts. No group is capped.
+    members of other components: no pair within a component is ever made. A candidate of incompatible size, or one whose
+    signatures disagree by over six standard deviations more than linked texts' would, is left out inside the join; the
+    rest is confirmed on the full sets of the whole texts. No group is capped.
 
     Empty and null texts have no shingles and are linked with nothing. Rows with a null id are never linked: their
     component is null and they are kept. Rows repeating an id are one node, with the links of all their texts. An empty
@@ -162,7 +165,7 @@ def near_duplicates(
     digest = ["n", "d1", "d2"]
     first = sk.where("n > 0 and doc_id is not null").groupBy(*digest).agg(F.min(F.struct("doc_id", "row")).alias("rep"))
     first = written(first.select(*digest, "rep.doc_id", "rep.row").withColumnRenamed("doc_id", "rep"), "classes")
-    reps = sk.join(first.select("row", "rep"), "row").select("rep", "n", "keys", "low", "row")
+    reps = sk.join(first.select("row", "rep"), "row").select("rep", "n", "keys", "low", *BITS, "row")
     members = sk.select("doc_id", *digest).join(first.drop("row"), digest, "left")
     reps = written(reps.drop("row"), "representatives")
 
@@ -189,10 +192,15 @@ def near_duplicates(
 
     named = hits.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
     several = named.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("m", "label"))["label"].alias("largest")).where("labels > 1")
-    open_ = written(named.join(several.select("key", "largest"), "key"), "open-buckets")
+    open_ = named.join(several.select("key", "largest"), "key").join(reps.select("rep", "n", *BITS), ["rep", "n"])
+    open_ = written(open_, "open-buckets")
     a, b = open_.where("label <> largest").alias("a"), open_.alias("b")
     outside = (F.col("b.label") == F.col("b.largest")) | (F.col("a.rep") < F.col("b.rep"))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & outside & fits(F.col("a.n"), F.col("b.n")))
+    # One bit of each coordinate differs with probability (1 - similarity) / 2; six standard deviations are allowed.
+    count, p = min(256, bands * rows), (1 - percent / 100) / 2
+    apart = sum((F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in BITS), F.lit(0))
+    close = apart <= int(count * p + 6 * (count * p * (1 - p)) ** 0.5) + 1
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & outside & fits(F.col("a.n"), F.col("b.n")) & close)
     pairs = pairs.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = written(confirmed(pairs), "links")
     if not more.isEmpty():
