@@ -1,11 +1,451 @@
-"""Queries over the driver's tables and their DuckDB counterparts."""
+"""Queries over the driver's tables and their DuckDB counterparts, side by side."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trialworks.functions import stats as S
+from trialworks.functions import text as X
+from trialworks.operators import duplicates as D
+from trialworks.operators import effects as E
+from trialworks.operators import evaluate as V
+from trialworks.operators import privacy as P
+from trialworks.operators import reposts as R
+from trialworks.operators import splits as G
+from trialworks.operators import study as Q
+from trialworks.plans.fixtures import sql, view
+
+_QUERIES: dict = {}
+_ORACLES: dict[str, str] = {}
+MIN_IMPRESSIONS = 50
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def labelled(spark: SparkSession, d: str, name: str = "arms") -> DataFrame:
+    return E.labelled_arms(view(spark, d, name), MIN_IMPRESSIONS)
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with two deterministic scores: the target and noise of two seeds."""
+    arms = labelled(spark, d)
+    key = F.concat_ws("/", F.col("test_id").cast("string"), "arm_id")
+    s = arms.select("test_id", "arm_id", *[F.round(F.col("target") + F.lit(w) * (S.hash01(key, k) - 0.5), 6).alias(n) for n, k, w in (("a", 1, 1.5), ("b", 2, 2.5))])
+    return V.score_pairs(V.score_pairs(E.build_pairs(arms), s, "a"), s, "b")
+
+
+# DuckDB counterparts of the fixtures and of what most queries start from.
+ARMS = f"arms as ({sql('arms', 'duckdb')})"
+LABELLED = f"""{ARMS},
+k as (select *, count(*) over w as test_arms, sum(impressions) over w as ti, sum(clicks) over w as tc from arms
+      where length(trim(copy_text)) > 0 and impressions >= {MIN_IMPRESSIONS} and clicks between 0 and impressions window w as (partition by test_id)),
+lab as (select test_id, arm_id, copy_text, impressions, clicks, created_at, release, test_arms, clicks / impressions as ctr, ln((clicks + .5) / (impressions - clicks + .5)) as log_odds,
+      ln((clicks + .5) / (impressions - clicks + .5)) - ln((tc + .5) / (ti - tc + .5)) as target, 1 / (1 / (clicks + .5) + 1 / (impressions - clicks + .5)) as weight
+      from k where test_arms >= 2 and ti > 0 and tc > 0)"""
+PAIRS = f"""{LABELLED},
+pairs as (select a.test_id, case when a.target > b.target then a.arm_id else b.arm_id end as hi_id, case when a.target > b.target then b.arm_id else a.arm_id end as lo_id,
+      abs(a.target - b.target) as gap, 2 / (1 / a.weight + 1 / b.weight) as pair_weight
+      from lab a join lab b on a.test_id = b.test_id and a.arm_id < b.arm_id and a.copy_text <> b.copy_text where abs(a.target - b.target) >= 0.05)"""
+
+
+def duck_hash01(key: str, seed: int) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', {key}, '{seed}')), 1, 13))::bigint / pow(2, 52))"
+
+
+SCORED = f"""{PAIRS},
+sc as (select test_id, arm_id, round(target + 1.5 * ({duck_hash01("test_id || '/' || arm_id", 1)} - 0.5), 6) as a, round(target + 2.5 * ({duck_hash01("test_id || '/' || arm_id", 2)} - 0.5), 6) as b from lab),
+sp as (select p.*, h.a as a_hi, l.a as a_lo, h.b as b_hi, l.b as b_lo, case when h.a > l.a then 1.0 when h.a = l.a then 0.5 else 0 end as win_a, case when h.b > l.b then 1.0 when h.b = l.b then 0.5 else 0 end as win_b
+       from pairs p join sc h on p.test_id = h.test_id and p.hi_id = h.arm_id join sc l on p.test_id = l.test_id and p.lo_id = l.arm_id)"""
+
+
+@query(f"with {LABELLED} select * from lab")
+def labelled_arms(spark, d):
+    return labelled(spark, d).drop("test_impressions", "test_clicks")
+
+
+@query(f"""with {LABELLED},
+r as (select *, clicks / greatest(impressions, 1) as rate, row_number() over (partition by test_id order by clicks / greatest(impressions, 1) desc, arm_id) as r from lab),
+t as (select a.test_id, a.arm_id as best, b.arm_id as second, least(a.impressions, b.impressions) as min_impressions,
+      greatest((a.clicks + b.clicks) / greatest(a.impressions + b.impressions, 1), 1e-6) as pooled,
+      least(greatest(a.rate, 1e-6), 1 - 1e-6) as pa, least(greatest(b.rate, 1e-6), 1 - 1e-6) as pb from r a join r b on a.test_id = b.test_id and a.r = 1 and b.r = 2),
+u as (select *, ln(pa / (1 - pa)) - ln(pb / (1 - pb)) as observed_delta, least(greatest(pooled, 1e-6), 1 - 1e-6) as p from t),
+v as (select *, 0.5 + atan(0.098 / sqrt(2 * (1 / (greatest(min_impressions, 1) * p) + 1 / (greatest(min_impressions, 1) * (1 - p))))) / pi() as ceiling,
+      case when abs(observed_delta) >= 1e-6 then ceil(2 * pow(1.96 / abs(observed_delta), 2) * (1 / p + 1 / (1 - p))) end as needed from u)
+select test_id, best, second, observed_delta, min_impressions, ceiling, needed, case when needed is null then 0 when needed - min_impressions > 0 then needed - min_impressions else 0 end as shortfall,
+       case when needed is null then true else needed <= min_impressions end as decidable from v""".replace("case when needed is null then 0 when", "case when needed is null then null when").replace("case when needed is null then true", "case when needed is null then false"))
+def decidability(spark, d):
+    out = E.decidability(labelled(spark, d))
+    return out.withColumn("shortfall", F.when(F.col("needed").isNotNull(), F.col("shortfall"))).withColumn("decidable", F.coalesce(F.col("shortfall") == 0, F.lit(False)))
+
+
+@query(f"with {PAIRS} select * from pairs")
+def build_pairs(spark, d):
+    return E.build_pairs(labelled(spark, d))
+
+
+@query(f"""with {LABELLED}, s as (select *, var_pop(target) over w as v, avg(target) over w as m, avg(1 / weight) over w as nz, count(*) over w as n from lab window w as (partition by test_id))
+select test_id, arm_id, target, case when n < 2 or v <= 0 then target else m + greatest(0, v - nz) / v * (target - m) end as shrunk from s""")
+def shrunk_target(spark, d):
+    return E.shrunk_target(labelled(spark, d)).select("test_id", "arm_id", "target", "shrunk")
+
+
+@query(f"""with {LABELLED}, s as (select *, sum(clicks) over w / sum(impressions) over w as m, avg(ctr * (1 - ctr) / impressions) over w as nz, var_pop(ctr) over w as v from lab window w as (partition by test_id))
+select test_id, arm_id, least(1, greatest(1e-6, m + case when v > 0 then greatest(0, v - nz) / v else 0 end * (ctr - m))) as shrunk_rate from s""")
+def shrunk_rates(spark, d):
+    return E.shrunk_rates(labelled(spark, d)).select("test_id", "arm_id", "shrunk_rate")
+
+
+@query(f"""with {LABELLED}, s as (select *, count(*) over w as runs, sum(target * impressions) over w / sum(impressions) over w as pooled from lab window w as (partition by copy_text))
+select test_id, arm_id, runs, pooled from s where runs > 1""")
+def pooled_target(spark, d):
+    return E.pooled_target(labelled(spark, d)).select("test_id", "arm_id", "runs", "pooled")
+
+
+@query(f"""with {LABELLED}, s as (select var_pop(target) as observed, 2 * avg(1 / weight) as noise from lab)
+select observed, noise, greatest(observed - noise, 1e-9) as signal, sqrt(greatest(observed - noise, 1e-9)) / sqrt(noise) as snr from s""")
+def variance_decomposition(spark, d):
+    return E.variance_decomposition(labelled(spark, d))
+
+
+@query(f"""with {ARMS}, ok as (select * from arms where impressions >= {MIN_IMPRESSIONS} and clicks between 0 and impressions and length(trim(copy_text)) > 0), t as (select test_id, count(*) as k from ok group by test_id)
+select (select count(*) from arms) as n_rows, (select count(*) from ok) as usable, (select count(*) from arms where impressions < {MIN_IMPRESSIONS}) as too_small,
+  (select count(*) from arms where impressions >= {MIN_IMPRESSIONS} and not clicks between 0 and impressions) as odd_clicks, (select median(impressions) from ok) as median_impressions,
+  (select avg(clicks / impressions) from ok) as mean_ctr, (select median(clicks / impressions) from ok) as median_ctr, (select max(clicks / impressions) from ok) as max_ctr,
+  (select count(*) - count(distinct copy_text) from ok) as repeated_copies, (select count(*) from t) as n_tests, (select avg(k) from t) as mean_arms, (select median(k) from t) as median_arms, (select max(k) from t) as max_arms""")
+def corpus_profile(spark, d):
+    return E.corpus_profile(view(spark, d, "arms"), MIN_IMPRESSIONS)
+
+
+@query(f"""with r as ({sql('arms_release', 'duckdb')}) select release, count(*) as n_rows, sum(impressions)::bigint as impressions, sum(clicks)::bigint as clicks, count(distinct test_id) as n_tests from r group by rollup (release)""")
+def release_totals(spark, d):
+    return E.release_totals(view(spark, d, "arms_release"))
+
+
+@query(f"""with {LABELLED} select test_id, arm_id, row_number() over w as rank, target - lead(target) over w as margin from lab window w as (partition by test_id order by target desc, arm_id)""")
+def rank_variants(spark, d):
+    return E.ranked(labelled(spark, d), "target", "arm_id").select("test_id", "arm_id", "rank", "margin")
+
+
+@query(f"""with r as ({sql('arms_image', 'duckdb')}), q as (select a.test_id, case when a.copy_text <> b.copy_text then 'headline' when a.lede is distinct from b.lede then 'body' else 'nothing' end as cell,
+  abs(ln((a.clicks + .5) / (a.impressions - a.clicks + .5)) - ln((b.clicks + .5) / (b.impressions - b.clicks + .5))) / sqrt(1 / (a.clicks + .5) + 1 / (a.impressions - a.clicks + .5) + 1 / (b.clicks + .5) + 1 / (b.impressions - b.clicks + .5)) as z
+  from r a join r b on a.test_id = b.test_id and coalesce(a.image_id, '') = coalesce(b.image_id, '') and a.arm_id < b.arm_id where a.clicks <= a.impressions and b.clicks <= b.impressions)
+select cell, count(*) as n_pairs, avg(z) as mean_z from q group by cell""")
+def image_controlled_z(spark, d):
+    arms = view(spark, d, "arms_image").where("clicks <= impressions")
+    return E.image_controlled_pairs(arms).groupBy("cell").agg(F.count("*").alias("n_pairs"), F.avg("z").alias("mean_z"))
+
+
+@query(f"""with {LABELLED}, o as (select test_id, arm_id, target, ctr, count(*) over (partition by test_id) as n from (select *, row_number() over (partition by test_id, copy_text order by arm_id) as k from lab) where k = 1),
+e as (select *, exp(target / .5 - max(target / .5) over w) as e, ctr - max(ctr) over w as c from o where n >= 2 window w as (partition by test_id)),
+q as (select *, e / sum(e) over w as p, c - ln(sum(exp(c)) over w) as log_q from e window w as (partition by test_id))
+select test_id, count(*) as list_size, -sum(p * log_q) as loss from q group by test_id""")
+def listnet_loss(spark, d):
+    out = E.listwise(labelled(spark, d), "ctr")
+    return out.groupBy("test_id").agg(F.count("*").alias("list_size"), F.max("loss").alias("loss"))
+
+
+@query(f"with {SCORED} select coalesce(avg(win_a), 0.5) as accuracy, count(*) as n_pairs from sp")
+def pairwise_accuracy(spark, d):
+    return V.pairwise_accuracy(scored(spark, d), "a")
+
+
+CLUSTERED = "coalesce(stddev_samp(x) / sqrt(count(*)), 0)"
+
+
+@query(f"with {SCORED}, e as (select test_id, avg(win_a) as x from sp group by test_id) select avg(x) as accuracy, count(*) as n, {CLUSTERED} as se, avg(x) - 1.96 * {CLUSTERED} as lo, avg(x) + 1.96 * {CLUSTERED} as hi from e")
+def clustered_accuracy(spark, d):
+    return V.clustered_accuracy(scored(spark, d), "a")
+
+
+@query(f"with {SCORED} select coalesce(avg(win_a), 0.5) as accuracy, count(*) as n_pairs from sp where gap >= 0.1 and a_hi <> a_lo")
+def strict_pair_accuracy(spark, d):
+    return V.strict_accuracy(scored(spark, d), "a")
+
+
+@query(f"""with {SCORED}, c(target) as (values (1.0::double), (0.5::double), (0.25::double), (0.1::double)),
+t as (select target, case when target >= 1 then 0 else (select quantile_cont(abs(a_hi - a_lo), 1 - target) from sp) end as threshold from c),
+e as (select target, threshold, test_id, avg(win_a) as x, count(*) as k from sp join t on abs(a_hi - a_lo) >= threshold group by all)
+select target, threshold, sum(k) / (select count(*) from sp) as coverage, avg(x) as accuracy, avg(x) - 1.96 * {CLUSTERED} as lo, avg(x) + 1.96 * {CLUSTERED} as hi, sum(k)::bigint as n_pairs from e group by target, threshold""".replace(
+    "(select quantile_cont(abs(a_hi - a_lo), 1 - target) from sp)", "case target when 0.5 then (select quantile_cont(abs(a_hi - a_lo), 0.5) from sp) when 0.25 then (select quantile_cont(abs(a_hi - a_lo), 0.75) from sp) else (select quantile_cont(abs(a_hi - a_lo), 0.9) from sp) end"))
+def accuracy_at_coverage(spark, d):
+    return V.accuracy_at_coverage(scored(spark, d), [1.0, 0.5, 0.25, 0.1], "a")
+
+
+@query(f"""with {SCORED} select avg(a_hi - a_lo) as mean_lead, stddev_pop(a_hi - a_lo) as sd_lead, count(*) filter (a_hi > a_lo) as wins, count(*) filter (a_hi = a_lo) as ties, count(*) filter (a_hi < a_lo) as losses, avg(win_a) as tie_corrected from sp""")
+def score_health(spark, d):
+    return V.score_health(scored(spark, d), "a")
+
+
+@query(f"""with {SCORED}, e as (select test_id, avg(win_a) - avg(win_b) as x from sp group by test_id), s as (select avg(x) as mean, {CLUSTERED} as se, avg((x > 0)::int) as win_share, avg((x = 0)::int) as tie_share, avg((x < 0)::int) as loss_share, count(*) as n from e)
+select *, mean - 1.96 * se as lo, mean + 1.96 * se as hi, mean - 1.96 * se > 0 as keep from s""")
+def paired_diff(spark, d):
+    return V.paired_diff(scored(spark, d), "a", "b")
+
+
+@query(f"""with {SCORED} select count(*) filter (a_hi > a_lo and b_hi > b_lo) as both_right, count(*) filter (a_hi > a_lo and b_hi <= b_lo) as a_only, count(*) filter (a_hi <= a_lo and b_hi > b_lo) as b_only, count(*) filter (a_hi <= a_lo and b_hi <= b_lo) as neither from sp""")
+def disagreement_quadrants(spark, d):
+    return V.quadrants(scored(spark, d), "a", "b")
+
+
+@query(f"""with {SCORED} select test_id, hi_id, lo_id, round((a_hi - a_lo) - (b_hi - b_lo), 9) as difference from sp where a_hi > a_lo and b_hi < b_lo order by difference desc, test_id, hi_id, lo_id limit 25""")
+def top_disagreements(spark, d):
+    return V.top_disagreements(scored(spark, d), "a", "b")
+
+
+@query(f"""with {SCORED} select avg((sign(a_hi - a_lo) <> sign(b_hi - b_lo))::int) as flip_rate, avg(abs((a_hi - a_lo) - (b_hi - b_lo))) as mean_change from sp""")
+def flip_rate(spark, d):
+    return V.flip_rate(scored(spark, d), "a", "b")
+
+
+# Texts. RE2 has no lookbehind and no Unicode word class like Java's, so patterns are written out where they differ.
+LOOSE = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\d+', '#', 'g'), '\s+', ' ', 'g'))"
+EXACT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+
+
+@query(rf"""with e as (select {EXACT} as k, count(*) as c from documents group by 1), l as (select {LOOSE} as k, count(*) as c from documents group by 1)
+select 'exact' as normaliser, sum(c)::bigint as n_rows, count(*) as distinct_texts, sum(c - 1)::bigint as surplus from e union all select 'loose', sum(c)::bigint, count(*), sum(c - 1)::bigint from l""")
+def duplicate_counts(spark, d):
+    return D.duplicate_counts(table(spark, d, "documents"))
+
+
+@query(r"""select id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^https?://', ''), '^www\.', ''), '[?&](utm_[a-z]+|ref|source|fbclid|gclid)=[^&]*', '', 'g'), '#.*$', ''), '[/?&]+$', '') as link from (select page_id as id, url from pages)""")
+def normalised_urls(spark, d):
+    return view(spark, d, "stories").select("id", X.normalise_url(F.col("url")).alias("link"))
+
+
+def words(name: str) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in getattr(X, name)) + "]"
+
+
+TOKENS = "toks as (select doc_id, text, length(text) as chars, regexp_extract_all(lower(text), '[a-z][a-z''-]*') as w from documents)"
+COUNT = lambda pattern: f"(len(regexp_extract_all(text, '{pattern}')))"
+IN = lambda name: f"len(list_filter(w, lambda x: list_contains({words(name)}, x)))"
+
+
+@query(rf"""with {TOKENS}, s as (select *, greatest(len(w), 1) as n, greatest(chars, 1) as c, greatest(len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: length(trim(x)) > 0)), 1) as sents from toks)
+select doc_id, len(w) as n_words, chars as n_chars, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) / n as avg_word_len, len(list_filter(w, lambda x: length(x) >= 8)) / n as long_word_frac, sents as n_sentences, len(w) / sents as avg_sent_len,
+  len(list_distinct(w)) / n as type_token_ratio, {IN('STOPWORDS')} / n as stopword_frac, {COUNT('!')} as exclaim_count, {COUNT('[?]')} as question_count, {COUNT('[A-Z]')} / c as caps_ratio, {COUNT('[0-9]')} / c as digit_ratio,
+  ({COUNT('[0-9]')} > 0)::double as has_number, {COUNT("[,.;:!?\\-—''\"()]")} / c as punct_density from s""")
+def surface_features(spark, d):
+    return table(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in X.surface(F.col("text")).items()])
+
+
+@query(rf"""with {TOKENS}, s as (select *, greatest(len(w), 1) as n, {IN('WH_WORDS')} as wh, coalesce(list_contains({words('DEMONSTRATIVES')}, w[1]), false)::double as lead,
+  regexp_matches(text, '(?i)\b(\d{{1,3}})\s+(things|ways|reasons|tips|facts|signs|times|people|photos|steps|rules|secrets|lessons)\b')::double as promise, {COUNT('[.][.][.]|…')}::double as dots from toks)
+select doc_id, wh / n as wh_frac, lead as leading_demonstrative, promise as num_list_promise, dots as ellipsis_count, .4 * least(wh, 2) / 2 + .3 * lead + .2 * promise + .1 * least(dots, 1) as curiosity_score,
+  {IN('SECOND_PERSON')} / n as second_person_frac, {IN('FIRST_PERSON')} / n as first_person_frac, {IN('NEGATIONS')} / n as negation_frac, ({IN('NEGATIONS')} > 0)::double as has_negation, {IN('CONSENSUS')} / n as consensus_frac from s""")
+def curiosity_features(spark, d):
+    return table(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in X.curiosity(F.col("text")).items()])
+
+
+@query()
+def narrative_features(spark, d):
+    return table(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in X.narrative(F.col("text")).items()])
+
+
+@query(rf"""with {TOKENS}, s as (select doc_id, len(w) as n, {COUNT('[A-Z]')} / greatest(chars, 1) as caps, {COUNT('!')} as ex, 100 * {COUNT('!')} / greatest(chars, 1) as den, {COUNT("[,.;:!?\\-—''\"()]")} / greatest(chars, 1) as pd from toks),
+r as (select doc_id, case when caps > .3 and n >= 3 then least(1, (caps - .3) / .7) end as shouting, case when ex >= 2 and den > 1.5 then least(1, den / 6) end as exclamation, case when pd > .18 and n >= 3 then least(1, (pd - .18) / .2) end as punctuation from s)
+select doc_id, (shouting is not null)::int + (exclamation is not null)::int + (punctuation is not null)::int as n_risks, greatest(coalesce(shouting, 0), coalesce(exclamation, 0), coalesce(punctuation, 0)) as max_severity, shouting is not null as ranker_blind from r""")
+def surface_guardrails(spark, d):
+    r = table(spark, d, "documents").select("doc_id", X.guardrails(F.col("text")).alias("r"))
+    return r.select("doc_id", F.size("r").alias("n_risks"), X.max_severity(F.col("r")).alias("max_severity"), F.exists("r", lambda x: x["kind"] == "shouting").alias("ranker_blind"))
+
+
+@query(rf"""with t as (select doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z''-]*'), lambda x: not list_contains({words('STOPWORDS')}, x)))) as word from documents)
+select word, count(*) as documents from t group by word""")
+def document_frequency(spark, d):
+    toks = F.filter(X.tokens(F.col("text")), lambda w: ~w.isin(X.STOPWORDS))
+    return table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(toks)).alias("word")).groupBy("word").agg(F.count("*").alias("documents"))
+
+
+@query()
+def near_duplicate_pairs(spark, d):
+    return D.near_duplicate_pairs(table(spark, d, "documents"))
+
+
+@query()
+def near_duplicate_report(spark, d):
+    return D.cluster_report(D.near_duplicate_clusters(table(spark, d, "documents")))
+
+
+@query()
+def source_collapse(spark, d):
+    docs = table(spark, d, "documents")
+    return D.source_collapse(D.near_duplicate_clusters(docs).join(docs.select(F.col("doc_id").alias("id"), "source"), "id"))
+
+
+CLOSURE = f"""c as ({sql('closure_pass', 'duckdb')}),
+walk as (select row_id, row_id as tip from c union select w.row_id, n.row_id from walk w join c m on m.row_id = w.tip join c n on n.test_id = m.test_id or n.copy_text = m.copy_text),
+g as (select row_id, min(tip) as group_id from walk group by row_id),
+grp as (select c.*, g.group_id from c join g using (row_id))"""
+
+
+@query(f"with recursive {CLOSURE} select row_id, group_id from grp")
+def leakage_groups(spark, d):
+    return G.leakage_groups(view(spark, d, "closure_pass")).select("row_id", "group_id")
+
+
+@query(f"with recursive {CLOSURE}, s as (select count(*) as n from grp group by group_id) select count(*) as groups, sum(n)::bigint as n_rows, max(n) as largest, max(n) / sum(n) as share, max(n) / sum(n) <= 0.2 as passed from s")
+def component_guard(spark, d):
+    return G.component_guard(G.leakage_groups(view(spark, d, "closure_pass")), strict=False)
+
+
+SPLIT = f"""{CLOSURE}, o as (select group_id, row_number() over (order by md5(group_id || ':7'), group_id) - 1 as place, count(*) over () as n from (select distinct group_id from grp)),
+split as (select grp.*, case when place < round(n * 0.7) then 'train' when place < round(n * 0.7) + round(n * 0.15) then 'val' else 'test' end as split from grp join o using (group_id))"""
+
+
+@query(f"with recursive {SPLIT} select row_id, split from split")
+def grouped_split(spark, d):
+    return G.grouped_split(G.leakage_groups(view(spark, d, "closure_pass"))).select("row_id", "split")
+
+
+@query(f"with recursive {SPLIT} select 'no split' as rule, (select count(*) from split where split is null) as violations union all select 'group crosses', 0 union all select 'copy crosses', 0")
+def verify_split(spark, d):
+    return G.verify_split(G.grouped_split(G.leakage_groups(view(spark, d, "closure_pass"))))
+
+
+@query(f"with recursive {SPLIT} select split, count(*) as n_rows, count(distinct group_id) as n_groups, stddev_pop(row_id % 97) as target_sd from split group by split")
+def split_profile(spark, d):
+    rows = G.grouped_split(G.leakage_groups(view(spark, d, "closure_pass"))).withColumn("target", F.col("row_id") % 97)
+    return G.split_profile(rows)
+
+
+@query(f"""with recursive {CLOSURE}, s as (select group_id, count(*) as n from grp group by group_id), b as (select *, coalesce(sum(n) over (order by md5(group_id || ':7'), group_id rows between unbounded preceding and 1 preceding), 0) as before from s)
+select row_id, group_id from grp where group_id in (select group_id from b where before < 200)""")
+def group_sample(spark, d):
+    return G.group_sample(G.leakage_groups(view(spark, d, "closure_pass")), 200).select("row_id", "group_id")
+
+
+@query(f"with c as ({sql('closure_pass', 'duckdb')}), o as (select row_id, row_number() over (order by created_at, row_id) as k, count(*) over () as n from c) select row_id, k <= floor(n * 0.6) as early from o")
+def temporal_split(spark, d):
+    return G.temporal_split(view(spark, d, "closure_pass")).select("row_id", "early")
+
+
+@query(rf"""with h as (select sha256(lower({EXACT})) as h from documents), b as (select substr(h, 1, 3) as b, sha256(string_agg(h, chr(10) order by h)) as s from h group by 1) select sha256(string_agg(s, chr(10) order by b)) as fingerprint from b""")
+def fingerprint(spark, d):
+    return G.fingerprint(table(spark, d, "documents"), "text")
+
+
+# Privacy, studies, predictions.
+RE2 = {"email": P.PATTERNS["email"], "iban": P.PATTERNS["iban"], "ip_address": P.PATTERNS["ip_address"], "date_of_birth": P.PATTERNS["date_of_birth"]}
+
+
+@query("select doc_id, " + ", ".join(f"len(regexp_extract_all(coalesce(text, ''), '{p}')) as {k}" for k, p in RE2.items()) + " from documents")
+def pii_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", *[F.size(P.findings(F.col("text"), k)).alias(k) for k in RE2])
+
+
+@query()
+def pii_kinds(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.explode(P.scan_pii(F.col("text"))).alias("p"))
+    return docs.select("doc_id", "p.kind", "p.count")
+
+
+@query(f"""with c as ({sql('campaigns', 'duckdb')}) select id, case when trim(copy) = '' then 'empty copy' when impressions < 500 then 'too few impressions' when clicks < 0 or clicks > impressions then 'clicks out of range' end as reason from c""")
+def validate_campaigns(spark, d):
+    return view(spark, d, "campaigns").select("id", Q.campaign_reason().alias("reason"))
+
+
+@query(f"""with c as ({sql('campaigns', 'duckdb')}), n as (select segment, count(distinct campaign) as n from c where impressions >= 500 and clicks between 0 and impressions group by segment)
+select segment, n, n >= 20 as eligible, greatest(0, 1 - n / 20.0) as shrinkage from n""")
+def readiness(spark, d):
+    ok, _ = Q.validate_campaigns(view(spark, d, "campaigns"))
+    out = ok.groupBy("segment").agg(F.count_distinct("campaign").alias("n"))
+    eligible, shrinkage = S.readiness(F.col("n"), 20)
+    return out.select("segment", "n", eligible.alias("eligible"), shrinkage.alias("shrinkage"))
+
+
+STUDY = f"""st as ({sql('study', 'duckdb')}), part as (select participant, count(*) as answered, list_sort(list(ms))[count(*) // 2 + 1] as mid from st where choice is not null group by participant),
+used as (select st.* from st join part using (participant) where answered >= 10 and mid >= 500)"""
+
+
+def wilson_sql(k: str, n: str) -> str:
+    mid, half = f"({k} / {n} + 1.9208 / {n})", f"1.96 * sqrt({k} / {n} * (1 - {k} / {n}) / {n} + 3.8416 / (4.0 * {n} * {n}))"
+    return f"greatest(0, ({mid} - {half}) / (1 + 3.8416 / {n})) as lo, least(1, ({mid} + {half}) / (1 + 3.8416 / {n})) as hi"
+
+
+@query(f"""with {STUDY}, s as (select participant, count(*) as n, count(*) filter (choice = winner_position) as human_hits, count(*) filter (model_pick = winner_position) as model_hits,
+  count(*) filter (model_pick = winner_position and choice <> winner_position) as model_only, count(*) filter (choice = winner_position and model_pick <> winner_position) as human_only from used where choice is not null group by participant)
+select *, {wilson_sql('human_hits', 'n')}, case when model_only + human_only = 0 then 1 else least(1, 2 * list_sum(list_transform(range(0, least(model_only, human_only) + 1), lambda i: exp(lgamma(model_only + human_only + 1) - lgamma(i + 1) - lgamma(model_only + human_only - i + 1) - (model_only + human_only) * ln(2))))) end as p_value from s""")
+def score_study(spark, d):
+    return Q.score_study(Q.exclude_responses(view(spark, d, "study"), 10, 500))
+
+
+@query(f"""with p as ({sql('predictions', 'duckdb')}), c as (select count(*) as total, count(*) filter (actual is null) as pending, count(actual) as model_n, count(*) filter (predicted = actual) as model_hits,
+  count(*) filter (actual is not null and user_pick is not null) as user_n, count(*) filter (user_pick = actual) as user_hits from p)
+select *, model_hits / model_n as model_rate, {wilson_sql('model_hits', 'model_n').replace('as lo', 'as model_lo').replace('as hi', 'as model_hi')}, model_n < 10 as model_below_floor, user_hits / user_n as user_rate, {wilson_sql('user_hits', 'user_n').replace('as lo', 'as user_lo').replace('as hi', 'as user_hi')}, user_n < 10 as user_below_floor,
+  model_lo > 0.5 and model_n >= 10 as model_beats_chance, user_lo > 0.5 and user_n >= 10 as user_beats_chance from c""")
+def track_record(spark, d):
+    return Q.track_record(view(spark, d, "predictions"))
+
+
+@query(f"""with p as ({sql('predictions', 'duckdb')}) select case when margin >= 0.948 then 'high' when margin >= 0.519 then 'moderate' else 'insufficient' end as tier, count(*) as n, avg((predicted = actual)::int) as accuracy, count(*) / (select count(*) from p) as coverage from p group by 1""")
+def confidence_tiers(spark, d):
+    p = view(spark, d, "predictions").withColumn("tier", S.confidence_tier(F.col("margin")))
+    out = p.groupBy("tier").agg(F.count("*").alias("n"), F.avg((F.col("predicted") == F.col("actual")).cast("double")).alias("accuracy"))
+    n = p.agg(F.count("*").alias("all"))
+    return out.crossJoin(n).select("tier", "n", "accuracy", (F.col("n") / F.col("all")).alias("coverage"))  # one row on the right
+
+
+@query(f"""with recursive t as (select *, row_number() over (partition by tenant_id order by seq) as k from ({sql('tenant_rows', 'duckdb')})),
+c as (select tenant_id, seq, payload, k, '' as prev_hash, sha256('|' || seq || '|' || payload) as hash from t where k = 1
+      union all select t.tenant_id, t.seq, t.payload, t.k, c.hash, sha256(c.hash || '|' || t.seq || '|' || t.payload) from t join c on t.tenant_id = c.tenant_id and t.k = c.k + 1)
+select tenant_id, seq, payload, prev_hash, hash from c""")
+def audit_chain(spark, d):
+    return Q.audit_chain(view(spark, d, "tenant_rows"))
+
+
+@query(f"with t as ({sql('tenant_rows', 'duckdb')}) select tenant_id, count(*) as entries, null::int as first_broken from t group by tenant_id")
+def verify_chain(spark, d):
+    return Q.verify_chain(Q.audit_chain(view(spark, d, "tenant_rows")))
+
+
+BEST = f"""b as (select * from (select *, row_number() over (partition by url, title order by points desc, id) as n from ({sql('reposts', 'duckdb')})) where n = 1),
+f as (select *, ln(greatest(points, 1)) as s, (created_at_i // 3600) % 24 as h, (created_at_i // 86400 + 4) % 7 as wd from b),
+rp as (select a.url, a.id as id_a, b.id as id_b, a.points as points_a, b.points as points_b, a.s - b.s as delta, abs(a.created_at_i - b.created_at_i) / 86400.0 as gap_days, abs(a.h - b.h) <= 2 as same_hour, a.wd = b.wd as same_weekday, a.author = b.author as same_author
+  from f a join f b on a.url = b.url and a.id < b.id)"""
+
+
+@query(f"with {BEST} select * from rp")
+def repost_pairs(spark, d):
+    return R.repost_pairs(view(spark, d, "reposts"))
+
+
+@query(f"""with {BEST}, s as (select count(*) as n_pairs, median(gap_days) as median_gap, avg(gap_days) as mean_gap, avg(same_hour::int) as same_hour, avg(same_weekday::int) as same_weekday, avg(same_author::int) as same_author,
+  avg(abs(delta)) filter (same_hour and same_weekday) as matched_size, avg(abs(delta)) filter (not (same_hour and same_weekday)) as other_size from rp) select *, 1 - matched_size / other_size as explained from s""")
+def confounding_audit(spark, d):
+    return R.confounding_audit(R.repost_pairs(view(spark, d, "reposts")))
+
+
+@query(f"""with {BEST}, x as (select *, least(points_a, points_b) as lo, greatest(points_a, points_b) as hi from rp)
+select avg((lo <= 3 and hi >= 50)::int) as flop_vs_hit, avg((hi <= 3)::int) as both_dead, avg((lo >= 20)::int) as both_live, avg(abs(delta)) filter (lo >= 20) as live_size, avg(abs(delta)) as all_size,
+  (avg((points_a <= 3)::int) + avg((points_b <= 3)::int)) / 2 as dead_arms from x""")
+def lottery_audit(spark, d):
+    return R.lottery_audit(R.repost_pairs(view(spark, d, "reposts")))
+
+
+@query(f"""with g as (select url, count(*) as posts, count(distinct title) as titles, list_reverse_sort(list(points)) as top from ({sql('reposts', 'duckdb')}) group by url)
+select count(*) as urls, count(*) filter (posts >= 2) as reposted, count(*) filter (titles >= 2) as retitled, count(*) filter (top[1] >= 10) as ten_points, median(top[1] - top[2]) filter (titles >= 2) as median_gap, avg(top[1] - top[2]) filter (titles >= 2) as mean_gap, max(top[1] - top[2]) filter (titles >= 2) as max_gap from g""")
+def repost_yield(spark, d):
+    return R.repost_yield(view(spark, d, "reposts"))
