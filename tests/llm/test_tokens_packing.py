@@ -25,6 +25,9 @@ def test_word_ids_equal_the_library():
     rng = np.random.default_rng(1)
     for t in ODD + ["".join(rng.choice(list("aB \n\té.,'s1<|"), 40)) for _ in range(500)]:
         assert np.frombuffer(w.ids(t, b""), "<u4").tolist() == w.encode(t, add_special_tokens=False).ids
+    texts = ODD + ["".join(rng.choice(list("aBéß \n\t.,'s!<|"), 60)) for _ in range(1500)] + ["Word,' don't,'s a|>b x<|endoftext|>, Straße!! ÉTÉ."]
+    w.clear()
+    assert [np.frombuffer(x, "<u4").tolist() for x in w.all_ids(texts, b"")] == [w.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_tokens long, lane long"

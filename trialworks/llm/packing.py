@@ -65,22 +65,20 @@ def pack(
     base = base.withColumn("lane", F.pmod(F.xxhash64("doc_id", "text"), F.lit(lanes)))
     end = int(end_id).to_bytes(4, "little")
 
-    def tokenised(keep_ids: bool) -> DataFrame:
-        def run(batches):
-            import pyarrow as pa
+    def tokenise(batches):
+        import pyarrow as pa
 
-            get = word_ids(tokenizer_path).ids
-            for b in batches:
-                for at in range(0, b.num_rows, 512):
-                    part = b.slice(at, 512)
-                    ids = [get(t, end) for t in part.column("text").to_pylist()]
-                    cols = [part.column("doc_id"), part.column("source"), part.column("lane"), pa.array([len(x) // 4 for x in ids], pa.int64())]
-                    names = ["doc_id", "source", "lane", "n"]
-                    yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.binary())] * keep_ids, names + ["ids"] * keep_ids)
+        get = word_ids(tokenizer_path).all_ids
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                ids = get(part.column("text").to_pylist(), end)
+                cols = [part.column("doc_id"), part.column("source"), part.column("lane"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "source", "lane", "n", "ids"])
 
-        return base.mapInArrow(run, "doc_id long, source string, lane long, n long" + ", ids binary" * keep_ids)
-
-    heads = _lane_heads(tokenised(False).groupBy("lane", "source").agg(F.sum("n").alias("n")), shares)
+    # Texts are tokenised once; the sums read only the small columns of that table.
+    tokens = written(base.mapInArrow(tokenise, "doc_id long, source string, lane long, n long, ids binary"), "tokens", "zstd")
+    heads = _lane_heads(tokens.groupBy("lane", "source").agg(F.sum("n").alias("n")), shares)
 
     def pack_lane(key, rows, head):
         import zlib
@@ -123,7 +121,7 @@ def pack(
         return pd.DataFrame(out, columns=["doc_id", *PIECE.names]).astype({"doc_id": "Int64"})
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *PIECE.fields])
-    return tokenised(True).groupBy("lane").cogroup(heads.groupBy("lane")).applyInPandas(pack_lane, schema)
+    return tokens.groupBy("lane").cogroup(heads.groupBy("lane")).applyInPandas(pack_lane, schema)
 
 
 def _lane_heads(sums: DataFrame, shares: dict[str, float] | None) -> DataFrame:

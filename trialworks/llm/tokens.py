@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -89,29 +90,70 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, text: str
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+#: A stretch of letters and then signs. The tokenizer splits there before its merges, unless an apostrophe begins them.
+WORD_AND_SIGNS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?")
+
+
 class WordIds(dict):
     """Ids, as little-endian unsigned 32-bit numbers, of each stretch of text between spaces or newlines."""
 
     def __init__(self, tokenizer_path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode = Tokenizer.from_file(tokenizer_path).encode
+        model = Tokenizer.from_file(tokenizer_path)
+        self.encode, self.encode_batch = model.encode, model.encode_batch
+        assert all("<|" in t.content for t in model.get_added_tokens_decoder().values())
+        self.last = {i for t, i in model.get_vocab().items() if t.endswith("</w>")}  # ends a word
 
     def __missing__(self, word: str) -> bytes:
+        self.learn([word])
+        return self.pop(word) if len(word) > 64 else self[word]
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Encodes words that are not known yet, all at once; words and the signs after them apart."""
         import numpy as np
 
         if len(self) > REMEMBERED:
             self.clear()
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        whole, letters, split = set(), set(), []
+        for w in words:
+            m = WORD_AND_SIGNS.fullmatch(w)
+            if m and "<|" not in w:
+                split.append((w, m[1].lower(), m[2] or ""))
+                letters.add(split[-1][1])
+                whole.add(split[-1][2])
+            else:
+                whole.add(w)
+        letters, whole = [w for w in letters if w not in self], [w for w in whole if w not in self]
+        for at in range(0, len(letters), 2000):  # words of letters are cut apart again after each word's last token
+            part = letters[at : at + 2000]
+            ids = self.encode(" ".join(part), add_special_tokens=False).ids
+            ends = [i + 1 for i, x in enumerate(ids) if x in self.last]
+            if len(ends) == len(part):
+                flat = np.array(ids, "<u4").tobytes()
+                self.update((w, flat[4 * a : 4 * b]) for w, a, b in zip(part, [0, *ends], ends))
+            else:
+                whole += part
+        for w, e in zip(whole, self.encode_batch(whole, add_special_tokens=False)):
+            self[w] = np.array(e.ids, "<u4").tobytes()
+        for w, a, b in split:
+            self[w] = self[a] + self[b]
 
     def ids(self, text: str | None, end: bytes) -> bytes:
         """White space is dropped by this tokenizer before its merges, so stretches between it are independent."""
         return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" "))) + end
 
+    def all_ids(self, texts: list, end: bytes) -> list[bytes]:
+        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        new = {w for p in parts for w in p if w not in self and len(w) <= 64}
+        if new:
+            self.learn(new)
+        return [b"".join(map(self.__getitem__, p)) + end for p in parts]
+
 
 @lru_cache(2)
 def word_ids(tokenizer_path: str) -> WordIds:
