@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 SPACE = "▁"
 #: Distinct units that a Python worker remembers before it starts afresh.
 REMEMBERED = 400_000
+#: The same for word ids, of which two generations are held.
+GENERATION = 300_000
 
 
 class UnitCounts(dict):
@@ -94,8 +97,20 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, text: str
 WORD_AND_SIGNS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?")
 
 
+def byte_letters() -> dict[int, str]:
+    """What byte-level BPE writes for each letter of Latin-1 beyond ASCII: printable bytes stand for themselves, the
+    others for the characters from 256 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    sign = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
 class WordIds(dict):
-    """Ids, as little-endian unsigned 32-bit numbers, of each stretch of text between spaces or newlines."""
+    """Ids, as little-endian unsigned 32-bit numbers, of each stretch of text between spaces or newlines.
+
+    Holds one generation of stretches; the one before it is kept beside, so that frequent ones are not learnt again.
+    """
 
     def __init__(self, tokenizer_path: str):
         import os
@@ -105,43 +120,45 @@ class WordIds(dict):
 
         super().__init__()
         model = Tokenizer.from_file(tokenizer_path)
-        self.encode, self.encode_batch = model.encode, model.encode_batch
+        self.encode_batch, self.merge, self.before = model.encode_batch, model.model.tokenize, {}
         assert all("<|" in t.content for t in model.get_added_tokens_decoder().values())
-        self.last = {i for t, i in model.get_vocab().items() if t.endswith("</w>")}  # ends a word
+        self.signs = byte_letters()
 
     def __missing__(self, word: str) -> bytes:
         self.learn([word])
         return self.pop(word) if len(word) > 64 else self[word]
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Encodes words that are not known yet, all at once; words and the signs after them apart."""
-        import numpy as np
+    def letters(self, word: str) -> bytes:
+        """Ids of lower-case letters: one pre-token, which normalising leaves as it is, so only the merges are run."""
+        found = self.get(word) or self.before.get(word)
+        if found is None:
+            ids = [t.id for t in self.merge(word if word.isascii() else word.translate(self.signs))]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = found
+        return found
 
-        if len(self) > REMEMBERED:
+    def learn(self, words: Iterable[str]) -> None:
+        """Encodes words that are not known yet; words and the signs after them apart."""
+        if len(self) > GENERATION:
+            self.before = dict(self)
             self.clear()
-        whole, letters, split = set(), set(), []
+        whole, split = set(), []
         for w in words:
-            m = WORD_AND_SIGNS.fullmatch(w)
-            if m and "<|" not in w:
+            known = self.before.get(w)
+            if known is not None:
+                self[w] = known
+            elif w.isascii() and w.isalpha() and len(w) <= 64:
+                self[w] = self.letters(w.lower())
+            elif (m := WORD_AND_SIGNS.fullmatch(w)) and len(w) <= 64 and "<|" not in w:
                 split.append((w, m[1].lower(), m[2] or ""))
-                letters.add(split[-1][1])
                 whole.add(split[-1][2])
             else:
                 whole.add(w)
-        letters, whole = [w for w in letters if w not in self], [w for w in whole if w not in self]
-        for at in range(0, len(letters), 2000):  # words of letters are cut apart again after each word's last token
-            part = letters[at : at + 2000]
-            ids = self.encode(" ".join(part), add_special_tokens=False).ids
-            ends = [i + 1 for i, x in enumerate(ids) if x in self.last]
-            if len(ends) == len(part):
-                flat = np.array(ids, "<u4").tobytes()
-                self.update((w, flat[4 * a : 4 * b]) for w, a, b in zip(part, [0, *ends], ends))
-            else:
-                whole += part
+        whole = [w for w in whole if w not in self]
         for w, e in zip(whole, self.encode_batch(whole, add_special_tokens=False)):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+            self[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         for w, a, b in split:
-            self[w] = self[a] + self[b]
+            self[w] = self.letters(a) + self[b]
 
     def ids(self, text: str | None, end: bytes) -> bytes:
         """White space is dropped by this tokenizer before its merges, so stretches between it are independent."""
@@ -149,7 +166,7 @@ class WordIds(dict):
 
     def all_ids(self, texts: list, end: bytes) -> list[bytes]:
         parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = {w for p in parts for w in p if w not in self and len(w) <= 64}
+        new = [w for w in set().union(*parts).difference(self) if len(w) <= 64]
         if new:
             self.learn(new)
         return [b"".join(map(self.__getitem__, p)) + end for p in parts]
