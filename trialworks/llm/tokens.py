@@ -15,7 +15,7 @@ SPACE = "▁"
 #: Distinct units that a Python worker remembers before it starts afresh.
 REMEMBERED = 400_000
 #: The same for word ids, of which two generations are held.
-GENERATION = 300_000
+GENERATION = 500_000
 
 
 class UnitCounts(dict):
@@ -106,6 +106,13 @@ def byte_letters() -> dict[int, str]:
     return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
+PACKERS = [struct.Struct(f"<{n}I").pack for n in range(65)]
+
+
+def packed(ids: list[int]) -> bytes:
+    return PACKERS[len(ids)](*ids) if len(ids) < 65 else struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds(dict):
     """Ids, as little-endian unsigned 32-bit numbers, of each stretch of text between spaces or newlines.
 
@@ -133,7 +140,7 @@ class WordIds(dict):
         found = self.get(word) or self.before.get(word)
         if found is None:
             ids = [t.id for t in self.merge(word if word.isascii() else word.translate(self.signs))]
-            found = struct.pack(f"<{len(ids)}I", *ids)
+            found = packed(ids)
         self[word] = found
         return found
 
@@ -142,13 +149,16 @@ class WordIds(dict):
         if len(self) > GENERATION:
             self.before = dict(self)
             self.clear()
-        whole, split = set(), []
+        whole, split, merge, before = set(), [], self.merge, self.before
         for w in words:
-            known = self.before.get(w)
+            known = before.get(w)
             if known is not None:
                 self[w] = known
-            elif w.isascii() and w.isalpha() and len(w) <= 64:
-                self[w] = self.letters(w.lower())
+            elif len(w) <= 64 and w.isalpha() and w.isascii():
+                if w.islower():
+                    self[w] = packed([t.id for t in merge(w)])
+                else:
+                    self[w] = self.letters(w.lower())
             elif (m := WORD_AND_SIGNS.fullmatch(w)) and len(w) <= 64 and "<|" not in w:
                 split.append((w, m[1].lower(), m[2] or ""))
                 whole.add(split[-1][2])
@@ -156,7 +166,7 @@ class WordIds(dict):
                 whole.add(w)
         whole = [w for w in whole if w not in self]
         for w, e in zip(whole, self.encode_batch(whole, add_special_tokens=False)):
-            self[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+            self[w] = packed(e.ids)
         for w, a, b in split:
             self[w] = self.letters(a) + self[b]
 
