@@ -127,7 +127,7 @@ class WordIds(dict):
 
         super().__init__()
         model = Tokenizer.from_file(tokenizer_path)
-        self.encode_batch, self.merge, self.before = model.encode_batch, model.model.tokenize, {}
+        self.encode, self.encode_batch, self.merge, self.before = model.encode, model.encode_batch, model.model.tokenize, {}
         assert all("<|" in t.content for t in model.get_added_tokens_decoder().values())
         self.signs = byte_letters()
 
