@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import math
+import uuid
+from collections.abc import Iterator
+from fractions import Fraction
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialworks.operators.prefix import sum_before
-from trialworks.storage import written
+from trialworks.storage import shared_dir, written
+
+#: Blocks of a schedule that the driver holds at a time.
+PART = 1_000_000
 
 
 def cycle_shares(weights: DataFrame, cycle: int) -> DataFrame:
@@ -58,8 +69,38 @@ def edf_cycle(shares: DataFrame) -> DataFrame:
                         F.ceil((F.col("k") + 1) * F.col("cycle") / F.col("share")).alias("deadline"), "slot")
 
 
+def edf_blocks(weights: list[float], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, k, release, deadline, slot) of the first ``blocks[i]`` blocks of each source i, in slot order.
+
+    Block k of a source with share w of all weights is released at floor(k / w) and due at ceil((k + 1) / w); both are
+    computed in whole numbers, so no rounding adds up. The released block with the earliest deadline runs, ties go to
+    the smaller source. Sources of weight 0 are due nothing: they take turns after all others, a block each.
+    """
+    exact = [Fraction(w) for w in weights]
+    unit = math.lcm(*(w.denominator for w in exact)) if exact else 1
+    own = [int(w * unit) for w in exact]
+    total = sum(own)
+    later = [(0, i, 0) for i in range(len(own)) if own[i] > 0 and blocks[i] > 0]
+    heapq.heapify(later)
+    ready, t = [], 0
+    while later or ready:
+        if not ready:
+            t = max(t, later[0][0])
+        while later and later[0][0] <= t:
+            release, i, k = heapq.heappop(later)
+            heapq.heappush(ready, (-(-(k + 1) * total // own[i]), i, k, release))
+        deadline, i, k, release = heapq.heappop(ready)
+        yield i, k, release, deadline, t
+        t += 1
+        if k + 1 < blocks[i]:
+            heapq.heappush(later, ((k + 1) * total // own[i], i, k + 1))
+    idle = sorted((k, i) for i in range(len(own)) if own[i] == 0 for k in range(blocks[i]))
+    for t, (k, i) in enumerate(idle, t):
+        yield i, k, t, t + 1, t
+
+
 def mix(
-    docs: DataFrame, block_size: int = 16_384, cycle: int = 256, power: float = 0.5, weights: DataFrame | None = None,
+    docs: DataFrame, block_size: int = 16_384, cycle: int | None = 256, power: float = 0.5, weights: DataFrame | None = None,
     text: str = "text", doc_id: str = "doc_id", source: str = "source",
 ) -> DataFrame:
     """Places every document on a line of slots: doc_id, source, size, block, release, deadline, slot, slot_offset,
@@ -68,8 +109,12 @@ def mix(
     A source's documents, in an order that a hash of the id fixes, form a line of bytes (each document counts its
     UTF-8 bytes and one more); ``block_size`` bytes are a block, and a document belongs to the block where it starts.
     Blocks are scheduled to the target weights, ``weights`` (source, weight) or else each source's bytes to the power
-    ``power``, in units of 1 / ``cycle``: each block has a Pfair release slot and deadline, earliest deadline first
-    runs one block a slot, and after any slot every source has had within one block of its weight's due. A source that
+    ``power``: each block has a Pfair release slot and deadline, and earliest deadline first runs one block a slot.
+    With ``cycle`` None the weights are exact, and after any slot every source with blocks left has had within one
+    block of its weight's due; the schedule is one step a block on the driver (:func:`edf_blocks`). With a number, the
+    weights are rounded to whole blocks of a cycle of that many slots, one at least for each source, and the cycle
+    repeats: sources are within one block of the rounded weight, and drift from the target weight by the rounding in
+    every cycle (with as many sources as slots, all get the same). :data:`MIX_SQL` is the form with 256. A source that
     has no block left leaves its slots empty, so the others go on in the same proportions; every row stays.
     ``slot_offset`` is the document's place within its block, so (slot, source, slot_offset) is a total order.
 
@@ -96,6 +141,10 @@ def mix(
     else:
         target = rows.select("source", "key").distinct().join(weights.withColumnRenamed("source", "w_source"), F.col("source").eqNullSafe(F.col("w_source")), "left")
         target = target.select("key", F.coalesce("weight", F.lit(0.0)).cast("double").alias("weight"))
+    if cycle is None:
+        last = sums.groupBy("key").agg(F.sum("size").alias("size"))  # a document starts before its source's last byte
+        plan = _exact_plan(target.join(last, "key").select("key", "weight", F.floor((F.col("size") - 1) / block_size).alias("last")))
+        return rows.join(plan, ["key", "block"]).select("doc_id", "source", "size", "block", "release", "deadline", "slot", "slot_offset", "text_hash")
     plan = edf_cycle(cycle_shares(target.select(F.col("key").alias("source"), "weight"), cycle)).withColumnRenamed("source", "key")
     plan = written(plan, "cycle")  # one row per slot of a cycle; the fold runs once
     size = F.col("cycle") * F.floor(F.col("block") / F.col("share"))
@@ -105,15 +154,44 @@ def mix(
     return rows.select("doc_id", "source", "size", "block", *at, "slot_offset", "text_hash")
 
 
-def in_mixed_order(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` in the order of :func:`mix`: ranges of slots are partitions, sorted within."""
-    cols = docs.columns
+def _exact_plan(sources: DataFrame) -> DataFrame:
+    """(key, block, release, deadline, slot) of every block. ``sources`` (key, weight, last block) is a row per source.
+
+    The schedule is written in parts, so the driver holds one part at a time.
+    """
+    spark, names = sources.sparkSession, sources.select("key", "weight", "last").sort("key").collect()
+    jobs = edf_blocks([r.weight for r in names], [int(r["last"]) + 1 for r in names])
+    path, keys = f"{shared_dir(spark)}/schedule-{uuid.uuid4().hex}", [r.key for r in names]
+    schema = "key string, block long, release long, deadline long, slot long"
+    while True:
+        part = list(itertools.islice(jobs, PART))
+        columns = list(zip(*part)) or [()] * 5
+        types = [pa.string()] + [pa.int64()] * 4
+        arrays = [pa.array([keys[i] for i in columns[0]], types[0])] + [pa.array(c, t) for c, t in zip(columns[1:], types[1:])]
+        spark.createDataFrame(pa.Table.from_arrays(arrays, ["key", "block", "release", "deadline", "slot"])).write.mode("append").parquet(path)
+        if len(part) < PART:
+            return spark.read.schema(schema).parquet(path)
+
+
+def target_weights(docs: DataFrame, power: float = 0.5, text: str = "text", source: str = "source") -> DataFrame:
+    """(source, weight): the default target of :func:`mix`, each source's bytes to the power ``power``."""
+    size = F.coalesce(F.octet_length(text), F.lit(0)) + 1
+    return docs.groupBy(F.col(source).cast("string").alias("source")).agg(F.pow(F.sum(size).cast("double"), F.lit(power)).alias("weight"))
+
+
+def placed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` with ``__slot`` and ``__at``, their place in the order of :func:`mix`."""
     at = mix(docs, text=text, doc_id=doc_id, **options).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("slot").alias("__slot"), F.col("slot_offset").alias("__at"))
     at = at.groupBy("__id", "__hash").agg(F.min(F.struct("__slot", "__at")).alias("__place"))
     rows = docs.withColumn("__row_hash", F.xxhash64(text))
     rows = rows.join(at, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__row_hash") == F.col("__hash")))
-    order = ["__place.__slot", doc_id]
-    return rows.repartitionByRange(*order).sortWithinPartitions("__place", doc_id).select(*[F.col(f"`{c}`") for c in cols])
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__place.__slot", "__place.__at")
+
+
+def in_mixed_order(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` in the order of :func:`mix`: ranges of slots are partitions, sorted within."""
+    rows = placed(docs, text, doc_id, **options)
+    return rows.repartitionByRange("__slot", doc_id).sortWithinPartitions("__slot", "__at", doc_id).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The same in DuckDB, for the defaults. {docs} is the table.
