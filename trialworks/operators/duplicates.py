@@ -68,31 +68,78 @@ def minhash(t: Column, n: int = 64, k: int = 5) -> Column:
     return run(t)
 
 
-def near_duplicate_pairs(docs: DataFrame, similarity: float = 0.8, n: int = 64, bands: int = 16, k: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(a, b, similarity) of representatives of distinct loose texts that share a band bucket and verify.
-
-    Equal loose texts are one class, named by its least id. In a bucket every member meets the bucket's least one, so
-    the candidates grow with the rows; the links that remain are closed by :func:`near_duplicate_clusters`.
-    """
+def _sketched(docs: DataFrame, n: int, bands: int, k: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """(id, t, size) of each class of equal loose texts, named by its least id, and (id, size, key), a row per band."""
     rows = docs.select(F.col(doc_id).alias("id"), X.norm_loose(F.col(text)).alias("t")).where("t <> ''").groupBy("t").agg(F.min("id").alias("id"))
-    sets = written(rows.select("id", "t", minhash(F.col("t"), n, k).alias("m")), "sketches")
+    sets = written(rows.select("id", "t", minhash(F.col("t"), n, k).alias("m"), _set_size(F.col("t"), k).alias("size")), "sketches")
     per = n // bands
     keys = F.array(*[F.xxhash64(F.lit(i), F.slice("m", i * per + 1, per)) for i in range(bands)])
-    hits = sets.select("id", F.explode(keys).alias("key"))
-    hubs = hits.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1")
-    pairs = hits.join(hubs, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    return sets.select("id", "t", "size"), sets.select("id", "size", F.explode(keys).alias("key"))
+
+
+def _set_size(t: Column, k: int) -> Column:
+    @F.pandas_udf("long")
+    def run(texts):
+        return texts.map(lambda x: len(shingle_set(x, k)))
+
+    return run(t)
+
+
+def _fits(a: Column, b: Column, similarity: float) -> Column:
+    """False only for sizes at which no two sets reach ``similarity``."""
+    return F.least(a, b) + 1e-6 >= F.greatest(a, b) * similarity
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, k: int) -> DataFrame:
     t = sets.select("id", "t")
     found = pairs.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b").withColumn("similarity", jaccard(F.col("ta"), F.col("tb"), k))
     return found.where(F.col("similarity") >= similarity).select("a", "b", "similarity")
 
 
+def near_duplicate_pairs(docs: DataFrame, similarity: float = 0.8, n: int = 64, bands: int = 16, k: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(a, b, similarity) of all pairs of distinct loose texts that share a band bucket and verify, a < b.
+
+    Equal loose texts are one class, named by its least id. All members of a bucket meet, but for those whose sizes
+    rule the similarity out, so the pairs of a group of near copies grow with its square, as the result does;
+    :func:`near_duplicate_clusters` closes the same links without making them all.
+    """
+    sets, hits = _sketched(docs, n, bands, k, text, doc_id)
+    a, b = hits.toDF("a", "size_a", "key"), hits.toDF("b", "size_b", "key")
+    pairs = a.join(b, "key").where(F.col("a") < F.col("b")).where(_fits(F.col("size_a"), F.col("size_b"), similarity)).select("a", "b").distinct()
+    return _verified(pairs, sets, similarity, k)
+
+
+def near_duplicate_links(docs: DataFrame, similarity: float = 0.8, n: int = 64, bands: int = 16, k: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(a, b) with the same components as the pairs of :func:`near_duplicate_pairs`.
+
+    First a bucket's members meet its least one only, and the links found are closed. Then, in buckets whose members
+    are still in several components, the members outside the largest one meet those of other components; the rest of
+    the pairs would link texts that are together already. No bucket is capped.
+    """
+    sets, hits = _sketched(docs, n, bands, k, text, doc_id)
+    hubs = hits.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "size")).alias("hub")).where("c > 1")
+    hits = written(hits.join(hubs, "key"), "buckets")
+    star = hits.where(F.col("id") != F.col("hub.id")).where(_fits(F.col("size"), F.col("hub.size"), similarity)).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
+    star = written(star.distinct(), "stars")
+    links = written(_verified(star, sets, similarity, k).select("a", "b"), "links")
+    component = connected_components(links, "a", "b")
+    named = hits.join(component, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("label"))
+    several = named.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("m", "label"))["label"].alias("largest")).where("labels > 1")
+    open_ = written(named.join(several.select("key", "largest"), "key"), "open-buckets")
+    x, y = open_.where("label <> largest").alias("x"), open_.alias("y")
+    once = (F.col("y.label") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id"))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & _fits(F.col("x.size"), F.col("y.size"), similarity))
+    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    return links.unionByName(_verified(pairs, sets, similarity, k).select("a", "b"))
+
+
 def near_duplicate_clusters(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """(id, component) over all rows: near-duplicate links closed, copies of a class included, single rows too."""
     key = X.norm_loose(F.col(text))
     named = docs.select(F.col(doc_id).alias("id"), key.alias("t"))
     least = named.where("t <> ''").groupBy("t").agg(F.min("id").alias("rep"))
     named = named.join(least, "t", "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    component = connected_components(near_duplicate_pairs(docs, text=text, doc_id=doc_id, **options), "a", "b")
+    component = connected_components(near_duplicate_links(docs, text=text, doc_id=doc_id, **options), "a", "b")
     return named.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
 
 
