@@ -21,6 +21,7 @@ RAW = set("script style noscript template textarea title xmp iframe noembed nofr
 UNSEEN = set("head svg math object canvas audio video select datalist option map".split())
 PARTS = set("article main section aside nav header footer form div td ol ul body".split())
 CLOSED_BY_SELF = set("p li dt dd tr td th option".split())
+IN_HEAD = set("html head base basefont bgsound link meta title script style noscript template noframes".split())
 
 
 def leaf_blocks(page: str) -> list[tuple[str, tuple, frozenset, float, tuple]]:
@@ -28,6 +29,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, frozenset, float, tuple]]:
     name tokens of the nearest ancestor that has any.
 
     Unclosed and stray tags are tolerated: a closing tag closes the nearest open element of its name, if there is one.
+    An open head ends where text or an element begins that cannot stand in it, as its end tag may be left out.
     """
     stack: list[tuple[str, tuple]] = []
     blocks, parts, linked, links, pos, n = [], [], 0, 0, 0, len(page)
@@ -42,8 +44,15 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, frozenset, float, tuple]]:
                 blocks.append((text, tuple(t for t, _ in stack if t not in INLINE), names, min(1.0, linked / len(text)), near))
             parts, linked = [], 0
 
+    def leave_head() -> None:
+        at = next((i for i, (t, _) in enumerate(stack) if t == "head"), None)
+        if at is not None:
+            del stack[at:]
+
     def add(raw: str) -> None:
         nonlocal linked
+        if raw and stack and stack[-1][0] == "head" and not raw.isspace():
+            leave_head()
         if raw and not any(t in UNSEEN for t, _ in stack):
             text = entities.unescape(raw) if "&" in raw else raw
             parts.append(text)
@@ -72,6 +81,8 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, frozenset, float, tuple]]:
                     links -= sum(t == "a" for t, _ in stack[at:])
                     del stack[at:]
             continue
+        if tag not in IN_HEAD:
+            leave_head()
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
             pos = end.end() if end else n
@@ -85,7 +96,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, frozenset, float, tuple]]:
         elif tag not in INLINE and stack and stack[-1][0] == "p":
             stack.pop()
         links += tag == "a"
-        own = tuple(w.lower() for g in NAMED.findall(m[3]) for w in WORD.findall("".join(g)))[:8] if m[3] else ()
+        own = tuple(w.lower() for g in NAMED.findall(m[3]) for w in WORD.findall("".join(g))) if m[3] else ()
         stack.append((tag, own))
     flush()
     return blocks
