@@ -16,6 +16,8 @@ VIEWS = {
         from lineitem join part on l_partkey = p_partkey group by l_suppkey, p_name, p_brand, p_type""",
     "closure_pass": """select distinct l_orderkey as test_id, concat('copy ', cast(l_partkey as string)) as copy_text, l_orderkey * 1000000 + l_partkey as row_id, min(l_shipdate) over (partition by l_orderkey, l_partkey) as created_at
         from lineitem where l_shipdate >= timestamp '1998-01-01 00:00:00' and l_shipdate < timestamp '1998-01-29 00:00:00'""",
+    "closure_full": """select l_orderkey as test_id, concat('copy ', cast(l_partkey as string), ' ', cast(date_trunc('week', l_shipdate) as string)) as copy_text,
+        min(l_orderkey * 10 + l_linenumber) as row_id, min(l_shipdate) as created_at from lineitem group by l_orderkey, l_partkey, date_trunc('week', l_shipdate)""",
     "closure_abort": "select l_suppkey as test_id, p_name as copy_text, min(l_orderkey * 10 + l_linenumber) as row_id from lineitem join part on l_partkey = p_partkey group by l_suppkey, p_name",
     "stories": "select page_id as id, url from pages",
     "reposts": """select o_orderkey as id, o_custkey as url, o_orderpriority as title, cast(floor(o_totalprice / 1000) as bigint) as points, o_orderstatus as author,

@@ -311,6 +311,11 @@ def component_guard(spark, d):
     return G.component_guard(G.leakage_groups(view(spark, d, "closure_pass")), strict=False)
 
 
+@query()
+def component_guard_abort(spark, d):
+    return G.component_guard(G.leakage_groups(view(spark, d, "closure_abort")), strict=False)
+
+
 SPLIT = f"""{CLOSURE}, o as (select group_id, row_number() over (order by md5(group_id || ':7'), group_id) - 1 as place, count(*) over () as n from (select distinct group_id from grp)),
 split as (select grp.*, case when place < round(n * 0.7) then 'train' when place < round(n * 0.7) + round(n * 0.15) then 'val' else 'test' end as split from grp join o using (group_id))"""
 
@@ -342,6 +347,46 @@ def temporal_split(spark, d):
     return G.temporal_split(view(spark, d, "closure_pass")).select("row_id", "early")
 
 
+# The same over all of lineitem, a copy being a part in a ship week; a recursive closure in SQL is too slow there.
+def full_groups(spark, d):
+    return G.leakage_groups(view(spark, d, "closure_full"))
+
+
+@query()
+def leakage_groups_full(spark, d):
+    return full_groups(spark, d).select("row_id", "group_id")
+
+
+@query()
+def component_guard_full(spark, d):
+    return G.component_guard(full_groups(spark, d), strict=False)
+
+
+@query()
+def grouped_split_full(spark, d):
+    return G.grouped_split(full_groups(spark, d)).select("row_id", "split")
+
+
+@query()
+def verify_split_full(spark, d):
+    return G.verify_split(G.grouped_split(full_groups(spark, d)))
+
+
+@query()
+def split_profile_full(spark, d):
+    return G.split_profile(G.grouped_split(full_groups(spark, d)).withColumn("target", F.col("row_id") % 97))
+
+
+@query()
+def group_sample_full(spark, d):
+    return G.group_sample(full_groups(spark, d), 200).select("row_id", "group_id")
+
+
+@query()
+def temporal_split_full(spark, d):
+    return G.temporal_split(view(spark, d, "closure_full")).select("row_id", "early")
+
+
 @query(rf"""with h as (select sha256(lower({EXACT})) as h from documents), b as (select substr(h, 1, 3) as b, sha256(string_agg(h, chr(10) order by h)) as s from h group by 1) select sha256(string_agg(s, chr(10) order by b)) as fingerprint from b""")
 def fingerprint(spark, d):
     return G.fingerprint(table(spark, d, "documents"), "text")
