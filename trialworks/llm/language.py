@@ -152,6 +152,16 @@ def predict_language(text: Column, model: LanguageModel | None) -> Column:
     return predict(text)
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text has a letter, as :func:`predict_language` sees it; false for null."""
+
+    @F.pandas_udf(T.BooleanType())
+    def run(texts):
+        return texts.map(lambda t: t is not None and bool(LETTER.search(t))).astype(bool)
+
+    return run(text)
+
+
 def identify_languages(docs: DataFrame, sample_rows: int = 2400, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, from its text alone.
 
