@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialworks.llm.exact import exact_groups, keep_rows
-from trialworks.llm.mixing import cycle_shares, edf_cycle, mix
 from trialworks.llm.sharding import hilbert_index, shard
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bytes string, hash string, slot long, cell long"
@@ -47,35 +46,6 @@ def test_keep_rows_keeps_columns_and_one_of_repeats(spark):
     assert out.columns == docs.columns and sorted(str(r.doc_id) for r in out.collect()) == ["7", "None"]
 
 
-@pytest.mark.parametrize("weights", [[1, 1], [5, 3, 2], [0.7, 0.2, 0.05, 0.05], [1]])
-def test_edf_stays_within_one_block(spark, weights):
-    names = [f"w{i}" for i in range(len(weights))]
-    shares = cycle_shares(spark.createDataFrame(list(zip(names, map(float, weights))), "source string, weight double"), 40)
-    plan = edf_cycle(shares).collect()
-    assert sorted(p.slot for p in plan) == list(range(40))
-    assert all(p.release <= p.slot < p.deadline for p in plan)
-    share = {p.source: p.share for p in plan}
-    at = {p.slot: p.source for p in plan}
-    done = Counter()
-    for t in range(40):
-        done[at[t]] += 1
-        assert all(abs(done[s] - (t + 1) * share[s] / 40) < 1 for s in names)
-
-
-def test_mix_keeps_every_row_in_order(spark):
-    rows = odd(400)
-    got = mix(table(spark, rows), block_size=500, cycle=32).collect()
-    assert Counter(g.doc_id for g in got) == Counter(r[0] for r in rows)
-    assert sum(g["size"] for g in got) == sum(len((r[1] or "").encode()) + 1 for r in rows)
-    assert all(g.release <= g.slot < g.deadline for g in got)
-    for _, g in itertools.groupby(sorted(got, key=lambda g: (str(g.source), g.slot, g.slot_offset)), key=lambda g: g.source):
-        g = list(g)
-        assert all(b.block > a.block or b.slot_offset == a.slot_offset + a["size"] for a, b in zip(g, g[1:]))
-    assert len({g.slot for g in got}) == len({(g.source, g.block) for g in got})
-    even = mix(table(spark, rows), block_size=500, cycle=30, weights=spark.createDataFrame([("s1", 2.0), ("s2", 1.0)], "source string, weight double")).collect()
-    assert len(even) == len(got) and mix(table(spark, [])).collect() == []
-
-
 def test_hilbert_curve_steps_by_one():
     for n, bits in ((2, 3), (3, 3)):
         points = np.array(list(itertools.product(range(1 << bits), repeat=n)))

@@ -65,12 +65,6 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
-def op7_source_mixing_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from trialworks.llm.mixing import mix
-
-    return mix(table(spark, sf_dir, "documents"), cycle=None).drop("text_hash")
-
-
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trialworks.llm.suffix import remove_repeats
 
