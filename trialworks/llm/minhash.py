@@ -15,7 +15,6 @@ from trialworks.storage import written
 #: Universe of the permutations, as a power of two.
 UNIVERSE_BITS = 22
 REMEMBERED = 400_000
-BITS = ["b0", "b1", "b2", "b3"]
 
 
 class WordHashes(dict):
@@ -81,7 +80,7 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n (set size), d1 and d2 (an order-free 128-bit digest of the set), keys (one a band), low (8 bits a coordinate), b0 to b3 (one bit a coordinate)."""
+    """doc_id, n (set size), d1 and d2 (an order-free 128-bit digest of the set), keys (one a band), low (8 bits a coordinate)."""
 
     def run(batches):
         import pyarrow as pa
@@ -89,7 +88,7 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
         words = WordHashes()
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                part, n, d1, d2, keys, low, bits = b.slice(at, 256), [], [], [], [], [], []
+                part, n, d1, d2, keys, low = b.slice(at, 256), [], [], [], [], []
                 for t in part.column("text").to_pylist():
                     s = shingle_set(t, k, words)
                     n.append(len(s))
@@ -98,12 +97,10 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     sig = signature(s, bands * rows) if len(s) else None
                     keys.append(None if sig is None else band_keys(sig, rows))
                     low.append(None if sig is None else sig.astype(np.uint8).tobytes())
-                    bits.append(np.zeros(4, np.int64) if sig is None else np.frombuffer(np.packbits(sig[:256] & 1).tobytes().ljust(32, b"\0"), np.int64))
                 cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())]
-                cols += [pa.array([x[i] for x in bits], pa.int64()) for i in range(4)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "d1", "d2", "keys", "low", *BITS])
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "d1", "d2", "keys", "low"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>, low binary, " + ", ".join(f"{b} long" for b in BITS))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>, low binary")
 
 
 def _agreement(a: Column, b: Column) -> Column:
@@ -126,13 +123,9 @@ def _linked(a: Column, b: Column, k: int, percent: int) -> Column:
     def check(x, y):
         import pandas as pd
 
-        words, kept, out = WordHashes(), {}, []
+        sets, out = HubSets(k), []
         for p, q in zip(x, y):
-            if p not in kept:  # a hub's set is made once for its run of pairs
-                if len(kept) > 64:
-                    kept.clear()
-                kept[p] = shingle_set(p, k, words)
-            s, t = kept[p], shingle_set(q, k, words)
+            s, t = sets[p], sets.of(q)
             both = len(np.intersect1d(s, t, assume_unique=True))
             out.append(100 * both >= percent * (len(s) + len(t) - both))
         return pd.Series(out, dtype="bool")
@@ -140,6 +133,78 @@ def _linked(a: Column, b: Column, k: int, percent: int) -> Column:
     return check(a, b)
 
 
+class HubSets(dict):
+    """Shingle sets of hubs, kept for their runs of pairs."""
+
+    def __init__(self, k: int):
+        super().__init__()
+        self.k, self.words = k, WordHashes()
+
+    def of(self, text: str) -> np.ndarray:
+        return shingle_set(text, self.k, self.words)
+
+    def __missing__(self, text: str) -> np.ndarray:
+        if len(self) > 64:
+            self.clear()
+        self[text] = s = self.of(text)
+        return s
+
+
+def _apart(hub: Column, text: Column, k: int) -> Column:
+    """struct(n_hub, less, more, tokens): the hub's set size, how many of its shingles a text lacks, how many it has besides, and all of these."""
+
+    @F.pandas_udf("struct<n_hub: long, less: long, more: long, tokens: array<long>>")
+    def run(x, y):
+        import pandas as pd
+
+        sets, rows = HubSets(k), []
+        for p, q in zip(x, y):
+            s, t = sets[p], sets.of(q)
+            less, more = np.setdiff1d(s, t, assume_unique=True), np.setdiff1d(t, s, assume_unique=True)
+            rows.append((len(s), len(less), len(more), np.concatenate([less, more]).view(np.int64)))
+        return pd.DataFrame(rows, columns=["n_hub", "less", "more", "tokens"])
+
+    return run(hub, text)
+
+
+def _between(groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) certain links and (a, b) pairs to confirm among the members of each hub's group, for labels that differ.
+
+    ``groups`` (hub, rep, label, n_hub, less, more, tokens), with hub and rep as struct(id, hash of the text), tells a member by what separates it from the hub. For members x, y of
+    a group with hub H the intersection is |H| - less(x) - less(y) + (tokens that x and y share), so with
+    phi = percent * size + (100 + percent) * less they are linked when (100 + percent) * shared >= phi(x) + phi(y) -
+    (100 + percent) * |H|. Where that is zero or less the link is certain, and as it holds for x and the member of least
+    phi whenever it holds for x and any other, only pairs with that member are made. Otherwise x and y must share that many
+    tokens: tokens that no other member has are left out, members that have too few tokens left for any partner go, and
+    the others meet where the rarest of their tokens do (prefix filter: all but the needed number less one).
+    """
+    unit = 100 + percent
+    size = F.col("n_hub") - F.col("less") + F.col("more")
+    g = groups.withColumn("phi", percent * size + unit * F.col("less") - unit * F.col("n_hub") / 2)  # half of |H| each
+    most = g.groupBy("hub", "label").agg(F.count("*").alias("c")).groupBy("hub").agg(F.max(F.struct("c", "label"))["label"].alias("largest"))
+    least = g.groupBy("hub").agg(F.min(F.struct("phi", "rep", "label")).alias("least"))
+    sure = g.join(least, "hub").where((F.col("label") != F.col("least.label")) & (F.col("phi") + F.col("least.phi") <= 0))
+    sure = sure.select(F.least("rep.id", "least.rep.id").alias("a"), F.greatest("rep.id", "least.rep.id").alias("b")).distinct()
+    t = g.select("hub", "rep", F.explode("tokens").alias("token"))
+    df = t.groupBy("hub", "token").agg(F.count("*").alias("df")).where("df > 1")
+    own = t.join(df, ["hub", "token"]).groupBy("hub", "rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
+    d = g.drop("tokens").join(own, ["hub", "rep"]).join(most, "hub").withColumn("out", F.col("label") != F.col("largest")).withColumn("d", F.size("own"))
+    d = written(d, "separated")
+
+    def needed(x: DataFrame, low: DataFrame) -> DataFrame:
+        x = x.join(low, "hub").withColumn("need", F.greatest(F.lit(1), F.ceil((F.col("phi") + F.col("low")) / unit - 1e-9)))
+        return x.where("need <= d").drop("low")
+
+    outside = needed(d.where("out"), d.groupBy("hub").agg(F.min("phi").alias("low")))
+    inside = needed(d, outside.groupBy("hub").agg(F.min("phi").alias("low")))
+    prefix = lambda x: x.withColumn("token", F.explode(F.slice("own", F.lit(1), F.col("d") - F.col("need").cast("int") + 1))).withColumn("token", F.col("token.token"))
+    x, y = prefix(outside).alias("x"), prefix(inside).alias("y")
+    once = ~F.col("y.out") | (F.col("x.rep") < F.col("y.rep"))
+    enough = F.least("x.d", "y.d") * unit >= F.col("x.phi") + F.col("y.phi") - 1e-6
+    pairs = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & once & enough)
+    return sure, pairs.select(F.least("x.rep.id", "y.rep.id").alias("a"), F.greatest("x.rep.id", "y.rep.id").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 42, rows: int = 6, margin: float = 0.16, text: str = "text", doc_id: str = "doc_id",
 ) -> DataFrame:
@@ -150,11 +215,10 @@ def near_duplicates(
 
     Documents with equal sets are one class. Class representatives are sketched by circulant MinHash; with 42 bands of 6
     rows a pair at similarity 0.8 shares a bucket but for about 3 in a million, a closer one more surely still. First
-    each bucket's members are checked against its least member only, and the confirmed links are closed to components.
-    Then, in buckets whose members are still in several components, members outside the largest component meet the
-    members of other components: no pair within a component is ever made. A candidate of incompatible size, or one whose
-    signatures disagree by over six standard deviations more than linked texts' would, is left out inside the join; the
-    rest is confirmed on the full sets of the whole texts. No group is capped.
+    each bucket's members are checked against its hub only, the member that meets most others over all buckets, and the
+    confirmed links are closed to components. Where the members that met one hub are still in several components, the
+    pairs between these that can be linked are found from what separates each member from the hub (:func:`_between`,
+    exact), and confirmed. Links are confirmed on the full sets of the whole texts. No group is capped.
 
     Empty and null texts have no shingles and are linked with nothing. Rows with a null id are never linked: their
     component is null and they are kept. Rows repeating an id are one node, with the links of all their texts. An empty
@@ -165,44 +229,44 @@ def near_duplicates(
     digest = ["n", "d1", "d2"]
     first = sk.where("n > 0 and doc_id is not null").groupBy(*digest).agg(F.min(F.struct("doc_id", "row")).alias("rep"))
     first = written(first.select(*digest, "rep.doc_id", "rep.row").withColumnRenamed("doc_id", "rep"), "classes")
-    reps = sk.join(first.select("row", "rep"), "row").select("rep", "n", "keys", "low", *BITS, "row")
+    reps = sk.join(first.select("row", "rep"), "row").select("rep", "n", "keys", "low", "row")
     members = sk.select("doc_id", *digest).join(first.drop("row"), digest, "left")
     reps = written(reps.drop("row"), "representatives")
 
-    hits = reps.select("rep", "n", F.explode("keys").alias("key")).repartition("key")
-    shared = hits.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("rep", "n")).alias("hub")).where("m > 1")
+    hits = reps.select("rep", "n", F.explode("keys").alias("key"))
+    shared = hits.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     hits = written(hits.join(shared, "key"), "buckets")
-    fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    star = hits.where(F.col("rep") != F.col("hub.rep")).where(fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
-    star = written(star.distinct(), "stars")
-    likely = percent / 100 - margin
-    needed = hits.select("rep").distinct()
-    texts = written(base.join(needed, base.doc_id == needed.rep, "left_semi"), "texts")  # all texts of a repeated id
+    met = hits.groupBy("rep").agg(F.sum("m").alias("met"))
+    hits = hits.join(met, "rep").select("key", "rep", "n", "met")
+    hubs = hits.groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("less"), "n")).alias("h")).select("key", (-F.col("h.less")).alias("hub"), F.col("h.n").alias("n_hub"))
+    star = hits.join(hubs, "key").where("rep <> hub").select("hub", "rep", "n", "n_hub").distinct()
+    star = written(star, "stars")
+    fits = F.least("n", "n_hub") * 100 >= F.greatest("n", "n_hub") * percent
+    texts = written(base.join(hits.select("rep").distinct(), base.doc_id == F.col("rep"), "left_semi"), "texts")  # all texts of a repeated id
+    low = reps.select("rep", "low")
+
+    def with_texts(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        return pairs.join(texts.toDF(a, "text_a"), a).join(texts.toDF(b, "text_b"), b)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        low = reps.select("rep", "low")
-        p = pairs.join(low.toDF("a", "low_a"), "a").join(low.toDF("b", "low_b"), "b").where(_agreement(F.col("low_a"), F.col("low_b")) >= likely)
-        p = p.select("a", "b").join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-        return p.where(_linked(F.col("text_a"), F.col("text_b"), k, percent)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        return with_texts(pairs, "a", "b").where(_linked(F.col("text_a"), F.col("text_b"), k, percent)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
+    likely = star.where(fits).select(F.col("hub").alias("a"), F.col("rep").alias("b")).join(low.toDF("a", "low_a"), "a").join(low.toDF("b", "low_b"), "b")
+    likely = likely.where(_agreement(F.col("low_a"), F.col("low_b")) >= percent / 100 - margin).select("a", "b")
     same_id = members.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("src"), F.collect_set("rep").alias("all")).where("size(all) > 1")
     same_id = same_id.select("src", F.explode("all").alias("dst")).where("src <> dst")
-    links = written(confirmed(star).unionByName(same_id), "links")
+    links = written(confirmed(likely).unionByName(same_id), "links")
     component = connected_components(links)
 
-    named = hits.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
-    several = named.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("m", "label"))["label"].alias("largest")).where("labels > 1")
-    open_ = named.join(several.select("key", "largest"), "key").join(reps.select("rep", "n", *BITS), ["rep", "n"])
-    open_ = written(open_, "open-buckets")
-    a, b = open_.where("label <> largest").alias("a"), open_.alias("b")
-    outside = (F.col("b.label") == F.col("b.largest")) | (F.col("a.rep") < F.col("b.rep"))
-    # One bit of each coordinate differs with probability (1 - similarity) / 2; six standard deviations are allowed.
-    count, p = min(256, bands * rows), (1 - percent / 100) / 2
-    apart = sum((F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in BITS), F.lit(0))
-    close = apart <= int(count * p + 6 * (count * p * (1 - p)) ** 0.5) + 1
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & outside & fits(F.col("a.n"), F.col("b.n")) & close)
-    pairs = pairs.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = written(confirmed(pairs), "links")
+    label = component.withColumnRenamed("id", "rep")
+    named = star.select("hub", "rep").unionByName(star.select("hub", F.col("hub").alias("rep")).distinct())
+    named = written(named.join(label, "rep", "left").select("hub", "rep", F.coalesce("component", "rep").alias("label")), "named")
+    several = named.groupBy("hub").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("hub")
+    open_ = with_texts(named.join(several, "hub"), "hub", "rep")
+    node = lambda i, t: F.struct(F.col(i).alias("id"), F.xxhash64(t).alias("text")).alias(i)
+    open_ = open_.select(node("hub", "text_a"), node("rep", "text_b"), "label", _apart(F.col("text_a"), F.col("text_b"), k).alias("x"))
+    sure, pairs = _between(written(open_.select("hub", "rep", "label", "x.*"), "open-groups"), percent)
+    more = written(confirmed(pairs).unionByName(sure.toDF("src", "dst")), "links")
     if not more.isEmpty():
         component = connected_components(component.select(F.col("id").alias("src"), F.col("component").alias("dst")).unionByName(more))
 
