@@ -83,14 +83,17 @@ def ngram_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, smoothing: float = 1.0, text: str = "text", doc_id: str = "doc_id") -> np.ndarray:
-    """log P(bucket | trusted) - log P(bucket | raw), from the counts of all trusted and of all documents.
+def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, trusted_rows: int = 20_000, smoothing: float = 1.0, text: str = "text", doc_id: str = "doc_id") -> np.ndarray:
+    """log P(bucket | trusted) - log P(bucket | raw): raw counts are those of all documents.
 
-    ``trusted_ids`` is a one-column table of ids. Only the bucket counts (a fixed number) reach the driver.
+    ``trusted_ids`` is a one-column table of ids. The classifier's trusted side is fitted on the ``trusted_rows`` ids that
+    hash lowest, a bound that lets them be broadcast so that no text is shuffled; rows that repeat such an id all count.
+    Only the bucket counts (a fixed number) reach the driver.
     """
-    ids = trusted_ids.toDF("__id").distinct()
-    trusted = docs.join(ids, F.col(doc_id) == F.col("__id"), "left_semi").select(text)
-    rows = [ngram_counts(trusted).collect(), ngram_counts(docs.select(text)).collect()]
+    ids = trusted_ids.toDF("id").distinct().orderBy(F.xxhash64("id"), "id").limit(trusted_rows)
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    trusted = rows.join(F.broadcast(ids), "id", "left_semi").select("text")  # at most trusted_rows ids
+    rows = [ngram_counts(trusted).collect(), ngram_counts(rows.select("text")).collect()]
     logs = []
     for got in rows:
         n = np.full(BUCKETS, smoothing)
@@ -139,18 +142,20 @@ def best_threshold(scored: DataFrame, labels: DataFrame) -> float:
     return cut
 
 
-def judge(docs: DataFrame, labels: DataFrame, min_words: int = 50, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, min_words: int = 50, trusted_rows: int = 20_000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, the base counts, base_failed, llr and kept for every row.
 
     ``labels`` (doc_id, quality 0 or 1) names trusted documents (1) and known bad ones (0); null labels and ids are
     ignored, and of repeated ones the last value wins by maximum. Base rules: fewer than ``min_words`` words, or more
     than half of the words in repeated three-word windows. The rest is kept when its length-normalised log-likelihood
-    ratio, trusted against raw, reaches the threshold that the labelled documents passing the base rules give.
+    ratio, trusted against raw, reaches the threshold that the labelled documents passing the base rules give. The ratio's
+    trusted side is fitted on at most ``trusted_rows`` labelled ids; raw counts, scores and threshold cover all rows.
 
-    A null text counts as empty (it fails), rows may repeat, an empty table gives an empty result.
+    A null text counts as empty (it fails), rows may repeat, an empty table gives an empty result. Other columns, whatever
+    their names, are ignored. Texts of any length are counted whole.
     """
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("long").alias("good"))
-    ratio = fit_ratio(docs, labels.where("good = 1").select("doc_id"), text=text, doc_id=doc_id)
+    ratio = fit_ratio(docs, labels.where("good = 1").select("doc_id"), trusted_rows, text=text, doc_id=doc_id)
     scored = written(measure(docs, ratio, text, doc_id), "quality")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
