@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 
@@ -24,10 +25,21 @@ def test_word_ids_equal_the_library():
     w = word_ids(WORDS)
     rng = np.random.default_rng(1)
     for t in ODD + ["".join(rng.choice(list("aB \n\té.,'s1<|"), 40)) for _ in range(500)]:
-        assert np.frombuffer(w.ids(t, b""), "<u4").tolist() == w.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(w.ids(t, 2), "<u4").tolist() == [*w.encode(t, add_special_tokens=False).ids, 2]
     texts = ODD + ["".join(rng.choice(list("aBéß \n\t.,'s!<|"), 60)) for _ in range(1500)] + ["Word,' don't,'s a|>b x<|endoftext|>, Straße!! ÉTÉ."]
     w.clear()
-    assert [np.frombuffer(x, "<u4").tolist() for x in w.all_ids(texts, b"")] == [w.encode(t, add_special_tokens=False).ids for t in texts]
+    for part in (texts, [t for t in texts if "<|" not in t], texts[:3] + [None]):
+        for size in (10**6, 200):
+            got = [np.frombuffer(x.as_py(), "<u4").tolist() for run in w.sliced(pa.array(part, pa.string()), size) for x in w.arrays(run, 2)[1]]
+            assert got == [[*w.encode(t or "", add_special_tokens=False).ids, 2] for t in part]
+
+
+def test_word_ids_start_afresh(monkeypatch):
+    w, texts = word_ids(WORDS), [f"word{i} Other{i}, é{i}" for i in range(300)]
+    monkeypatch.setattr("trialworks.llm.tokens.STRETCHES", 50)
+    for at in range(0, 300, 30):
+        n, ids = w.arrays(pa.array(texts[at : at + 30]), 2)
+        assert [np.frombuffer(x.as_py(), "<u4").tolist() for x in ids] == [[*w.encode(t, add_special_tokens=False).ids, 2] for t in texts[at : at + 30]]
 
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_tokens long, lane long"
@@ -54,7 +66,7 @@ def test_pack_round_trip(spark, lane_bytes):
     data = rows(150)
     got = pack(spark.createDataFrame(data, SCHEMA), WORDS, lane_bytes=lane_bytes).toPandas()
     get = word_ids(WORDS).ids
-    ids = [get(r[1], (2).to_bytes(4, "little")) for r in data]
+    ids = [get(r[1], 2) for r in data]
     assert got["length"].sum() == sum(len(x) // 4 for x in ids)
     want = {}
     for r, x in zip(data, ids):

@@ -73,18 +73,18 @@ def pack(
         base = base.join(before, "slot")
     else:
         base = base.withColumn("lane", F.pmod(F.xxhash64("doc_id", "text"), F.lit(lanes)))
-    end = int(end_id).to_bytes(4, "little")
 
     def tokenise(batches):
         import pyarrow as pa
 
-        get = word_ids(tokenizer_path).all_ids
+        words, names = word_ids(tokenizer_path), ["doc_id", "source", "lane", "slot", "at"]
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                ids = get(part.column("text").to_pylist(), end)
-                cols = [part.column("doc_id"), part.column("source"), part.column("lane"), part.column("slot"), part.column("at"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "source", "lane", "slot", "at", "n", "ids"])
+            at = 0
+            for texts in words.sliced(b.column("text")):
+                n, ids = words.arrays(texts, end_id)
+                part = b.slice(at, len(texts))
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(n, pa.int64()), ids], [*names, "n", "ids"])
 
     # Texts are tokenised once; the sums read only the small columns of that table.
     tokens = written(base.mapInArrow(tokenise, "doc_id long, source string, lane long, slot long, at long, n long, ids binary"), "tokens", "zstd")

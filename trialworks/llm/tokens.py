@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
-import struct
-from collections.abc import Iterable
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +17,9 @@ from pyspark.sql import types as T
 SPACE = "▁"
 #: Distinct units that a Python worker remembers before it starts afresh.
 REMEMBERED = 400_000
-#: The same for word ids, of which two generations are held.
-GENERATION = 500_000
+#: Distinct stretches, and characters of them, that a worker remembers for word ids.
+STRETCHES = 600_000
+STRETCH_CHARS = 16_000_000
 
 
 class UnitCounts(dict):
@@ -93,10 +97,6 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, text: str
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-#: A stretch of letters and then signs. The tokenizer splits there before its merges, unless an apostrophe begins them.
-WORD_AND_SIGNS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?")
-
-
 def byte_letters() -> dict[int, str]:
     """What byte-level BPE writes for each letter of Latin-1 beyond ASCII: printable bytes stand for themselves, the
     others for the characters from 256 on, in order."""
@@ -106,17 +106,16 @@ def byte_letters() -> dict[int, str]:
     return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
-PACKERS = [struct.Struct(f"<{n}I").pack for n in range(65)]
-
+#: A letter and a sign after it. The tokenizer splits there before its merges, unless the sign is an apostrophe.
+LETTER_AND_SIGN = "([a-z\u00df-\u00f6\u00f8-\u00ff])([!-&(-/:-@\\[-`{-~])"
+LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
-def packed(ids: list[int]) -> bytes:
-    return PACKERS[len(ids)](*ids) if len(ids) < 65 else struct.pack(f"<{len(ids)}I", *ids)
 
+class WordIds:
+    """Ids of texts, put together from the ids of their distinct stretches between spaces, newlines and signs.
 
-class WordIds(dict):
-    """Ids, as little-endian unsigned 32-bit numbers, of each stretch of text between spaces or newlines.
-
-    Holds one generation of stretches; the one before it is kept beside, so that frequent ones are not learnt again.
+    White space is dropped by this tokenizer before its merges, so stretches between it are independent. A worker
+    remembers up to :data:`STRETCHES` of them (or :data:`STRETCH_CHARS` characters) and then starts afresh.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -125,61 +124,75 @@ class WordIds(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
         from tokenizers import Tokenizer
 
-        super().__init__()
         model = Tokenizer.from_file(tokenizer_path)
-        self.encode, self.encode_batch, self.merge, self.before = model.encode, model.encode_batch, model.model.tokenize, {}
+        self.encode, self.encode_batch, self.merge = model.encode, model.encode_batch, model.model.tokenize
         assert all("<|" in t.content for t in model.get_added_tokens_decoder().values())
         self.signs = byte_letters()
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.flat, self.first, self.n, self.chars = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64), 0
 
-    def __missing__(self, word: str) -> bytes:
-        self.learn([word])
-        return self.pop(word) if len(word) > 64 else self[word]
-
-    def letters(self, word: str) -> bytes:
-        """Ids of lower-case letters: one pre-token, which normalising leaves as it is, so only the merges are run."""
-        found = self.get(word) or self.before.get(word)
-        if found is None:
-            ids = [t.id for t in self.merge(word if word.isascii() else word.translate(self.signs))]
-            found = packed(ids)
-        self[word] = found
-        return found
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Encodes words that are not known yet; words and the signs after them apart."""
-        if len(self) > GENERATION:
-            self.before = dict(self)
+    def numbers(self, stretches: list[str]) -> np.ndarray:
+        """The number of each of these distinct stretches; those not known are learnt."""
+        if len(self.number) + len(stretches) > STRETCHES or self.chars > STRETCH_CHARS:
             self.clear()
-        whole, split, merge, before = set(), [], self.merge, self.before
-        for w in words:
-            known = before.get(w)
-            if known is not None:
-                self[w] = known
-            elif len(w) <= 64 and w.isalpha() and w.isascii():
-                if w.islower():
-                    self[w] = packed([t.id for t in merge(w)])
-                else:
-                    self[w] = self.letters(w.lower())
-            elif (m := WORD_AND_SIGNS.fullmatch(w)) and len(w) <= 64 and "<|" not in w:
-                split.append((w, m[1].lower(), m[2] or ""))
-                whole.add(split[-1][2])
+        at = np.fromiter(map(self.number.get, stretches, repeat(-1)), np.int64, len(stretches))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = np.arange(len(self.n), len(self.n) + len(new))
+            self.learn([stretches[i] for i in new])
+        return at
+
+    def learn(self, new: list[str]) -> None:
+        merge, signs, ids, other = self.merge, self.signs, [], []
+        for i, w in enumerate(new):
+            if len(w) <= 64 and LETTERS.fullmatch(w):  # one pre-token that normalising leaves as it is: only the merges run
+                ids.append([t.id for t in merge(w if w.isascii() else w.translate(signs))])
             else:
-                whole.add(w)
-        whole = [w for w in whole if w not in self]
-        for w, e in zip(whole, self.encode_batch(whole, add_special_tokens=False)):
-            self[w] = packed(e.ids)
-        for w, a, b in split:
-            self[w] = self.letters(a) + self[b]
-
-    def ids(self, text: str | None, end: bytes) -> bytes:
-        """White space is dropped by this tokenizer before its merges, so stretches between it are independent."""
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" "))) + end
-
-    def all_ids(self, texts: list, end: bytes) -> list[bytes]:
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = [w for w in set().union(*parts).difference(self) if len(w) <= 64]
-        if new:
-            self.learn(new)
-        return [b"".join(map(self.__getitem__, p)) + end for p in parts]
+                ids.append(None)
+                other.append(i)
+        for i, e in zip(other, self.encode_batch([new[i] for i in other], add_special_tokens=False)):
+            ids[i] = e.ids
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        first = len(self.flat) + np.cumsum(n) - n
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))])
+        self.number.update(zip(new, range(len(self.n), len(self.n) + len(new))))
+        self.first, self.n = np.concatenate([self.first, first]), np.concatenate([self.n, n])
+        self.chars += sum(map(len, new))
+
+    def arrays(self, texts: pa.Array, end: int) -> tuple[np.ndarray, pa.Array]:
+        """(number of ids, ids as little-endian unsigned 32-bit numbers) of each text, with ``end`` after its own ids."""
+        c = pc.fill_null(texts.cast(pa.string()), "")
+        if not pc.any(pc.match_substring(c, "<|")).as_py():  # special strings are found before letters are lowered
+            c = pc.replace_substring_regex(pc.ascii_lower(c), LETTER_AND_SIGN, "\\1 \\2")
+        parts = pc.split_pattern(pc.replace_substring(c, "\n", " "), " ")
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        words = parts.flatten().dictionary_encode()
+        at = self.numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        n = self.n[at]
+        before = np.concatenate([[0], np.cumsum(n)])
+        place = np.repeat(self.first[at] - before[:-1], n) + np.arange(before[-1])
+        starts = before[offsets - offsets[0]] + np.arange(len(offsets))  # one end id for each text before
+        out = np.full(starts[-1], end, "<u4")
+        own = np.ones(len(out), bool)
+        own[starts[1:] - 1] = False
+        out[own] = self.flat[place]
+        ids = pa.BinaryArray.from_buffers(pa.binary(), len(c), [None, pa.py_buffer((starts * 4).astype(np.int32)), pa.py_buffer(out)])
+        return np.diff(starts), ids
+
+    def sliced(self, texts: pa.Array, size: int = 8_000_000) -> Iterator[pa.Array]:
+        """Runs of texts of about ``size`` bytes, a longer text by itself, to bound what is held at a time."""
+        grown = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(grown, (grown[at - 1] if at else 0) + size, "right")))
+            yield texts.slice(at, to - at)
+            at = to
+
+    def ids(self, text: str | None, end: int) -> bytes:
+        return self.arrays(pa.array([text], pa.string()), end)[1][0].as_py()
 
 
 @lru_cache(2)
