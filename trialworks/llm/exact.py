@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialworks.storage import written
+
 #: The six characters that comparison ignores.
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
@@ -16,13 +18,14 @@ def squeezed(text: Column) -> Column:
     return reduce(lambda c, w: F.replace(c, F.lit(w), F.lit("")), WHITE, F.coalesce(text, F.lit("")))
 
 
-def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def exact_groups(docs: DataFrame, parts: int = 1024, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after deleting white space (null: empty). The row with the most code points in the
     original text, then the smallest id, stays. The grouping key is a 128-bit content hash with the bytes themselves
     beside it, so rows of one hash are told apart where their bytes differ. Copies within an input split are combined
-    before the shuffle, so no group of copies meets in one task; only ids and hashes are joined back.
+    before the shuffle, so no group of copies meets in one task; only ids and hashes are joined back, a group's rows dealt
+    to as many as ``parts`` places by their id. Texts of any length are compared whole.
 
     An empty table gives an empty result. A null id sorts after every other id. Rows that repeat id and text stay rows
     of their own, of which at most one is kept. Other columns are ignored.
@@ -34,9 +37,11 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     groups = base.groupBy("hash", "bytes").agg(best.alias("best"), F.count("*").alias("group_size"))
     groups = groups.select("hash", F.sha2("bytes", 256).alias("text_sha256"), "best", "group_size")
     rows = base.select("doc_id", "chars", "hash", F.sha2("bytes", 256).alias("text_sha256"))
-    rows = rows.join(groups, ["hash", "text_sha256"])
-    keys = ["hash", "text_sha256", "doc_id", "chars", "best", "group_size"]
-    rows = rows.groupBy(*keys).agg(F.count("*").cast("int").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    keys = ["hash", "text_sha256"]
+    rows = rows.groupBy("doc_id", "chars", *keys).agg(F.count("*").cast("int").alias("n"))
+    rows = written(rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")), "hashes")
+    found = rows.select(*keys, "part").distinct().join(groups, keys)  # at most ``parts`` rows a group
+    rows = rows.join(found, [*keys, "part"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
     top = (F.col("chars") == -F.col("best.less")) & F.col("doc_id").eqNullSafe(F.col("best.keep_id")) & (F.col("copy") == 1)
     return rows.select("doc_id", F.col("best.keep_id").alias("keep_id"), "group_size", top.alias("kept"), "text_sha256")
 
@@ -44,9 +49,10 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 def keep_rows(docs: DataFrame, ids: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is in ``ids``, with all their columns; of rows repeating id and text, one.
 
-    A null id in ``ids`` keeps rows with a null id.
+    A null id in ``ids`` keeps rows with a null id. No column name clashes; an empty table gives an empty result.
     """
-    ids = ids.select(F.col(doc_id).alias("__id")).distinct()
-    found = docs.join(ids, F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
-    w = Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(F.xxhash64(text))
-    return found.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    ids = ids.select(F.col(doc_id).alias("keep")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
+    found = rows.join(ids, F.col("id").eqNullSafe(F.col("keep")), "left_semi")
+    w = Window.partitionBy("id", "hash").orderBy("hash")
+    return found.withColumn("n", F.row_number().over(w)).where("n = 1").select("row.*")
