@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[^\s\"'>][^\s>]*|[^>])*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[A-Za-z][a-z]+|[A-Z]+")
 #: Elements by how a page lays them out.
@@ -29,7 +29,8 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, frozenset, float, tuple]]:
     name tokens of the nearest ancestor that has any.
 
     Unclosed and stray tags are tolerated: a closing tag closes the nearest open element of its name, if there is one.
-    An open head ends where text or an element begins that cannot stand in it, as its end tag may be left out.
+    An open head ends where text or an element begins that cannot stand in it, as its end tag may be left out. Quotes hold
+    a value only right after an equals sign and where they are closed; anywhere else in a tag they are letters like others.
     """
     stack: list[tuple[str, tuple]] = []
     blocks, parts, linked, links, pos, n = [], [], 0, 0, 0, len(page)
