@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -55,17 +56,64 @@ def test_hilbert_curve_steps_by_one():
         assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
 
 
+def brute_shards(spark, rows, shards=8, bits=4):
+    """The whole result from plain lists: quantise, order by curve, text and hashed id, cut."""
+    n = len(rows)
+    ids = spark.createDataFrame([(i, r[0], r[1] or "") for i, r in enumerate(rows)], "i int, id long, t string").select("i", F.xxhash64(F.col("id").cast("string")).alias("h"), F.xxhash64("t").alias("x"))
+    hashes = {r.i: (r.h, r.x) for r in ids.collect()}
+
+    def codes(values):
+        ordered, cuts = sorted(v for v in values if v is not None), []
+        runs = (1 << bits) - 1
+        for i, v in enumerate(ordered):
+            if i == 0 or v != ordered[i - 1]:
+                run = i * runs // len(ordered)
+                if run > 0 and run not in [c[0] for c in cuts]:
+                    cuts.append((run, v))
+        return [0 if v is None else 1 + max((run for run, c in cuts if v >= c), default=0) for v in values]
+
+    size = [len((r[1] or "").encode()) + 1 for r in rows]
+    dims = [codes([None if r[2] is None else r[2].encode() for r in rows]), codes([None if r[3] is None else r[3].encode() for r in rows]), codes(size)]
+    cell = hilbert_index([np.array(d) for d in dims], bits)
+    low = {}
+    for r, c in zip(rows, cell):
+        low[r[1] or ""] = min(low.get(r[1] or "", 1 << 60), int(c))
+    line = sorted(range(n), key=lambda i: (low[rows[i][1] or ""], zlib.crc32((rows[i][1] or "").encode()), hashes[i][1], size[i], hashes[i][0]))
+    return Counter((rows[i][0], at * shards // n, at - -(-(at * shards // n) * n // shards)) for at, i in enumerate(line))
+
+
 @pytest.mark.parametrize("per", [5, 10**6])
-def test_shards_are_even_runs(spark, per):
+def test_shards_against_brute_force(spark, per):
     rows = odd(203)
     got = shard(table(spark, rows), rows_per_bucket=per).collect()
-    assert Counter(g.doc_id for g in got) == Counter(r[0] for r in rows)
+    assert Counter((g.doc_id, g.shard, g.slot) for g in got) == brute_shards(spark, rows)
     n = Counter(g.shard for g in got)
     assert set(n) == set(range(8)) and max(n.values()) - min(n.values()) <= 1
     for s in n:
         assert sorted(g.slot for g in got if g.shard == s) == list(range(n[s]))
     line = sorted(got, key=lambda g: (g.shard, g.slot))
     assert [g.cell for g in line] == sorted(g.cell for g in line)
+    runs = [k for k, _ in itertools.groupby(g.text_crc32 for g in line)]
+    assert len(runs) == len(set(runs))  # equal texts lie together, across one cut at most
     assert all(g.law == "rows" and g.grown_shard is None for g in got)
+
+
+def test_shards_of_empty_and_tiny_tables_and_long_texts(spark):
+    rows = [(i, "x" * (1 + 100_000 * i), "en", "s", 1) for i in range(5)]
     assert shard(table(spark, [])).collect() == []
     assert len(shard(table(spark, rows[:3])).collect()) == 3
+    assert sorted(g["size"] for g in shard(table(spark, rows)).collect()) == [2 + 100_000 * i for i in range(5)]
+
+
+def test_ranges_of_shards_prune(spark):
+    draw = np.random.default_rng(6)
+    rows = [(i, f"{i} " + "w" * int(2 ** draw.uniform(0, 12)), str(draw.choice(["de", "en", "es", "fr"])), f"s{draw.integers(20):02}", 1) for i in range(4000)]
+    got = shard(table(spark, rows)).collect()
+    ranges = {}
+    for g in got:
+        for c in ("lang", "source", "size"):
+            lo, hi = ranges.get((g.shard, c), (g[c], g[c]))
+            ranges[g.shard, c] = min(lo, g[c]), max(hi, g[c])
+    for c in ("lang", "source", "size"):  # shards that a filter for one value need not read, on average over rows
+        skipped = np.mean([np.mean([not ranges[s, c][0] <= g[c] <= ranges[s, c][1] for s in range(8)]) for g in got[::40]])
+        assert skipped > 0.3, (c, skipped)
