@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trialworks.storage import written
+
 #: Language families by ISO 639-1 code. A code that is not listed is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nl nb nn no sv yi",
@@ -38,13 +40,12 @@ def features(text: str) -> np.ndarray:
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 30.0, epochs: int = 12, seed: int = 0) -> np.ndarray:
-    """Weights, the bias last, of an L2-regularised squared-hinge SVM, by dual coordinate descent. y is -1 or 1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Weights of an L2-regularised squared-hinge SVM, by dual coordinate descent. y is -1 or 1, or 0 for rows left out."""
     w, a = np.zeros(x.shape[1], np.float32), np.zeros(len(x))
-    q = (x * x).sum(1) + 0.5 / c
-    order = np.random.default_rng(seed)
+    q = np.einsum("ij,ij->i", x, x) + 0.5 / c
+    order, rows = np.random.default_rng(seed), np.flatnonzero(y)
     for _ in range(epochs):
-        for i in order.permutation(len(x)):
+        for i in order.permutation(rows):
             g = y[i] * float(x[i] @ w) - 1 + 0.5 / c * a[i]
             new = max(a[i] - g / q[i], 0.0)
             if new != a[i]:
@@ -54,24 +55,27 @@ def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 30.0, epochs: int = 12,
 
 
 class LanguageModel:
-    """Scores of the families (one row each), and per family one separating row for each pair of its languages."""
-
-    def __init__(self, x: np.ndarray, langs: list[str]):
-        self.langs = sorted(set(langs))
-        lab = np.array(langs)
-        fam = np.array([FAMILY_OF.get(v, v) for v in langs])
-        self.families = sorted(set(fam))
-        rows = [linear_svm(x, np.where(fam == f, 1, -1)) for f in self.families] if len(self.families) > 1 else []
-        self.members = {f: sorted(set(lab[fam == f])) for f in self.families}
+    """Scores of the families (one row each), and per family one separating row for each pair of its languages.
+
+    With a single language every text with a letter is in it, with score 1. ``x`` has a last column of ones.
+    """
+
+    def __init__(self, x: np.ndarray, langs: list[str | None]):  # None for rows left out
+        known = np.array([v is not None for v in langs])
+        lab = np.array([v or "" for v in langs])
+        fam = np.array([FAMILY_OF.get(v, v) or "" for v in langs])
+        self.langs, self.families = sorted(set(lab[known])), sorted(set(fam[known]))
+        rows = [linear_svm(x, np.where(fam == f, 1, -1) * known) for f in self.families] if len(self.families) > 1 else []
+        self.members = {f: sorted(set(lab[known & (fam == f)])) for f in self.families}
         self.pairs: dict[str, list[tuple]] = {}
         for f, own in self.members.items():
             self.pairs[f] = []
             for i, a in enumerate(own):
                 for b in own[i + 1 :]:
-                    at = (lab == a) | (lab == b)
                     self.pairs[f].append((a, b, len(rows)))
-                    rows.append(linear_svm(x[at], np.where(lab[at] == a, 1, -1)))
+                    rows.append(linear_svm(x, (lab == a).astype(int) - (lab == b)))
         self.w = np.array(rows, np.float32).reshape(len(rows), 2 * BUCKETS + 1)
+        self.cut = 0.0  # below it a text is in none of the languages
 
     def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
         s = x @ self.w[:, :-1].T + self.w[:, -1]
@@ -101,40 +105,56 @@ def held_out(doc_id: Column) -> Column:
 def fit_languages(docs: DataFrame, sample_rows: int = 2400, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> LanguageModel | None:
     """Learns from at most ``sample_rows`` labelled documents that are not held out, as many of each language.
 
-    The sample is the documents whose id hashes lowest. Only their sparse features reach the driver.
+    The sample is the documents of each language whose id hashes lowest; the cut of the hash is a number per language, so
+    no text is shuffled. Only the sample's sparse features reach the driver. None where there is no labelled document.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    keys = rows.select("lang", F.xxhash64(F.col("doc_id")).alias("draw"))
+    draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id")), 12)
+    keys = rows.select("lang", draw.alias("draw"))
     counts = keys.groupBy("lang").count()
     n = counts.count()
     if not n:
         return None
-    each = max(2, sample_rows // n)
+    each = max(1, sample_rows // n)
+    small = F.broadcast if n <= 10_000 else (lambda df: df)  # a row per language
     # A hash threshold thins the hot languages before the rank: about twice the rows wanted remain.
     share = F.least(F.lit(1.0), F.lit(2.0 * each + 100) / F.col("count"))
-    near = keys.join(counts.select("lang", (share * 2**52).cast("long").alias("cut")), "lang").where(F.shiftrightunsigned("draw", 12) <= F.col("cut"))
-    cuts = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("draw", 12)))).where(f"n <= {each}")
-    cuts = cuts.groupBy("lang").agg(F.max(F.shiftrightunsigned("draw", 12)).alias("cut"))
-    own = rows.join(cuts, "lang").where(F.shiftrightunsigned(F.xxhash64("doc_id"), 12) <= F.col("cut")).select("doc_id", "lang", "text")
+    near = keys.join(small(counts.select("lang", (share * 2**52).cast("long").alias("cut"))), "lang").where(F.col("draw") <= F.col("cut"))
+    cuts = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(f"n <= {each}")
+    cuts = written(cuts.groupBy("lang").agg(F.max("draw").alias("cut")), "cuts")
+    own = rows.join(small(cuts), "lang").where(draw <= F.col("cut")).select("doc_id", "lang", "text")
 
-    @F.pandas_udf("struct<at: array<short>, x: array<float>>")
+    @F.pandas_udf("struct<at: binary, x: binary>")  # numbers as bytes, which take little room on the driver
     def sparse(texts):
         import pandas as pd
 
         x = [features(t) for t in texts]
         at = [np.flatnonzero(v) for v in x]
-        return pd.DataFrame({"at": [a.astype(np.int16) for a in at], "x": [v[a] for v, a in zip(x, at)]})
+        return pd.DataFrame({"at": [a.astype(np.int16).tobytes() for a in at], "x": [v[a].tobytes() for v, a in zip(x, at)]})
 
-    got = own.select("doc_id", "lang", sparse("text").alias("f")).sort("doc_id").limit(sample_rows * 2).collect()
-    x = np.zeros((len(got), 2 * BUCKETS), np.float32)
+    # Rows that repeat an id share its hash and could exceed the bound.
+    got = own.select("doc_id", "lang", sparse("text").alias("f")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect()
+    x = np.ones((len(got), 2 * BUCKETS + 1), np.float32)
+    x[:, :-1] = 0
     for i, r in enumerate(got):
-        x[i, r.f.at] = r.f.x
-    return LanguageModel(x, [r.lang for r in got])
+        x[i, np.frombuffer(r.f.at, np.int16)] = np.frombuffer(r.f.x, np.float32)
+    langs = [r.lang for r in got]
+    if len(got) < 50:
+        return LanguageModel(x, langs)
+    # Every fifth is left out of the fit and sets the cut: half as far above chance as the least sure of the right ones.
+    out = np.arange(len(got)) % 5 == 0
+    model = LanguageModel(x, [None if o else v for v, o in zip(langs, out)])
+    right = [score for v, (lang, score) in zip([v for v, o in zip(langs, out) if o], model.predict(x[out, :-1])) if v == lang]
+    model.cut = 0.5 + (min(right) - 0.5) / 2 if right else 0.0
+    return model
 
 
 def predict_language(text: Column, model: LanguageModel | None) -> Column:
-    """struct(lang, score) of a whole text; ``und`` with score 0 for a null text or one without a letter."""
+    """struct(lang, score) of a whole text; ``und`` with score 0 for a null text or one without a letter.
+
+    Texts of any length are read whole. The column is evaluated once even where a filter and a projection both use it.
+    """
 
     @F.pandas_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
     def predict(texts):
@@ -149,7 +169,7 @@ def predict_language(text: Column, model: LanguageModel | None) -> Column:
             out += [next(found) if k else ("und", 0.0) for k in known]
         return pd.DataFrame(out, columns=["lang", "score"])
 
-    return predict(text)
+    return predict.asNondeterministic()(text)
 
 
 def has_letter(text: Column) -> Column:
