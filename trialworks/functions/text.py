@@ -41,7 +41,7 @@ def norm_ws_lower(t: Column) -> Column:
 
 
 def norm_loose(t: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(t), r"[^\w\s]", " "), r"\d+", "#"), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(t), r"[^a-z0-9\s]", " "), r"\d+", "#"), r"\s+", " "))
 
 
 def norm_headline(t: Column) -> Column:
@@ -113,7 +113,7 @@ def curiosity(t: Column) -> dict[str, Column]:
 
 
 def narrative(t: Column) -> dict[str, Column]:
-    """A specific person doing something that already happened, against abstract groups."""
+    """Who acts and when: single persons and past verbs on one side, groups of people on the other."""
     toks = tokens(t)
     n = F.greatest(F.size(toks), F.lit(1))
     third, many = count_of(toks, THIRD_SINGULAR), count_of(toks, COLLECTIVE)

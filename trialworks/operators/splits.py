@@ -91,7 +91,57 @@ def temporal_split(rows: DataFrame, share: float = 0.60, time: str = "created_at
 
 
 def fingerprint(rows: DataFrame, text: str = "copy_text") -> DataFrame:
-    """One row: a content hash of a table, whatever its row order. Buckets are hashed first, then their hashes."""
+    """One row: a content hash of a table, whatever its row order. Rows are counted by hash, hashed by bucket, then all."""
     h = F.sha2(X.norm_ws_lower(F.coalesce(F.col(text), F.lit(""))), 256)
-    buckets = rows.select(h.alias("h")).groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("s"))
+    counts = rows.select(h.alias("h")).groupBy("h").agg(F.concat_ws(" ", "h", F.count("*").cast("string")).alias("line"))
+    buckets = counts.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256).alias("s"))
     return buckets.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "s"))), lambda x: x["s"]), "\n"), 256).alias("fingerprint"))
+
+
+def carve_dev(split: DataFrame, share: float = 0.15, seed: int = 8) -> DataFrame:
+    """The training rows with part: whole groups in hash order, the last ``share`` of them as dev, the rest as fit."""
+    rows = grouped_split(split.where("split = 'train'").drop("split"), (1 - share, share), seed)
+    return rows.withColumn("part", F.when(F.col("split") == "train", "fit").otherwise("dev")).drop("split")
+
+
+def stratified_split(groups: DataFrame, stratum: str, shares: tuple[float, float] = (0.70, 0.15), seed: int = 7) -> DataFrame:
+    """Adds split: groups are dealt by hash order within the stratum that most of their rows have (ties: the smaller)."""
+    n = groups.groupBy("group_id", stratum).agg(F.count("*").alias("n"))
+    main = n.groupBy("group_id").agg(F.min(F.struct((-F.col("n")).alias("less"), F.col(stratum).alias("stratum")))["stratum"].alias("stratum"))
+    w = Window.partitionBy("stratum")  # a row per group
+    g = main.withColumn("at", F.row_number().over(w.orderBy(group_order(F.col("group_id"), seed), "group_id")) - 1).withColumn("all", F.count("*").over(w))
+    a, b = F.round(F.col("all") * shares[0]), F.round(F.col("all") * shares[0]) + F.round(F.col("all") * shares[1])
+    return groups.join(g.select("group_id", F.when(F.col("at") < a, "train").when(F.col("at") < b, "val").otherwise("test").alias("split")), "group_id")
+
+
+def coverage_check(corpus: DataFrame, cover: DataFrame, key: str) -> DataFrame:
+    """(rule, violations): keys that the cover lacks, has though the corpus does not, or has more than once."""
+    c, s = corpus.select(key).distinct(), cover.groupBy(key).agg(F.count("*").alias("n"))
+    both = c.withColumn("in_corpus", F.lit(True)).join(s, key, "full_outer")
+    sums = both.agg(F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("in_corpus").isNull()).alias("foreign"), F.count_if(F.col("n") > 1).alias("repeated"))
+    return sums.select(F.stack(F.lit(3), F.lit("missing"), F.col("missing"), F.lit("foreign"), F.col("foreign"), F.lit("repeated"), F.col("repeated")).alias("rule", "violations"))
+
+
+def lock(test: DataFrame, path: str, text: str = "copy_text") -> str:
+    """The fingerprint of the test rows, written at the first call and compared at every later one."""
+    spark, now = test.sparkSession, fingerprint(test, text).first().fingerprint
+    try:
+        stored = spark.read.parquet(f"{path}/lock").first().fingerprint
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        spark.createDataFrame([(now,)], "fingerprint string").write.parquet(f"{path}/lock")
+        return now
+    if stored != now:
+        raise ValueError("the test rows differ from those that were locked")
+    return now
+
+
+def unlock_test(test: DataFrame, path: str, reason: str, evaluation: str, text: str = "copy_text") -> DataFrame:
+    """The test rows, after the lock has been checked and the read logged; a read without a real reason is refused."""
+    if len(reason.strip()) < 20:
+        raise ValueError("say in at least 20 characters why the test rows are read")
+    now, spark = lock(test, path, text), test.sparkSession
+    entry = spark.range(1).select(F.current_timestamp().alias("at"), F.lit(reason.strip()).alias("reason"), F.lit(evaluation).alias("evaluation"), F.lit(now).alias("fingerprint"), F.lit(test.count()).alias("n"))
+    entry.write.mode("append").parquet(f"{path}/reads")
+    return test

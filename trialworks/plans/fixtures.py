@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
@@ -31,12 +33,25 @@ VIEWS = {
     "tenant_rows": "select cast(c_nationkey as string) as tenant_id, c_custkey as seq, concat(c_name, ' ', c_mktsegment) as payload from customer",
     "event_stream": """select event_id, ts, user_id % 20 as test_id, event_id % 4 as arm, 1 as impressions, case when event_type = 'click' then 1 else 0 end as clicks from events""",
 }
+SEEDS = [f"{d}_{s}" for s in "mfyolh" for d in ("valence", "arousal", "dominance")]
+VIEWS["lexicon"] = "select word, round(1 + 8 * {hash:word:1}, 3) as valence, round(1 + 8 * {hash:word:2}, 3) as arousal, round(1 + 8 * {hash:word:3}, 3) as dominance, round(1 + 4 * {hash:word:4}, 3) as concreteness, " + ", ".join(
+    f"round(1 + 8 * {{hash:word:{5 + i}}}, 3) as {n}" for i, n in enumerate(SEEDS)
+) + " from (select distinct word from ({words})) where {hash:word:0} < 0.6"
+WORDS = {
+    "spark": "select explode(regexp_extract_all(lower(text), \"[a-z][a-z'-]*\", 0)) as word from documents where lang = 'en'",
+    "duckdb": "select unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]*')) as word from documents where lang = 'en'",
+}
+HASH = {
+    "spark": r"(cast(conv(substring(md5(cast(concat_ws('|', \1, '\2') as binary)), 1, 13), 16, 10) as double) / pow(2, 52))",
+    "duckdb": r"(('0x' || substr(md5(concat_ws('|', \1, '\2')), 1, 13))::bigint / pow(2, 52))",
+}
 EPOCH = {"spark": "unix_timestamp(o_orderdate)", "duckdb": "epoch(o_orderdate)"}
 TABLES = ("lineitem", "part", "pages", "orders", "customer", "labels", "documents", "events", "embeddings", "supplier", "conversations")
 
 
 def sql(name: str, engine: str) -> str:
-    return VIEWS[name].replace("{epoch}", EPOCH[engine])
+    text = VIEWS[name].replace("{epoch}", EPOCH[engine]).replace("{words}", WORDS[engine])
+    return re.sub(r"\{hash:(\w+):(\d+)\}", HASH[engine], text)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

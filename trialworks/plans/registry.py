@@ -32,10 +32,13 @@ def query(oracle: str | None = None):
 
 
 def queries() -> dict:
+    from trialworks.plans import diagnostics  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_ORACLES)
 
 
@@ -219,7 +222,7 @@ def flip_rate(spark, d):
 
 
 # Texts. RE2 has no lookbehind and no Unicode word class like Java's, so patterns are written out where they differ.
-LOOSE = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\d+', '#', 'g'), '\s+', ' ', 'g'))"
+LOOSE = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\d+', '#', 'g'), '\s+', ' ', 'g'))"
 EXACT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
 
@@ -325,7 +328,7 @@ def grouped_split(spark, d):
     return G.grouped_split(G.leakage_groups(view(spark, d, "closure_pass"))).select("row_id", "split")
 
 
-@query(f"with recursive {SPLIT} select 'no split' as rule, (select count(*) from split where split is null) as violations union all select 'group crosses', 0 union all select 'copy crosses', 0")
+@query(f"with recursive {SPLIT} select 'no split' as rule, (select count(*) from split where split is null) as violations union all select 'group crosses', (select count(*) from (select group_id from split group by 1 having count(distinct split) > 1)) union all select 'copy crosses', (select count(*) from (select lower(copy_text) from split group by 1 having count(distinct split) > 1))")
 def verify_split(spark, d):
     return G.verify_split(G.grouped_split(G.leakage_groups(view(spark, d, "closure_pass"))))
 
@@ -387,7 +390,7 @@ def temporal_split_full(spark, d):
     return G.temporal_split(view(spark, d, "closure_full")).select("row_id", "early")
 
 
-@query(rf"""with h as (select sha256(lower({EXACT})) as h from documents), b as (select substr(h, 1, 3) as b, sha256(string_agg(h, chr(10) order by h)) as s from h group by 1) select sha256(string_agg(s, chr(10) order by b)) as fingerprint from b""")
+@query(rf"""with h as (select sha256(lower({EXACT})) as h, count(*) as n from documents group by 1), b as (select substr(h, 1, 3) as b, sha256(string_agg(h || ' ' || n, chr(10) order by h || ' ' || n)) as s from h group by 1) select sha256(string_agg(s, chr(10) order by b)) as fingerprint from b""")
 def fingerprint(spark, d):
     return G.fingerprint(table(spark, d, "documents"), "text")
 
