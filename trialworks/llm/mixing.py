@@ -180,6 +180,7 @@ def placed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **option
     """
     at = mix(docs, text=text, doc_id=doc_id, **options)
     at = at.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.min(F.struct("slot", "slot_offset")).alias("place"))
+    at = written(at, "places")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("row_id"), F.xxhash64(text).alias("row_hash"))
     rows = rows.join(at, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("hash")))
     slot, place = unused(docs, "slot"), unused(docs, "place")

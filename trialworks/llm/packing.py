@@ -45,7 +45,7 @@ def tail_lengths(n: int) -> list[int]:
 def pack(
     docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 4096, window_sequences: int = 16,
     lane_bytes: int = 6_000_000, shares: dict[str, float] | None = None, text: str = "text", doc_id: str = "doc_id", source: str = "source",
-    order: tuple[str, str] | None = None,
+    order: tuple[str, str] | None = None, slot_bytes: int = 16_384,
 ) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every document's ids.
 
@@ -55,8 +55,9 @@ def pack(
     lanes before it leave, found from token sums per lane and source. A lane that runs out passes its last window on
     to the next. Sequences are full; the last one is cut into powers of two.
 
-    With ``order``, two columns of whole numbers (slot, place in it), lanes are runs of slots instead and a source's
-    queue is in that order, so the line of windows follows it; without, a queue is in the order of ids.
+    With ``order``, two columns of whole numbers (slot, place in it), lanes are runs of slots instead, as many as hold
+    ``lane_bytes`` at ``slot_bytes`` a slot, and a source's queue is in that order, so the line of windows follows it;
+    without, a queue is in the order of ids. Ties are broken by length and ids, so a lane made again is the same.
 
     Null texts count as empty (their only id is the end id), null sources as one source, rows with a null or repeated
     id are packed as documents of their own; an empty table gives an empty result. Other columns are ignored.
@@ -65,13 +66,11 @@ def pack(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
         *[(F.col(c) if order else F.lit(0)).cast("long").alias(n) for n, c in zip(("slot", "at"), order or ("", ""))],
     )
-    size = base.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    lanes = max(1, -(-size // lane_bytes))
     if order:
-        slots = written(base.groupBy("slot").agg(F.sum(F.octet_length("text") + 1).alias("bytes")), "slots")
-        before = sum_before(slots, [], "slot", "bytes", "before").select("slot", F.floor(F.col("before") / lane_bytes).alias("lane"))
-        base = base.join(before, "slot")
+        base = base.withColumn("lane", F.floor(F.col("slot") / max(1, lane_bytes // slot_bytes)))
     else:
+        size = base.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+        lanes = max(1, -(-size // lane_bytes))
         base = base.withColumn("lane", F.pmod(F.xxhash64("doc_id", "text"), F.lit(lanes)))
 
     def tokenise(batches):
@@ -100,7 +99,7 @@ def pack(
         first, total = int(head["first"].iloc[0]), int(head["total"].iloc[0])
         share = dict(zip(head["source"], head["share"]))
         deficits = {s: share[s] * first - n for s, n in zip(head["source"], head["served"])}
-        rows = rows.sort_values(["source", "slot", "at", "doc_id", "n"], kind="stable", na_position="last")
+        rows = rows.sort_values(["source", "slot", "at", "doc_id", "n", "ids"], kind="stable", na_position="last")
         queues = {s: q for s, q in rows.groupby("source", sort=True)}
         queues = {s: [list(zip(q["doc_id"].tolist(), q["ids"], q["n"].tolist())), 0, 0] for s, q in queues.items()}
         waiting = {s: sum(d[2] for d in q[0]) for s, q in queues.items()}
