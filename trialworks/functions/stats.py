@@ -98,3 +98,28 @@ def sigmoid(x: Column) -> Column:
 
 def softplus(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
+# The rational approximation 7.1.26 of Abramowitz and Stegun.
+ERF_P, ERF_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def erf(x: Column) -> Column:
+    """Error function, to 1.5e-7."""
+    t = 1 / (1 + ERF_P * F.abs(x))
+    poly = F.lit(0.0)
+    for a in reversed(ERF_A):
+        poly = (poly + a) * t
+    return F.signum(x) * (1 - poly * F.exp(-x * x))
+
+
+def gelu(x: Column) -> Column:
+    return x * 0.5 * (1 + erf(x / math.sqrt(2)))
+
+
+def layer_norm(v: Column, eps: float = 1e-5) -> Column:
+    """A vector less its mean over its spread (the variance divides by the vector's length)."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    once = lambda c, f: F.transform(F.array(c), f)[0]  # noqa: E731  c is computed once and not wherever f uses it
+    centred = once(v, lambda a: once(total(a) / F.size(a), lambda m: F.transform(a, lambda x: x - m)))
+    return once(centred, lambda a: once(F.sqrt(total(F.transform(a, lambda x: x * x)) / F.size(a) + eps), lambda sd: F.transform(a, lambda x: x / sd)))

@@ -88,3 +88,31 @@ def segment_shift(docs: DataFrame, lexicon: DataFrame, least: int = 3, text: str
     per = words.select("doc_id", F.explode(F.array(*rows)).alias("x")).select("doc_id", "x.*").where("diff is not null")
     per = per.groupBy("doc_id", "pair").agg(F.count("*").alias("n"), F.abs(F.avg("diff")).alias("shift")).where(F.col("n") >= least)
     return per.groupBy("pair").agg(F.count("*").alias("texts"), F.avg("shift").alias("mean_shift"), F.max("shift").alias("max_shift"), F.avg((F.col("shift") > 0.3).cast("double")).alias("wide"))
+
+
+# The eight emotions and the two sentiments of a word-emotion table.
+EMOTIONS = "anger anticipation disgust fear joy sadness surprise trust".split()
+SENTIMENTS = "negative positive".split()
+
+
+def frequency_features(docs: DataFrame, frequencies: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Mean, least and spread of the content words' Zipf frequencies and the shares of rare and common ones; words that
+    ``frequencies`` (word, zipf) lacks or gives 0 do not count, a document without any has zeros."""
+    words = rated(docs, frequencies.where("zipf > 0"), text, doc_id)
+    z = F.col("zipf")
+    share = lambda cond: F.count_if(cond) / F.nullif(F.count(z), F.lit(0))
+    out = {"zipf_mean": F.avg(z), "zipf_min": F.min(z), "zipf_sd": F.stddev_pop(z), "rare_word_frac": share(z < 3), "common_word_frac": share(z > 5)}
+    return words.groupBy("doc_id").agg(*[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in out.items()])
+
+
+def emotion_features(docs: DataFrame, emotions: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Shares of the content words that carry each emotion and sentiment, how many emotions occur, the share of the most
+    frequent one, and negative less positive. ``emotions`` (word, tags) is a row per word with an array of tags."""
+    words = rated(docs, emotions, text, doc_id)
+    n = F.greatest(F.max("looked_up"), F.lit(1))
+    hits = {e: F.count_if(F.array_contains("tags", e)) for e in [*EMOTIONS, *SENTIMENTS]}
+    g = words.groupBy("doc_id").agg(n.alias("n"), *[c.alias(e) for e, c in hits.items()])
+    kinds = [F.col(e) for e in EMOTIONS]
+    return g.select("doc_id", *[(F.col(e) / F.col("n")).alias(f"emo_{e}") for e in hits],
+                    (sum((c > 0).cast("int") for c in kinds) / F.lit(float(len(kinds)))).alias("emo_diversity"),
+                    (F.greatest(*kinds) / F.col("n")).alias("emo_intensity"), ((F.col("negative") - F.col("positive")) / F.col("n")).alias("emo_neg_minus_pos"))

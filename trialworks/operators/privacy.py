@@ -71,6 +71,20 @@ def quarantine(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     return df.where(~bad), df.where(bad)
 
 
+def pii_preview(df: DataFrame, row_id: str, problem: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that break a rule with the rule, cells that hold personal data): what an upload would be rejected for."""
+    return df.select(F.col(row_id).alias("row"), problem.alias("problem")).where("problem is not null"), scan_cells(df, row_id)
+
+
+def tenant_stamp(df: DataFrame, tenant_id: str) -> DataFrame:
+    """Rows as the tenant's own, whatever tenant they claim."""
+    import re
+
+    if not re.match(TENANT, tenant_id):
+        raise ValueError("not a tenant id")
+    return df.withColumn("tenant_id", F.lit(tenant_id))
+
+
 def tenant_scope(df: DataFrame, tenant_id: str) -> DataFrame:
     """Only the tenant's own rows; the id itself is checked."""
     import re

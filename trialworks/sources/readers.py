@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,3 +79,36 @@ def write_split_dataset(df: DataFrame, path: str) -> None:
     """Rows by split, and a small manifest with their counts."""
     df.write.partitionBy("split").parquet(f"{path}/rows")
     df.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("group_id").alias("n_groups")).coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def write_labelled_arms(df: DataFrame, path: str) -> DataFrame:
+    """Writes labelled arms by release and returns them as read back; a table that is there already is an error."""
+    df.write.partitionBy("release").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def incremental_ingest(source: DataFrame, path: str, key: str) -> int:
+    """Appends the rows of ``source`` whose key ``path`` lacks, and returns how many there were.
+
+    A load is one folder, and its name is noted under ``path``/loads only once it is whole. So a load that was cut off
+    does not pass for a complete one: its keys are missing still and are loaded again.
+    """
+    spark, new = source.sparkSession, source.dropDuplicates([key])
+    there = ingested(spark, path)
+    if there is not None:
+        new = new.join(there.select(key), key, "left_anti").select(*source.columns)
+    name = f"load-{uuid.uuid4().hex}"
+    new.write.parquet(f"{path}/{name}")
+    spark.range(1).select(F.lit(name).alias("load")).write.mode("append").parquet(f"{path}/loads")
+    return spark.read.schema(source.schema).parquet(f"{path}/{name}").count()
+
+
+def ingested(spark: SparkSession, path: str) -> DataFrame | None:
+    """All whole loads of :func:`incremental_ingest`, or None where there is none."""
+    try:
+        loads = [r.load for r in spark.read.parquet(f"{path}/loads").collect()]  # a row per load
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return spark.read.parquet(*[f"{path}/{name}" for name in loads])
