@@ -1,4 +1,7 @@
 import datetime as dt
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +107,9 @@ def test_replications_agree_where_arms_differ(spark):
     got = C.replication_ceiling(arms.where("test_id = 1"), [0.05], 20).first()
     assert got.ceiling == 1.0 and got.pairs == 1
     assert C.replication_ceiling(arms.where("test_id = 2"), [0.0], 200).first().ceiling < 0.7
+
+
+def test_queries_are_listed_without_a_session():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "from trialworks.plans import registry as r; assert set(r.oracle_sql()) <= set(r.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)

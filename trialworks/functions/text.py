@@ -78,6 +78,11 @@ def count_of(toks: Column, words: list[str]) -> Column:
     return F.size(F.filter(toks, lambda w: w.isin(words)))
 
 
+def quote_count(t: Column) -> Column:
+    """Straight quotes, double and single."""
+    return F.regexp_count(t, F.lit("[\"']"))
+
+
 def surface(t: Column) -> dict[str, Column]:
     """Features that need no lexicon: counts, ratios and densities of the raw text."""
     toks, chars = tokens(t), F.length(t)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialworks.functions import text as X
@@ -145,3 +145,14 @@ def unlock_test(test: DataFrame, path: str, reason: str, evaluation: str, text:
     entry = spark.range(1).select(F.current_timestamp().alias("at"), F.lit(reason.strip()).alias("reason"), F.lit(evaluation).alias("evaluation"), F.lit(now).alias("fingerprint"), F.lit(test.count()).alias("n"))
     entry.write.mode("append").parquet(f"{path}/reads")
     return test
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The reads of the test rows so far, oldest first; empty before the first."""
+    schema = "at timestamp, reason string, evaluation string, fingerprint string, n long"
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/reads").orderBy("at", "evaluation")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)

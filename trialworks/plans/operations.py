@@ -7,12 +7,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from trialworks.functions import stats as S
+from trialworks.functions import text as X
 from trialworks.operators import controls as C
 from trialworks.operators import effects as E
 from trialworks.operators import lexicon as L
+from trialworks.operators import models as M
 from trialworks.operators import privacy as P
+from trialworks.operators import splits as G
 from trialworks.operators import study as Q
-from trialworks.plans.diagnostics import RATED
+from trialworks.plans.diagnostics import RATED, VECTORS, surface
 from trialworks.plans.fixtures import VIEWS, sql, view
 from trialworks.plans.registry import _ORACLES, LABELLED, PAIRS, duck_hash01, labelled, labelled_arms, query, table
 from trialworks.sources import readers as R
@@ -82,17 +85,17 @@ def stream_track_record(spark, d):
 
 
 RETAINED = "select o_orderkey as id from orders where date_diff('second', o_orderdate, timestamp '1998-08-02 00:00:00') / 86400.0 <= 365"
-NOW = F.lit("1998-08-02 00:00:00").cast("timestamp")
+NOW = "1998-08-02 00:00:00"
 
 
 @query(RETAINED)
 def stream_retention_sweep(spark, d):
-    return J.settled(J.retention_sweep(stream(spark, d, "orders"), 365, NOW, "o_orderdate").select(F.col("o_orderkey").alias("id")), "retention")
+    return J.settled(J.retention_sweep(stream(spark, d, "orders"), 365, F.lit(NOW).cast("timestamp"), "o_orderdate").select(F.col("o_orderkey").alias("id")), "retention")
 
 
 @query(RETAINED)
 def apply_retention(spark, d):
-    return P.apply_retention(table(spark, d, "orders"), 365, NOW, "o_orderdate").select(F.col("o_orderkey").alias("id"))
+    return P.apply_retention(table(spark, d, "orders"), 365, F.lit(NOW).cast("timestamp"), "o_orderdate").select(F.col("o_orderkey").alias("id"))
 
 
 @query(_ORACLES["labelled_arms"])
@@ -221,7 +224,10 @@ FITS = """s as (select variant, sum(ctr * ctr) + 1 as aa, sum(ctr * chars) as ab
 w as (select variant, (ay * bb - cy * ab) / (aa * bb - ab * ab) as w1, (aa * cy - ab * ay) / (aa * bb - ab * ab) as w2 from s),
 f as (select variant, fit, avg((y - ctr * w1 - chars * w2) ** 2) as e, var_pop(y) as vp from v join w using (variant) group by variant, fit),
 o as (select variant, round(max(1 - e / vp) filter (fit), 6) as train_r2, round(max(1 - e / vp) filter (not fit), 6) as val_r2 from f group by variant)"""
-KEYED = F.concat_ws("/", F.col("test_id").cast("string"), "arm_id")
+
+
+def keyed():
+    return F.concat_ws("/", F.col("test_id").cast("string"), "arm_id")
 
 
 def fit_rows(spark, d):
@@ -236,7 +242,7 @@ def rounded(df):
 v as (select 'real' as variant, ctr, chars, y, fit from r{''.join(f" union all select 'shuffled {k + 1}', ctr, chars, y, fit from p{k} union all select 'shuffled {k + 1}', ctr, chars, y, fit from r where not fit" for k in range(3))}), {FITS}
 select *, case when variant = 'real' then val_r2 > (select max(val_r2) from o where variant <> 'real') end as passed from o""")
 def label_permutation_control(spark, d):
-    return rounded(C.label_permutation_control(fit_rows(spark, d), ["ctr", "chars"], "y", "test_id", KEYED))
+    return rounded(C.label_permutation_control(fit_rows(spark, d), ["ctr", "chars"], "y", "test_id", keyed()))
 
 
 @query(f"""with {ROWS}, v as (select 'ridge' as variant, * from r), {FITS}, m as (select avg(y) as m from r where fit), n as (select fit, 1 - avg((y - m) ** 2) / var_pop(y) as r2 from r, m group by fit)
@@ -248,7 +254,7 @@ def baseline_floor(spark, d):
 @query(f"""with {ROWS}, v as (select c::varchar as variant, r.* from r, (values (0.25), (0.5), (1.0)) x(c) where not fit or {duck_hash01('key', 50)} < c), {FITS.replace('select variant, round', "select case variant when '0.25' then '0.25' when '1.00' then '1.0' when '0.50' then '0.5' else variant end as variant, round")}
 select *, train_r2 - val_r2 < 0.25 as sound from o""")
 def learning_curve(spark, d):
-    return rounded(C.learning_curve(fit_rows(spark, d), ["ctr", "chars"], "y", KEYED))
+    return rounded(C.learning_curve(fit_rows(spark, d), ["ctr", "chars"], "y", keyed()))
 
 
 def drawn_sql(seed: int) -> str:
@@ -267,3 +273,74 @@ g as (select gap, rep, avg(((one > 0) = (two > 0))::int) as agree, count(*) as n
 select gap::double as gap, avg(agree) as ceiling, max(n) filter (rep = 4) as pairs from g group by gap""")
 def replication_ceiling(spark, d):
     return C.replication_ceiling(labelled(spark, d), GAPS)
+
+
+# Rankers, clusters, vectors and comparisons.
+@query("select doc_id, len(regexp_extract_all(coalesce(text, ''), '[\"'']')) as quotes from documents")
+def quote_count(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.quote_count(F.coalesce("text", F.lit(""))).cast("long").alias("quotes"))
+
+
+WHY = "the one final evaluation of the ranker"
+
+
+@query(f"with {LABELLED} select '{WHY}' as reason, 'final' as evaluation, count(*) as n from lab where test_id % 5 = 0")
+def read_log(spark, d):
+    path = f"{shared_dir(spark)}/lock-{uuid.uuid4().hex}"
+    G.unlock_test(labelled(spark, d).where("test_id % 5 = 0"), path, WHY, "final")
+    return G.read_log(spark, path).select("reason", "evaluation", "n")
+
+
+WORDED = ["n_words", "n_chars", "avg_word_len", "long_word_frac", "type_token_ratio"]
+
+
+def worded(spark, d):
+    arms = labelled(spark, d)
+    return arms, arms.select("test_id", "arm_id", "copy_text").join(surface(arms.select("arm_id", "copy_text").distinct(), "arm_id", "copy_text"), "arm_id")
+
+
+@query()
+def fit_pairwise_ranker(spark, d):
+    """Accuracy on every fifth experiment of a ranker fitted on the others."""
+    arms, f = worded(spark, d)
+    diff = M.pair_differences(E.build_pairs(arms), f, WORDED)
+    w = M.fit_pairwise_ranker(diff.where("test_id % 5 <> 0"), WORDED)
+    held = diff.where("test_id % 5 = 0")
+    return held.agg(F.count("*").alias("n_pairs"), F.avg((M.linear_score(WORDED, w) > 0).cast("double")).alias("accuracy"))
+
+
+@query()
+def bagged_ensemble(spark, d):
+    arms, f = worded(spark, d)
+    return M.bagged_ensemble(M.pair_differences(E.build_pairs(arms), f, WORDED), f, WORDED).select("test_id", "arm_id", F.round("score", 4).alias("score"))
+
+
+@query()
+def topic_clusters(spark, d):
+    return M.topic_clusters(table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+@query(f"""{VECTORS.format(vector="embedding").split("s as (select vec_id")[0]} u as (select label, i, x / case when n > 0 then n else 1 end as x from m join c using (label)), t as (select i, sum(x) as t from u group by i),
+g as (select label, 1 - sum(x * (t - x)) / case when sum((t - x) ** 2) > 0 then sqrt(sum((t - x) ** 2)) else 1 end as distinctiveness from u join t using (i) group by label), z as (select label, count(*) as size from embeddings group by label)
+select label, size, distinctiveness, size >= 5 and row_number() over (order by size >= 5 desc, round(distinctiveness, 9) desc, label) = 1 as chosen from g join z using (label)""")
+def distinctive_clusters(spark, d):
+    return M.distinctive_clusters(table(spark, d, "embeddings"), "label", "embedding", 5)
+
+
+@query(f"""with tk as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z''-]*')) as word from documents), tf as (select doc_id, floor({duck_hash01('word', 80)} * 4096)::bigint as place, count(*) as n from tk group by all),
+i as (select place, ln(((select count(distinct doc_id) from documents) + 1) / (count(*) + 1)) as idf from tf group by place), w as (select doc_id, place, n * idf as w from tf join i using (place) where n * idf > 0)
+select doc_id, place, w / sqrt(sum(w * w) over (partition by doc_id)) as x from w""")
+def text_vectors(spark, d):
+    return M.text_vectors(table(spark, d, "documents"))
+
+
+GUARDED = _ORACLES["guard_ranking"]
+
+
+@query(f"""{GUARDED[:GUARDED.rindex('select test_id, max(severity)')]}, ct as ({GUARDED[GUARDED.rindex('select test_id, max(severity)'):]}),
+tk as (select test_id, rank, len(regexp_extract_all(lower(text), '[a-z][a-z''-]*')) as n_words from t)
+select l.test_id, l.arm_id, l.rank, l.margin, tk.n_words::double as n_words, s.severity::double as max_severity, ct.caution from (select test_id, arm_id, row_number() over w as rank, target - lead(target) over w as margin from lab window w as (partition by test_id order by target desc, arm_id)) l
+join tk using (test_id, rank) join s using (test_id, rank) join ct using (test_id)""")
+def compare_batch(spark, d):
+    rows = labelled(spark, d).withColumn("text", F.expr("concat(copy_text, repeat('!', cast(length(copy_text) % 5 as int)))"))
+    return M.compare_batch(rows, "target", "text").select("test_id", "arm_id", "rank", "margin", F.col("profile.n_words").alias("n_words"), "max_severity", "caution")
