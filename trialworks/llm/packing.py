@@ -59,6 +59,8 @@ def pack(
     ``lane_bytes`` at ``slot_bytes`` a slot, and a source's queue is in that order, so the line of windows follows it;
     without, a queue is in the order of ids. Ties are broken by length and ids, so a lane made again is the same.
 
+    Ids travel as 16-bit numbers where the vocabulary has no larger one, and are widened for ``ids_crc32``.
+
     Null texts count as empty (their only id is the end id), null sources as one source, rows with a null or repeated
     id are packed as documents of their own; an empty table gives an empty result. Other columns are ignored.
     """
@@ -80,7 +82,7 @@ def pack(
         for b in batches:
             at = 0
             for texts in words.sliced(b.column("text")):
-                n, ids = words.arrays(texts, end_id)
+                n, ids = words.arrays(texts, end_id, words.narrow(end_id))
                 part = b.slice(at, len(texts))
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(n, pa.int64()), ids], [*names, "n", "ids"])
@@ -92,6 +94,7 @@ def pack(
     def pack_lane(key, rows, head):
         import zlib
 
+        import numpy as np
         import pandas as pd
 
         if not len(rows):
@@ -121,7 +124,9 @@ def pack(
                         i = next(i for i, (a, b) in enumerate(bounds) if a <= at < b)
                         seq, offset, room = whole // length + i, at - bounds[i][0], bounds[i][1] - at
                     take = min(n, size - queue[2], room)
-                    out.append((doc, queue[2], take, zlib.crc32(memoryview(ids)[4 * queue[2] : 4 * (queue[2] + take)]), size, seq, offset))
+                    width = len(ids) // size  # bytes of an id
+                    piece = np.frombuffer(ids, f"<u{width}", take, width * queue[2]).astype("<u4")
+                    out.append((doc, queue[2], take, zlib.crc32(piece), size, seq, offset))
                     queue[2] += take
                     at += take
                     n -= take

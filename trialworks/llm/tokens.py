@@ -128,6 +128,7 @@ class WordIds:
         self.encode, self.encode_batch, self.merge = model.encode, model.encode_batch, model.model.tokenize
         assert all("<|" in t.content for t in model.get_added_tokens_decoder().values())
         self.signs = byte_letters()
+        self.top = max(model.get_vocab().values())
         self.clear()
 
     def clear(self) -> None:
@@ -162,8 +163,12 @@ class WordIds:
         self.first, self.n = np.concatenate([self.first, first]), np.concatenate([self.n, n])
         self.chars += sum(map(len, new))
 
-    def arrays(self, texts: pa.Array, end: int) -> tuple[np.ndarray, pa.Array]:
-        """(number of ids, ids as little-endian unsigned 32-bit numbers) of each text, with ``end`` after its own ids."""
+    def narrow(self, end: int) -> str:
+        """The narrowest little-endian unsigned type that holds all ids and ``end``."""
+        return "<u2" if max(self.top, end) < 1 << 16 else "<u4"
+
+    def arrays(self, texts: pa.Array, end: int, kind: str = "<u4") -> tuple[np.ndarray, pa.Array]:
+        """(number of ids, ids as numbers of type ``kind``) of each text, with ``end`` after its own ids."""
         c = pc.fill_null(texts.cast(pa.string()), "")
         if not pc.any(pc.match_substring(c, "<|")).as_py():  # special strings are found before letters are lowered
             c = pc.replace_substring_regex(pc.ascii_lower(c), LETTER_AND_SIGN, "\\1 \\2")
@@ -175,11 +180,11 @@ class WordIds:
         before = np.concatenate([[0], np.cumsum(n)])
         place = np.repeat(self.first[at] - before[:-1], n) + np.arange(before[-1])
         starts = before[offsets - offsets[0]] + np.arange(len(offsets))  # one end id for each text before
-        out = np.full(starts[-1], end, "<u4")
+        out = np.full(starts[-1], end, kind)
         own = np.ones(len(out), bool)
         own[starts[1:] - 1] = False
         out[own] = self.flat[place]
-        ids = pa.BinaryArray.from_buffers(pa.binary(), len(c), [None, pa.py_buffer((starts * 4).astype(np.int32)), pa.py_buffer(out)])
+        ids = pa.BinaryArray.from_buffers(pa.binary(), len(c), [None, pa.py_buffer((starts * out.itemsize).astype(np.int32)), pa.py_buffer(out)])
         return np.diff(starts), ids
 
     def sliced(self, texts: pa.Array, size: int = 8_000_000) -> Iterator[pa.Array]:
