@@ -24,10 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, compression: str = "snappy", by: list[str] | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors. ``by`` parts it by columns."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
