@@ -83,11 +83,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trialworks.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from trialworks.llm.collocations import COLLOCATIONS_SQL
     from trialworks.llm.mixing import MIX_SQL
 
-    return {"op6_exact_dedup": EXACT_SQL, "op7_source_mixing": MIX_SQL.format(docs="documents")}
+    return {"op6_exact_dedup": EXACT_SQL, "op7_source_mixing": MIX_SQL.format(docs="documents"), "op13_phrase_collocations": COLLOCATIONS_SQL}
