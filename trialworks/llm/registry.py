@@ -83,6 +83,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op12_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trialworks.llm.parsing import remove_passages
+
+    return remove_passages(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trialworks.llm.collocations import collocations
 
@@ -96,5 +102,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from trialworks.llm.collocations import COLLOCATIONS_SQL
     from trialworks.llm.mixing import MIX_SQL
+    from trialworks.llm.parsing import PASSAGES_SQL
 
-    return {"op6_exact_dedup": EXACT_SQL, "op7_source_mixing": MIX_SQL.format(docs="documents"), "op13_phrase_collocations": COLLOCATIONS_SQL}
+    return {"op6_exact_dedup": EXACT_SQL, "op7_source_mixing": MIX_SQL.format(docs="documents"), "op12_passage_dedup": PASSAGES_SQL, "op13_phrase_collocations": COLLOCATIONS_SQL}
