@@ -305,12 +305,12 @@ def _without(words: list[bytes], a: np.ndarray, z: np.ndarray) -> list[bytes]:
 
 #: The same in DuckDB SQL, every window written out.
 PASSAGES_SQL = r"""
-with d as (select row_number() over (order by doc_id) as row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
-s as (select row, w, unnest(range(1, len(w) - 33)) as at from d),
-h as (select row, at, array_to_string(w[at : at + 34], ' ') as window from s),
-c as (select window from h group by window having count(*) > 1),
-r as (select h.row, unnest(range(at, at + 35)) as gone from h join c using (window)),
-g as (select row, list(distinct gone) as gone from r group by row),
-k as (select d.*, len(coalesce(gone, [])) as n_removed, list_where(w, list_transform(range(1, len(w) + 1), lambda i: not list_contains(coalesce(gone, []), i))) as kept from d left join g using (row))
+with d as (select row_number() over (order by doc_id) as nr, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select nr, w, unnest(range(1, len(w) - 33)) as p from d),
+h as (select nr, p, array_to_string(w[p : p + 34], ' ') as words from s),
+c as (select words from h group by words having count(*) > 1),
+r as (select h.nr, unnest(range(p, p + 35)) as gone from h join c using (words)),
+g as (select nr, list(distinct gone) as gone from r group by nr),
+k as (select d.*, len(coalesce(gone, [])) as n_removed, list_filter(w, lambda x, i: not list_contains(coalesce(gone, []), i)) as kept from d left join g using (nr))
 select doc_id, len(w) as n_words, n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k
 """
