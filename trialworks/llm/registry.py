@@ -83,6 +83,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trialworks.llm.conversations import damaged, repair_report
+
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_report(damaged(conversations), conversations.select("conv_id"))
+
+
 def op12_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trialworks.llm.parsing import remove_passages
 
