@@ -50,6 +50,16 @@ def curve(columns: list[Column], bits: int) -> Column:
     return index(F.struct(*[c.cast("long").alias(f"x{i}") for i, c in enumerate(columns)]))
 
 
+def cut_of(at: str, n: int, total: int) -> str:
+    """Which of ``n`` runs of equal count row ``at`` of ``total`` lies in, in whole numbers."""
+    return f"cast({at} as decimal(38,0)) * {n} div {max(total, 1)}"
+
+
+def first_of(run: str, n: int, total: int) -> str:
+    """The first row of a run."""
+    return f"(cast({run} as decimal(38,0)) * {total} + {n - 1}) div {n}"
+
+
 def equal_cuts(values: DataFrame, column: str, n: int) -> list:
     """(run, value) where a column's rows, in its order, go over from one of ``n`` runs of equal count to a later one.
 
@@ -63,8 +73,7 @@ def equal_cuts(values: DataFrame, column: str, n: int) -> list:
     first = sum_before(counts.groupBy("range").agg(F.sum("n").alias("n")), [], "range", "n", "first").select("range", "first")
     w = Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     at = counts.join(first, "range").withColumn("at", F.col("first") + F.coalesce(F.sum("n").over(w), F.lit(0)))
-    run = lambda c: F.floor(c.cast("decimal(38,0)") * n / F.lit(total))  # noqa: E731  the run in which a value's rows begin
-    cuts = at.groupBy(run(F.col("at")).alias("run")).agg(F.min("v").alias("cut")).where("run > 0")  # n - 1 rows at most
+    cuts = at.groupBy(F.expr(cut_of("at", n, total)).alias("run")).agg(F.min("v").alias("cut")).where("run > 0")  # n - 1 rows at most
     return sorted((r.run, r.cut) for r in cuts.collect())
 
 
@@ -120,7 +129,6 @@ def shard(
     bases = counts.join(firsts, "place").withColumn("base", F.col("first") + F.coalesce(F.sum("n").over(w), F.lit(0))).select("place", *group, "part", "base")
     w = Window.partitionBy("place", *group, "part").orderBy("draw", "doc_id", "lang", "source")
     rows = rows.withColumn("at", F.row_number().over(w) - 1).join(bases, ["place", *group, "part"]).withColumn("at", F.col("base") + F.col("at"))
-    shard_of = F.floor(F.col("at").cast("decimal(38,0)") * shards / F.lit(max(total, 1))).cast("int")
-    rows = rows.withColumn("shard", shard_of)
-    start = F.ceil(F.col("shard").cast("decimal(38,0)") * F.lit(total) / F.lit(shards)).cast("long")
+    rows = rows.withColumn("shard", F.expr(cut_of("at", shards, total)).cast("int"))
+    start = F.expr(first_of("shard", shards, total))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("at") - start).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "lang", "source", "cell")
