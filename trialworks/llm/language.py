@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -107,6 +108,9 @@ def fit_languages(docs: DataFrame, sample_rows: int = 2400, text: str = "text",
 
     The sample is the documents of each language whose id hashes lowest; the cut of the hash is a number per language, so
     no text is shuffled. Only the sample's sparse features reach the driver. None where there is no labelled document.
+
+    Every fifth of a language's sample is left out of the fit, whatever its size; those that are placed right set the cut,
+    half as far above chance as the least sure of them. A sample with fewer than five of each language rejects nothing.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -140,10 +144,12 @@ def fit_languages(docs: DataFrame, sample_rows: int = 2400, text: str = "text",
     for i, r in enumerate(got):
         x[i, np.frombuffer(r.f.at, np.int16)] = np.frombuffer(r.f.x, np.float32)
     langs = [r.lang for r in got]
-    if len(got) < 50:
-        return LanguageModel(x, langs)
-    # Every fifth is left out of the fit and sets the cut: half as far above chance as the least sure of the right ones.
-    out = np.arange(len(got)) % 5 == 0
+    # Every fifth of a language is left out of the fit and sets the cut: half as far above chance as the least sure of the right ones.
+    seen, out = Counter(), []
+    for v in langs:
+        seen[v] += 1
+        out.append(seen[v] % 5 == 0)
+    out = np.array(out)
     model = LanguageModel(x, [None if o else v for v, o in zip(langs, out)])
     right = [score for v, (lang, score) in zip([v for v, o in zip(langs, out) if o], model.predict(x[out, :-1])) if v == lang]
     model.cut = 0.5 + (min(right) - 0.5) / 2 if right else 0.0
