@@ -24,15 +24,111 @@ CLOSED_BY_SELF = set("p li dt dd tr td th option".split())
 IN_HEAD = set("html head base basefont bgsound link meta title script style noscript template noframes".split())
 
 
-def leaf_blocks(page: str) -> list[tuple[str, tuple, frozenset, float, tuple]]:
-    """Each leaf block: text, ancestor tags from the root, name tokens of all ancestors, share of characters in links,
-    name tokens of the nearest ancestor that has any.
+class Open:
+    """The open elements of a page, with what blocks ask of them kept up to date, so that depth costs nothing."""
+
+    def __init__(self, known: frozenset | None):
+        self.known = known  # names and tags that matter; None: all
+        self.items: list[tuple[str, tuple] | None] = []  # None where an inline element ended before those inside it
+        self.at: dict[str, list[int]] = {}
+        self.outer: list[int] = []  # elements that lay out a block
+        self.parts: list[int] = []
+        self.named: list[int] = []
+        self.tags: dict[str, int] = {}
+        self.names: dict[str, int] = {}
+        self.hidden = 0
+        self._frozen: tuple[tuple, tuple] | None = None
+
+    def _count(self, of: dict, x: str, by: int) -> None:
+        if self.known is None or x in self.known:
+            n = of.get(x, 0) + by
+            if n:
+                of[x] = n
+            else:
+                del of[x]
+            if n == 0 or n == by:
+                self._frozen = None
+
+    def push(self, tag: str, own: tuple) -> None:
+        i = len(self.items)
+        self.items.append((tag, own))
+        self.at.setdefault(tag, []).append(i)
+        if tag not in INLINE:
+            self.outer.append(i)
+            self._count(self.tags, tag, 1)
+        if tag in PARTS:
+            self.parts.append(i)
+        if own:
+            self.named.append(i)
+            for x in own:
+                self._count(self.names, x, 1)
+        self.hidden += tag in UNSEEN
+
+    def _closed(self, i: int) -> None:
+        tag, own = self.items[i]
+        if tag not in INLINE:
+            self._count(self.tags, tag, -1)
+        for x in own:
+            self._count(self.names, x, -1)
+        self.hidden -= tag in UNSEEN
+
+    def cut(self, i: int) -> None:
+        """Closes the element at ``i`` and all inside it."""
+        while len(self.items) > i:
+            k = len(self.items) - 1
+            if self.items[k] is not None:
+                self._closed(k)
+                tag = self.items[k][0]
+                for ends in (self.at[tag], self.outer, self.parts, self.named):
+                    if ends and ends[-1] == k:
+                        ends.pop()
+            elif self.named and self.named[-1] == k:
+                self.named.pop()
+            self.items.pop()
+        self._trim()
+
+    def _trim(self) -> None:
+        while self.items and self.items[-1] is None:
+            self.items.pop()
+        while self.named and (self.named[-1] >= len(self.items) or self.items[self.named[-1]] is None):
+            self.named.pop()
+
+    def take_out(self, i: int) -> None:
+        """Closes an inline element and leaves what is inside it open."""
+        self._closed(i)
+        self.at[self.items[i][0]].pop()
+        self.items[i] = None
+        self._trim()
+
+    def last(self, tag: str) -> int:
+        ends = self.at.get(tag)
+        return ends[-1] if ends else -1
+
+    def first(self, tag: str) -> int:
+        ends = self.at.get(tag)
+        return ends[0] if ends else -1
+
+    def top(self) -> str:
+        return self.items[-1][0] if self.items else ""
+
+    def around(self) -> tuple[tuple, tuple, tuple, str, tuple]:
+        """Tags, names, the two nearest block tags, the nearest part, and the names of the nearest element that has any."""
+        if self._frozen is None:
+            self._frozen = tuple(sorted(self.tags)), tuple(sorted(self.names))
+        tag = lambda i: self.items[i][0]
+        near = self.items[self.named[-1]][1] if self.named else ()
+        return *self._frozen, tuple(tag(i) for i in self.outer[:-3:-1]), tag(self.parts[-1]) if self.parts else "none", near
+
+
+def leaf_blocks(page: str, known: frozenset | None = None) -> list[tuple[str, tuple, float]]:
+    """Each leaf block: text, what is around it (:meth:`Open.around`), share of characters in links.
 
     Unclosed and stray tags are tolerated: a closing tag closes the nearest open element of its name, if there is one.
     An open head ends where text or an element begins that cannot stand in it, as its end tag may be left out. Quotes hold
     a value only right after an equals sign and where they are closed; anywhere else in a tag they are letters like others.
+    Of tags and names, only those in ``known`` are told, where it is given. The time does not grow with the depth.
     """
-    stack: list[tuple[str, tuple]] = []
+    open_ = Open(known)
     blocks, parts, linked, links, pos, n = [], [], 0, 0, 0, len(page)
 
     def flush() -> None:
@@ -40,21 +136,19 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, frozenset, float, tuple]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                names = frozenset(x for _, own in stack for x in own)
-                near = next((own for _, own in reversed(stack) if own), ())
-                blocks.append((text, tuple(t for t, _ in stack if t not in INLINE), names, min(1.0, linked / len(text)), near))
+                blocks.append((text, open_.around(), min(1.0, linked / len(text))))
             parts, linked = [], 0
 
     def leave_head() -> None:
-        at = next((i for i, (t, _) in enumerate(stack) if t == "head"), None)
-        if at is not None:
-            del stack[at:]
+        at = open_.first("head")
+        if at >= 0:
+            open_.cut(at)
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and stack and stack[-1][0] == "head" and not raw.isspace():
+        if raw and open_.top() == "head" and not raw.isspace():
             leave_head()
-        if raw and not any(t in UNSEEN for t, _ in stack):
+        if raw and not open_.hidden:
             text = entities.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if links:
@@ -73,14 +167,15 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, frozenset, float, tuple]]:
         if tag not in INLINE:
             flush()
         if m[1]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
-                if tag in INLINE and any(t not in INLINE for t, _ in stack[at:]):
+            at = open_.last(tag)
+            if at >= 0:
+                if tag in INLINE and open_.outer and open_.outer[-1] > at:
                     links -= tag == "a" and links > 0
-                    del stack[at]  # a stray end of an inline element leaves the blocks inside it open
+                    open_.take_out(at)
                 else:
-                    links -= sum(t == "a" for t, _ in stack[at:])
-                    del stack[at:]
+                    before = len(open_.at.get("a", ()))
+                    open_.cut(at)
+                    links -= before - len(open_.at.get("a", ()))
             continue
         if tag not in IN_HEAD:
             leave_head()
@@ -91,25 +186,25 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, frozenset, float, tuple]]:
         if tag in VOID or m[3].endswith("/"):
             continue
         if tag in CLOSED_BY_SELF:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag or stack[i][0] in ("ul", "ol", "dl", "table")), None)
-            if at is not None and stack[at][0] == tag:
-                del stack[at:]
-        elif tag not in INLINE and stack and stack[-1][0] == "p":
-            stack.pop()
+            at = open_.last(tag)
+            if at > max(open_.last(t) for t in ("ul", "ol", "dl", "table")):
+                open_.cut(at)
+        elif tag not in INLINE and open_.top() == "p":
+            open_.cut(len(open_.items) - 1)
         links += tag == "a"
         own = tuple(w.lower() for g in NAMED.findall(m[3]) for w in WORD.findall("".join(g))) if m[3] else ()
-        stack.append((tag, own))
+        open_.push(tag, own)
     flush()
     return blocks
 
 
 def block_features(block: tuple, place: float) -> list[str]:
     """Names of the features that hold for a block; ``place`` is its share of the way through the page's blocks."""
-    text, tags, names, linked, near = block
+    text, (tags, names, up, part, near), linked = block
     words = text.split(" ")
-    out = [f"in={t}" for t in set(tags)] + [f"up{i}={t}" for i, t in enumerate(tags[::-1][:2])] + [f"name={x}" for x in names]
+    out = [f"in={t}" for t in tags] + [f"up{i}={t}" for i, t in enumerate(up)] + [f"name={x}" for x in names]
     out += [f"near={x}" for x in near]
-    out.append("part=" + next((t for t in reversed(tags) if t in PARTS), "none"))
+    out.append("part=" + part)
     out.append(f"words={min(len(words), 120).bit_length()}")
     out.append(f"links={int(linked * 4)}")
     out.append(f"end={text[-1] if text[-1] in '.!?:;|»>' else 'x'}")
@@ -176,7 +271,9 @@ class ChainModel:
 
     def frozen(self) -> dict:
         """Plain numbers for decoding: a feature's lead for the main text, and the steps."""
-        return {"lead": {f: float(w[1] - w[0]) for f, w in self.weight.items() if abs(w[1] - w[0]) > 1e-3}, "step": self.step.tolist(), "start": self.start.tolist()}
+        lead = {f: float(w[1] - w[0]) for f, w in self.weight.items() if abs(w[1] - w[0]) > 1e-3}
+        known = frozenset(f.split("=", 1)[1] for f in lead if f.startswith(("in=", "name=")))
+        return {"lead": lead, "known": known, "step": self.step.tolist(), "start": self.start.tolist()}
 
 
 def viterbi(leads: list[float], step: list, start: list) -> list[int]:
@@ -319,7 +416,7 @@ def labelled_page(draw: np.random.Generator) -> str:
 
 def main_text(page: str | None, model: dict) -> str:
     """The page's main text: its main blocks in page order, joined by one space."""
-    blocks = leaf_blocks(page) if page else []
+    blocks = leaf_blocks(page, model["known"]) if page else []
     if not blocks:
         return ""
     get, n = model["lead"].get, len(blocks)
@@ -339,7 +436,8 @@ def extract_pages(pages: DataFrame, training_pages: int = 360, html: str = "html
     """page_id, url, text, n_chars for every row; text is empty for a null or empty page or one without main text.
 
     The model is trained on ``training_pages`` laid-out pages with known labels and travels with the tasks (a few
-    hundred weights). Repeated rows stay, null ids and urls pass through; an empty table gives an empty result.
+    hundred weights). Repeated rows stay, null ids and urls pass through, other columns are ignored; an empty table gives an
+    empty result. Pages of any length and depth are read whole, in time that grows with their length.
     """
     out = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), extract(F.col(html), trained(training_pages)).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
