@@ -19,7 +19,7 @@ def squeezed(text: Column) -> Column:
 
 
 def exact_groups(docs: DataFrame, parts: int = 1024, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_chars.
 
     Texts are equal when identical after deleting white space (null: empty). The row with the most code points in the
     original text, then the smallest id, stays. The grouping key is a 128-bit content hash with the bytes themselves
@@ -43,7 +43,20 @@ def exact_groups(docs: DataFrame, parts: int = 1024, text: str = "text", doc_id:
     found = rows.select(*keys, "part").distinct().join(groups, keys)  # at most ``parts`` rows a group
     rows = rows.join(found, [*keys, "part"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
     top = (F.col("chars") == -F.col("best.less")) & F.col("doc_id").eqNullSafe(F.col("best.keep_id")) & (F.col("copy") == 1)
-    return rows.select("doc_id", F.col("best.keep_id").alias("keep_id"), "group_size", top.alias("kept"), "text_sha256")
+    return rows.select("doc_id", F.col("best.keep_id").alias("keep_id"), "group_size", top.alias("kept"), "text_sha256", F.col("chars").alias("n_chars"))
+
+
+def keep_best(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of ``docs`` of each group of :func:`exact_groups`, with all its columns: the one that stays, also where rows
+    share an id or have none. Of rows alike in id and length the one whose text is least in byte order stays. No column name
+    clashes; an empty table gives an empty result.
+    """
+    best = exact_groups(docs, text=text, doc_id=doc_id).where("kept").select(F.col("doc_id").alias("keep"), "text_sha256", "n_chars")
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"), F.sha2(squeezed(F.col(text)), 256).alias("sha"), F.length(t).alias("chars"), t.alias("t"))
+    found = rows.join(best, F.col("id").eqNullSafe(F.col("keep")) & (F.col("sha") == F.col("text_sha256")) & (F.col("chars") == F.col("n_chars")), "left_semi")
+    w = Window.partitionBy("sha").orderBy("t")
+    return found.withColumn("n", F.row_number().over(w)).where("n = 1").select("row.*")
 
 
 def keep_rows(docs: DataFrame, ids: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -56,7 +56,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trialworks.llm.exact import exact_groups
 
-    return exact_groups(table(spark, sf_dir, "documents"))
+    return exact_groups(table(spark, sf_dir, "documents")).drop("n_chars")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
