@@ -49,6 +49,46 @@ def scan_pii(t: Column) -> Column:
     return F.filter(F.array(*rows), lambda r: r["count"] > 0)
 
 
+def locate_pii(t: Column) -> Column:
+    """array<struct(kind, start, len)> of every match that passes its check, by start and kind; start counts from 0.
+
+    The places of a kind are a fold over what lies between its matches and the matches' lengths. Both come from one pattern
+    over the whole text, so a match is placed where the pattern found it, whatever equals it elsewhere. Its value stays
+    inside the expression.
+    """
+    text = F.coalesce(t, F.lit(""))
+
+    def fold(kind: str):
+        def step(a, x):
+            ok = CHECKS[kind](x["m"]) if kind in CHECKS else F.lit(True)
+            at = a["end"] + F.length(x["gap"])
+            row = F.struct(at.alias("start"), F.lit(kind).alias("kind"), F.length(x["m"]).alias("len"))
+            return F.struct((at + F.length(x["m"])).alias("end"), F.concat(a["all"], F.when(ok, F.array(row)).otherwise(F.array().cast(PLACES))).alias("all"))
+
+        return step
+
+    found = []
+    for kind, pattern in PATTERNS.items():
+        gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        both = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
+        start = F.struct(F.lit(0).alias("end"), F.array().cast(PLACES).alias("all"))
+        found.append(F.aggregate(both, start, fold(kind))["all"])
+    return F.transform(F.array_sort(F.concat(*found)), lambda r: F.struct(r["kind"].alias("kind"), r["start"].alias("start"), r["len"].alias("len")))
+
+
+PLACES = "array<struct<start: int, kind: string, len: int>>"
+
+
+def cell_report(df: DataFrame, row_id: str, most: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(the first ``most`` cells that hold personal data by row and column, one row: how many there are, in how many rows).
+
+    A report is cut so that it can be read; the count beside it is of all. Rows are ordered by their id.
+    """
+    cells = scan_cells(df, row_id)
+    total = cells.agg(F.count("*").alias("cells"), F.count_distinct("row").alias("rows"))
+    return cells.orderBy("row", "column").limit(most), total
+
+
 def scan_cells(df: DataFrame, row_id: str) -> DataFrame:
     """(row, column, kinds) of every string cell that holds personal data."""
     names = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string" and f.name != row_id]

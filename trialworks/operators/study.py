@@ -24,11 +24,56 @@ def validate_campaigns(df: DataFrame, min_impressions: int = 500) -> tuple[DataF
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
 
 
+def exclusions(df: DataFrame, min_answered: int = 24, min_ms: int = 2000) -> DataFrame:
+    """(participant, answered, mid, reason): who is left out and why; null reason for those who stay. Blind to accuracy.
+
+    ``mid`` is the upper median of the answers' times (the one at half their number, counted from 0), found from counts per
+    time, so that a participant with a third of all answers is not one array. Without any time it is null and excludes none.
+    """
+    done = df.where("choice is not null")
+    answered = done.groupBy("participant").agg(F.count("*").alias("answered"), F.count("ms").alias("timed"))
+    times = done.where("ms is not null").groupBy("participant", "ms").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("participant").orderBy("ms")
+    upto = times.withColumn("upto", F.sum("n").over(w)).join(answered.select("participant", "timed"), "participant")
+    mid = upto.where(F.col("upto") > F.floor(F.col("timed") / 2)).groupBy("participant").agg(F.min("ms").alias("mid"))
+    all_ = df.select("participant").distinct().join(answered, "participant", "left").join(mid, "participant", "left")
+    few = F.coalesce("answered", F.lit(0)) < min_answered
+    return all_.select("participant", F.coalesce("answered", F.lit(0)).alias("answered"), "mid", F.when(few, "too few answers").when(F.col("mid") < min_ms, "too fast").alias("reason"))
+
+
 def exclude_responses(df: DataFrame, min_answered: int = 24, min_ms: int = 2000) -> DataFrame:
     """Participants' answers, without those who answered too little or too fast (upper median); blind to accuracy."""
-    per = df.where("choice is not null").groupBy("participant").agg(F.count("*").alias("answered"), F.sort_array(F.collect_list("ms")).alias("times"))
-    mid = F.get("times", F.floor(F.size("times") / 2).cast("int"))
-    return df.join(per.where((F.col("answered") >= min_answered) & (mid.isNull() | (mid >= min_ms))).select("participant"), "participant", "left_semi")
+    return df.join(exclusions(df, min_answered, min_ms).where("reason is null").select("participant"), "participant", "left_semi")
+
+
+def whole_study(answers: DataFrame, min_answered: int = 24, min_ms: int = 2000, least_lay: int = 3) -> DataFrame:
+    """The study's table: a row for each participant, for professionals and for lay people, and for all of them pooled.
+
+    ``answers``: participant, paid, item, choice, winner_position, model_pick, ms. Each row has level, participant, paid,
+    participants, n, human_hits, model_hits, model_only, human_only, rates, both Wilson intervals, the exact p-value and
+    ``beats_chance``; one row is primary: the professionals' where ``least_lay`` lay participants or more are left besides
+    some professional, else the pooled one. Excluded participants are rows of level ``excluded`` with their reason and no
+    scores. A null ``paid`` is lay. Sums are grouping sets over one pass of the answers.
+    """
+    out = exclusions(answers, min_answered, min_ms)
+    rows = answers.where("choice is not null").withColumn("paid", F.coalesce("paid", F.lit(False)))
+    rows = rows.join(out.where("reason is null").select("participant"), "participant", "left_semi")
+    human, model = F.col("choice") == F.col("winner_position"), F.coalesce(F.col("model_pick") == F.col("winner_position"), F.lit(False))
+    per = rows.groupBy("participant", "paid").agg(  # of everyone, before the sets: what is summed below is a row a participant
+        F.count("*").alias("n"), F.count_if(human).alias("human_hits"), F.count_if(model).alias("model_hits"), F.count_if(model & ~human).alias("model_only"), F.count_if(human & ~model).alias("human_only"))
+    sums = [F.count_distinct("participant").alias("participants"), *[F.sum(c).alias(c) for c in ("n", "human_hits", "model_hits", "model_only", "human_only")]]
+    sets = per.groupingSets([["participant", "paid"], ["paid"], []], "participant", "paid").agg(F.grouping_id().alias("g"), *sums)
+    level = F.when(F.col("g") == 0, "participant").when(F.col("g") == 3, "pooled").when(F.col("paid"), "professional").otherwise("lay")
+    scored = sets.where("n is not null").withColumn("level", level).drop("g")
+    lo, hi = S.wilson("human_hits", "n")
+    model_lo, model_hi = S.wilson("model_hits", "n")
+    scored = scored.withColumns({"human_rate": F.col("human_hits") / F.col("n"), "model_rate": F.col("model_hits") / F.col("n"), "lo": lo, "hi": hi, "model_lo": model_lo, "model_hi": model_hi, "p_value": S.mcnemar_exact("model_only", "human_only")})
+    scored = scored.withColumn("beats_chance", F.col("lo") > 0.5)
+    people = scored.agg(F.max(F.when(F.col("level") == "professional", F.col("participants"))).alias("pros"), F.max(F.when(F.col("level") == "lay", F.col("participants"))).alias("lays"))
+    choice = F.when((F.coalesce("lays", F.lit(0)) >= least_lay) & (F.coalesce("pros", F.lit(0)) > 0), "professional").otherwise("pooled")
+    scored = scored.crossJoin(F.broadcast(people.select(choice.alias("main")))).withColumn("primary", F.col("level") == F.col("main")).drop("main")  # one row
+    gone = out.where("reason is not null").select(F.lit("excluded").alias("level"), "participant", F.col("answered").alias("n"), "reason")
+    return scored.unionByName(gone, allowMissingColumns=True)
 
 
 def score_study(answers: DataFrame) -> DataFrame:
@@ -74,13 +119,31 @@ def export_allow_list(predictions: DataFrame) -> DataFrame:
 
 
 def audit_chain(entries: DataFrame) -> DataFrame:
-    """Adds prev_hash and hash per tenant: each hash covers its predecessor, so the chain is a fold over a tenant's log."""
-    folded = entries.groupBy("tenant_id").agg(F.sort_array(F.collect_list(F.struct("seq", "payload"))).alias("log"))
-    step = lambda a, x: F.concat(a, F.array(F.sha2(F.concat_ws("|", F.coalesce(F.element_at(a, -1), F.lit("")), x["seq"].cast("string"), x["payload"]), 256)))
-    start = F.array(F.lit("")).cast("array<string>")
-    folded = folded.withColumn("chain", F.aggregate("log", start, step))
-    rows = folded.select("tenant_id", "chain", F.posexplode("log").alias("i", "x"))
-    return rows.select("tenant_id", F.col("x.seq").alias("seq"), F.col("x.payload").alias("payload"), F.element_at("chain", F.col("i") + 1).alias("prev_hash"), F.element_at("chain", F.col("i") + 2).alias("hash"))
+    """Adds prev_hash and hash per tenant: each hash covers its predecessor, in the order of seq and payload.
+
+    A tenant's chain is sequential by nature: its rows pass one task as a sorted stream, of which only the last hash is held.
+    Of other columns none is kept; null sequence numbers come first and, like null payloads, add nothing to what is hashed.
+    """
+    kinds = dict(entries.dtypes)
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        tenant, last, begun = None, "", False
+        for b in batches:
+            before, after = [], []
+            for t, seq, payload in zip(b.column("tenant_id").to_pylist(), b.column("seq").to_pylist(), b.column("payload").to_pylist()):
+                if not begun or t != tenant:
+                    tenant, last, begun = t, "", True
+                before.append(last)
+                last = hashlib.sha256("|".join([last, *(str(x) for x in (seq, payload) if x is not None)]).encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tenant_id", "seq", "payload")), pa.array(before, pa.string()), pa.array(after, pa.string())], ["tenant_id", "seq", "payload", "prev_hash", "hash"])
+
+    rows = entries.select("tenant_id", "seq", "payload").repartition("tenant_id").sortWithinPartitions("tenant_id", "seq", "payload")
+    return rows.mapInArrow(run, f"tenant_id {kinds['tenant_id']}, seq {kinds['seq']}, payload {kinds['payload']}, prev_hash string, hash string")
 
 
 def verify_chain(chain: DataFrame) -> DataFrame:

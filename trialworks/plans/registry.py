@@ -32,7 +32,7 @@ def query(oracle: str | None = None):
 
 
 def queries() -> dict:
-    from trialworks.plans import diagnostics, operations  # noqa: F401  they register their own
+    from trialworks.plans import diagnostics, operations, serving  # noqa: F401  they register their own
 
     return dict(_QUERIES)
 

@@ -4,32 +4,62 @@ from __future__ import annotations
 
 import re
 import uuid
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARM_COLUMNS = ["test_id", "headline", "excerpt", "lede", "eyecatcher_id", "impressions", "clicks", "test_week", "created_at", "winner"]
-# Header keys (letters and digits, lower case) that name each campaign column; the first match wins.
-HEADER_RULES = {
-    "copy": "copy|headline|adtext|primarytext|text|title|creative|message",
-    "impressions": "impressions|impr|views|delivered",
-    "clicks": "clicks|linkclicks|click",
-    "segment": "segment|audience|adset|adgroup",
-    "campaignId": "campaignid|campaign|campaignname",
-}
+# What a header, in lower case and without all but letters and digits, names; the first rule that fits it wins.
+HEADER_RULES = [
+    (r"(link)?clicks?", "clicks"),
+    (r"(all|unique|outbound|website)?(link)?clicks?", "clicks"),
+    (r"(impr|impressions?|views?|reach)", "impressions"),
+    (r"(copy|text|headline\d*|title|body|creative|addcopy|adcopy|description\d*)", "copy"),
+    (r"(segment|audience|agerange|age|gender|sex)", "segment"),
+    (r"(campaign|campaignid|campaignname|adsetname|adname|adid)", "campaignId"),
+]
+CAMPAIGN_COLUMNS = ["copy", "impressions", "clicks", "segment", "campaignId"]
+
+
+def _missing(e: Exception) -> bool:
+    return "PATH_NOT_FOUND" in str(e)
 
 
 def read_experiments(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Quoted multi-line CSV of several releases as strings, with the release; columns are found by name."""
-    out = None
+    """Quoted multi-line CSV of several releases as strings, with the release; columns are found by name.
+
+    A release whose file is missing is warned of and skipped; without any there is an empty table.
+    """
+    columns = [*ARM_COLUMNS, "release"]
+    out = spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
     for release, path in paths.items():
-        df = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(path)
-        df = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in ARM_COLUMNS], F.lit(release).alias("release"))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+        try:
+            df = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(path)
+        except Exception as e:
+            if not _missing(e):
+                raise
+            warnings.warn(f"release {release} is missing: {path}", stacklevel=2)
+            continue
+        df = df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast("string").alias(c) for c in ARM_COLUMNS], F.lit(release).alias("release"))
+        out = out.unionByName(df)
     return out.withColumnsRenamed({"headline": "copy_text", "eyecatcher_id": "image_id"})
 
 
+def read_nested(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows by the declared schema, corrupt lines with their file, one row of counts) of JSON lines; blank lines are none.
+
+    A line that is no JSON, or whose values do not fit the schema, is held back whole. The counts are of all lines.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file")).where(F.length(F.trim("line")) > 0)
+    parsed = lines.withColumn("r", F.from_json("line", f"{schema}, `_corrupt` string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+    counts = parsed.agg(F.count_if(~bad).alias("rows"), F.count_if(bad).alias("corrupt"))
+    return parsed.where(~bad).select("r.*").drop("_corrupt"), parsed.where(bad).select("file", "line"), counts
+
+
 def read_jsonl(spark: SparkSession, glob: str, schema: str) -> DataFrame:
+    """JSON lines by a declared schema; blank lines are none."""
     return spark.read.schema(schema).json(glob)
 
 
@@ -50,27 +80,39 @@ def collect_meta(columns: list[str]) -> Column:
     return F.map_filter(F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(c).cast("string") for c in columns])), lambda k, v: v.isNotNull())
 
 
-def read_campaign_export(spark: SparkSession, path: str) -> tuple[DataFrame | None, list[str]]:
-    """(rows, missing required columns): a vendor's CSV under our column names; rows stay distributed."""
-    df = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(path)
-    key = {c: re.sub("[^a-z0-9]", "", c.lower()) for c in df.columns}
+def resolve_headers(headers: list[str]) -> dict[str, str]:
+    """Our column names by the export's header that names each: of several headers the first."""
     found: dict[str, str] = {}
-    for name, rule in HEADER_RULES.items():
-        for option in rule.split("|"):
-            hit = next((c for c in df.columns if key[c] == option and c not in found.values()), None)
-            if hit:
-                found[name] = hit
-                break
+    for i, h in enumerate(headers):
+        plain = h[: -len(str(i))] if h.endswith(str(i)) else h  # repeated headers come with their place behind them
+        h_key = h if sum(x.lower().startswith(plain.lower()) and x.lower()[len(plain) :].isdigit() for x in headers) < 2 else plain
+        key = re.sub("[^a-z0-9]", "", h_key.lower())
+        name = next((n for rule, n in HEADER_RULES if re.fullmatch(rule, key)), None)
+        if name:
+            found.setdefault(name, h)
+    return found
+
+
+def read_campaign_export(spark: SparkSession, path: str) -> tuple[DataFrame | None, list[str]]:
+    """(rows, missing required columns): a vendor's CSV under our column names as trimmed text; rows stay distributed.
+
+    Only the header is read here. Without a required column there are no rows, and the columns that are missing are told.
+    """
+    df = spark.read.options(header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).csv(path)
+    found = resolve_headers(df.columns)
     missing = [c for c in ("copy", "impressions", "clicks") if c not in found]
     if missing:
         return None, missing
-    return df.select(*[(F.col(f"`{found[c]}`") if c in found else F.lit(None).cast("string")).alias(c) for c in HEADER_RULES]), []
+    return df.select(*[(F.col(f"`{found[c]}`") if c in found else F.lit(None).cast("string")).alias(c) for c in CAMPAIGN_COLUMNS]), []
 
 
-def read_responses(spark: SparkSession, path: str, seed: int) -> DataFrame:
-    """One JSON file per participant, answers exploded; a file with another seed is an error."""
+def read_responses(spark: SparkSession, path: str, seed: int, participant: str = r"([^/]+)\.json$") -> DataFrame:
+    """One JSON file per participant, answers exploded; a file with another seed is an error.
+
+    ``participant`` finds the participant in the file's path: by default the file's name.
+    """
     schema = "seed long, n int, profile struct<years: int, paid: boolean>, answers array<struct<id: string, choice: int, ms: long>>"
-    df = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("participant", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))
+    df = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("participant", F.regexp_extract(F.col("_metadata.file_path"), participant, 1))
     sound = F.when(F.col("seed") == seed, F.lit(True)).otherwise(F.raise_error(F.lit("a response belongs to another quiz")).cast("boolean"))
     return df.where(sound).select("participant", "profile.years", "profile.paid", F.explode("answers").alias("a")).select("participant", "years", "paid", F.col("a.id").alias("item"), "a.choice", "a.ms")
 

@@ -117,10 +117,10 @@ class _Expiring(StatefulProcessor):
         if self.first.exists() and self.first.get()[1] + self.period_ms <= timerValues.getCurrentWatermarkInMs():
             self.handle.deleteTimer(self.first.get()[1] + self.period_ms)  # rows come before the timers of their trigger
             yield from self.handleExpiredTimer(key, timerValues, None)
-        d = pd.concat(list(rows)).sort_values(["resolved_at", "actual"], kind="stable")
+        d = pd.concat(list(rows)).sort_values(["resolved_ms", "actual"], kind="stable")
         kinds = ["rejected"] * len(d)
         if not self.first.exists() and len(d):
-            ms = int(d["resolved_at"].iloc[0].timestamp() * 1000)
+            ms = int(d["resolved_ms"].iloc[0])
             self.first.update((int(d["actual"].iloc[0]), ms))
             self.handle.registerTimer(ms + self.period_ms)
             kinds[0] = "accepted"
@@ -144,7 +144,7 @@ def expiring_outcomes(outcomes: DataFrame, days: int = 30, late: str = "1 day")
     passes its time and ``days``. Then a timer ends it, so the state holds no more than the period brings. An outcome that
     comes after that is a first one again. First is the earliest of its trigger, ties to the smaller value.
     """
-    o = outcomes.select(F.col("id").cast("long").alias("id"), F.col("actual").cast("int").alias("actual"), "resolved_at").withWatermark("resolved_at", late)
+    o = outcomes.select(F.col("id").cast("long").alias("id"), F.col("actual").cast("int").alias("actual"), "resolved_at", F.unix_millis("resolved_at").alias("resolved_ms")).withWatermark("resolved_at", late)
     return o.groupBy("id").transformWithStateInPandas(_Expiring(days * 86_400_000), "id long, actual int, kind string", "append", "EventTime")
 
 
