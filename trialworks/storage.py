@@ -28,7 +28,16 @@ def written(df: DataFrame, name: str, compression: str = "snappy", by: list[str]
     """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors. ``by`` parts it by columns."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path, partitionBy=by)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def remove(table: DataFrame) -> None:
+    """Deletes a table that :func:`written` made and that nothing will read again."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    path.getFileSystem(spark._jsparkSession.sparkContext().hadoopConfiguration()).delete(path, True)
 
 
 def unused(df: DataFrame, name: str) -> str:
