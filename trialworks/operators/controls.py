@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialworks.functions import stats as S
+from trialworks.operators.effects import MOST_PAIRS, shrunk_rates
+from trialworks.operators.ranks import within_budget
 
 
 def ridge_by_variant(rows: DataFrame, features: list[str], y: str, penalty: float = 1.0) -> DataFrame:
@@ -70,14 +72,19 @@ def learning_curve(rows: DataFrame, features: list[str], y: str, key: Column, sh
     return ridge_by_variant(made, features, y).withColumn("sound", F.col("train_r2") - F.col("val_r2") < most)
 
 
-def replication_ceiling(arms: DataFrame, gaps: list[float], replicates: int = 4, group: str = "test_id", arm: str = "arm_id") -> DataFrame:
+def replication_ceiling(arms: DataFrame, gaps: list[float], replicates: int = 4, group: str = "test_id", arm: str = "arm_id", shrink: bool = False, most: int = MOST_PAIRS) -> DataFrame:
     """(gap, ceiling, pairs): how often two replications of an experiment agree on the order of two arms, among the pairs
     that the second sets at least ``gap`` apart; the mean over ``replicates`` and the pairs of the last one.
 
-    A replication draws an arm's clicks from a normal of the binomial's mean and variance, from hashed numbers.
+    A replication draws an arm's clicks from a normal of the binomial's mean and variance, from hashed numbers. With
+    ``shrink`` its rate is not the observed one but that shrunk to the experiment's mean by the noise share of the spread.
+    More than ``most`` pairs of an experiment are an error.
     """
+    arms = within_budget(arms, [group], most)
     key = F.concat_ws("/", F.col(group).cast("string"), F.col(arm).cast("string"), F.col("rep").cast("string"))
     n, p = F.col("impressions"), F.col("clicks") / F.col("impressions")
+    if shrink:
+        arms, p = shrunk_rates(arms, group), F.col("shrunk_rate")
 
     def log_odds(seed: int) -> Column:
         u = F.sqrt(-2 * F.ln(F.greatest(S.hash01(key, seed), F.lit(1e-12)))) * F.cos(2 * math.pi * S.hash01(key, seed + 1))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from trialworks.functions import stats as S
 from trialworks.operators import evaluate as V
+from trialworks.operators.ranks import quantiles
+from trialworks.storage import written
 
 # Cumulative probabilities of a Poisson variable of mean 1, from 0 upwards.
 POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
@@ -20,9 +22,9 @@ def fit_tiers(pairs: DataFrame, name: str = "score") -> DataFrame:
 
 def declined_accuracy(pairs: DataFrame, coverage: float = 0.5, name: str = "score") -> DataFrame:
     """One row: accuracy on the pairs whose margin lies below the threshold of ``coverage``, and their number."""
-    p = pairs.select(V.margin(name).alias("m"), V.win(name).alias("w"))
-    cut = p.agg(F.percentile("m", 1.0 - coverage).alias("cut"))
-    return p.crossJoin(F.broadcast(cut)).where("m < cut").agg(F.avg("w").alias("accuracy"), F.count("*").alias("n_pairs"))  # one row on the right
+    p = written(pairs.select(V.margin(name).alias("m"), V.win(name).alias("w")), "scored")
+    (cut,) = quantiles(p, "m", [1.0 - coverage])
+    return p.where(F.col("m") < F.lit(cut)).agg(F.avg("w").alias("accuracy"), F.count("*").alias("n_pairs"))
 
 
 def long_form(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialworks.functions import stats as S
+from trialworks.operators.ranks import median, values_at, within_budget
+from trialworks.storage import written
+
+#: Pairs of one experiment (or link) above which a pair builder fails instead of making them.
+MOST_PAIRS = 50_000_000
 
 
 def by(*cols: str):
@@ -50,9 +55,9 @@ def shrunk_target(arms: DataFrame) -> DataFrame:
     return arms.withColumn("shrunk", F.when((F.count("*").over(w) < 2) | (var <= 0), F.col("target")).otherwise(mean + keep * (F.col("target") - mean)))
 
 
-def shrunk_rates(arms: DataFrame) -> DataFrame:
+def shrunk_rates(arms: DataFrame, group: str = "test_id") -> DataFrame:
     """Click rates shrunk to the experiment's weighted mean by binomial noise, clipped to [1e-6, 1]."""
-    w, rate = by("test_id"), F.col("clicks") / F.col("impressions")
+    w, rate = by(group), F.col("clicks") / F.col("impressions")
     mean = F.sum("clicks").over(w) / F.sum("impressions").over(w)
     noise, var = F.avg(rate * (1 - rate) / F.col("impressions")).over(w), F.var_pop(rate).over(w)
     keep = F.coalesce(F.greatest(F.lit(0.0), var - noise) / F.nullif(var, F.lit(0.0)), F.lit(0.0))
@@ -74,17 +79,23 @@ def variance_decomposition(arms: DataFrame) -> DataFrame:
 
 
 def corpus_profile(arms: DataFrame, min_impressions: int) -> DataFrame:
-    """One row about a corpus: rows, drops by reason, experiment sizes, impressions and rates."""
+    """One row about a corpus: rows, drops by reason, experiment sizes, impressions and rates.
+
+    Medians and the tenth (the value at a tenth of the rows, counted from 0) are exact, from counts in ranges of the value.
+    """
     small, odd = F.col("impressions") < min_impressions, (F.col("clicks") < 0) | (F.col("clicks") > F.col("impressions"))
     ok = ~small & ~odd & (F.length(F.trim("copy_text")) > 0)
     rate = F.when(ok, F.col("clicks") / F.col("impressions"))
     n = F.when(ok, F.col("impressions"))
     one = arms.agg(F.count("*").alias("n_rows"), F.count_if(ok).alias("usable"), F.count_if(small).alias("too_small"), F.count_if(~small & odd).alias("odd_clicks"),
-                   F.median(n).alias("median_impressions"), F.avg(rate).alias("mean_ctr"), F.median(rate).alias("median_ctr"), F.max(rate).alias("max_ctr"),
-                   (F.count_if(ok) - F.count_distinct(F.when(ok, F.col("copy_text")))).alias("repeated_copies"))
-    tests = arms.where(ok).groupBy("test_id").agg(F.count("*").alias("k"))
-    tests = tests.agg(F.count("*").alias("n_tests"), F.avg("k").alias("mean_arms"), F.median("k").alias("median_arms"), F.max("k").alias("max_arms"))
-    return one.crossJoin(tests)  # one row each
+                   F.avg(rate).alias("mean_ctr"), F.max(rate).alias("max_ctr"), (F.count_if(ok) - F.count_distinct(F.when(ok, F.col("copy_text")))).alias("repeated_copies"))
+    good = written(arms.where(ok).select("test_id", n.alias("n"), rate.alias("rate")), "usable")
+    sizes = written(good.groupBy("test_id").agg(F.count("*").alias("k")), "sizes")
+    tests = sizes.agg(F.count("*").alias("n_tests"), F.avg("k").alias("mean_arms"), F.max("k").alias("max_arms"))
+    tenth = good.count() // 10
+    found = {"median_impressions": median(good, "n"), "p10_impressions": values_at(good, "n", [tenth]).get(tenth), "median_ctr": median(good, "rate"), "median_arms": median(sizes, "k")}
+    kinds = {"p10_impressions": "long"}
+    return one.crossJoin(tests).withColumns({k: F.lit(v).cast(kinds.get(k, "double")) for k, v in found.items()})  # one row each
 
 
 def release_totals(arms: DataFrame) -> DataFrame:
@@ -113,13 +124,19 @@ def decidability(arms: DataFrame) -> DataFrame:
     return out.withColumn("decidable", F.coalesce(F.col("shortfall") == 0, F.lit(False)))
 
 
-def build_pairs(arms: DataFrame, min_gap: float = 0.05) -> DataFrame:
+def build_pairs(arms: DataFrame, min_gap: float = 0.05, vector: str | None = None, most: int = MOST_PAIRS) -> DataFrame:
     """Winner and loser of every comparable pair of an experiment: target gap of at least ``min_gap``, different copy.
 
-    The number of pairs is the sum of squared experiment sizes by definition; :func:`pair_budget` tells it beforehand.
+    ``vector`` names a feature array: pairs whose arrays are equal are left out, too. The number of pairs is the sum of
+    squared experiment sizes by definition; an experiment with more than ``most`` is an error, and :func:`pair_budget`
+    tells which.
     """
-    side = lambda a: arms.select("test_id", *[F.col(c).alias(f"{c}_{a}") for c in ("arm_id", "copy_text", "target", "weight")])
+    columns = ["arm_id", "copy_text", "target", "weight", *([vector] if vector else [])]
+    arms = within_budget(arms.select("test_id", *columns), ["test_id"], most)
+    side = lambda a: arms.select("test_id", *[F.col(c).alias(f"{c}_{a}") for c in columns])
     both = side("a").join(side("b"), "test_id").where("arm_id_a < arm_id_b and copy_text_a <> copy_text_b")
+    if vector:
+        both = both.where(~F.col(f"{vector}_a").eqNullSafe(F.col(f"{vector}_b")))
     gap, first = F.abs(F.col("target_a") - F.col("target_b")), F.col("target_a") > F.col("target_b")
     pick = lambda c, x, y: F.when(first, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))
     harmonic = 2 / (1 / F.col("weight_a") + 1 / F.col("weight_b"))
@@ -132,9 +149,12 @@ def pair_budget(arms: DataFrame, limit: int) -> DataFrame:
     return arms.groupBy("test_id").agg((n * (n - 1) / 2).cast("long").alias("pairs")).where(F.col("pairs") > limit)
 
 
-def image_controlled_pairs(arms: DataFrame) -> DataFrame:
-    """Same-test pairs that share an image, by what differs: headline, only body, nothing; with |z| of the difference."""
-    side = lambda a: arms.select("test_id", F.coalesce("image_id", F.lit("")).alias("image_id"), *[F.col(c).alias(f"{c}_{a}") for c in ("arm_id", "copy_text", "lede", "impressions", "clicks")])
+def image_controlled_pairs(arms: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
+    """Same-test pairs that share an image, by what differs: headline, only body, nothing; with |z| of the difference.
+
+    More than ``most`` pairs of one experiment and image are an error."""
+    arms = within_budget(arms.withColumn("image_id", F.coalesce("image_id", F.lit(""))), ["test_id", "image_id"], most)
+    side = lambda a: arms.select("test_id", "image_id", *[F.col(c).alias(f"{c}_{a}") for c in ("arm_id", "copy_text", "lede", "impressions", "clicks")])
     p = side("a").join(side("b"), ["test_id", "image_id"]).where("arm_id_a < arm_id_b")
     cell = F.when(F.col("copy_text_a") != F.col("copy_text_b"), "headline").when(~F.col("lede_a").eqNullSafe(F.col("lede_b")), "body").otherwise("nothing")
     lo = lambda a: S.logit(S.smoothed_rate(f"clicks_{a}", f"impressions_{a}"))

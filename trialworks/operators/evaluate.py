@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialworks.operators.ranks import quantiles
+from trialworks.storage import written
+
 
 def score_pairs(pairs: DataFrame, scores: DataFrame, name: str = "score") -> DataFrame:
     """Attaches both arms' scores as {name}_hi and {name}_lo. ``scores``: test_id, arm_id, name."""
@@ -46,14 +49,12 @@ def strict_accuracy(pairs: DataFrame, name: str = "score", min_gap: float = 0.10
 def accuracy_at_coverage(pairs: DataFrame, coverages: list[float], name: str = "score") -> DataFrame:
     """Clustered accuracy when only the most confident share of pairs is answered; one row per coverage.
 
-    Thresholds are exact linear quantiles of the margins.
+    Thresholds are exact linear quantiles of the margins, from counts in ranges of the margin; the scored pairs are made once.
     """
-    p = pairs.withColumns({"m": margin(name), "w": win(name)})
-    shares = F.array(*[F.lit(1.0 - c) for c in coverages])
-    cuts = p.agg(F.percentile("m", shares).alias("cuts"), F.count("*").alias("n_all"))
-    cuts = cuts.select("n_all", F.posexplode("cuts").alias("i", "cut")).withColumn("target", F.element_at(F.array(*[F.lit(c) for c in coverages]), F.col("i") + 1))
-    cuts = cuts.withColumn("threshold", F.when(F.col("target") >= 1.0, F.lit(0.0)).otherwise(F.col("cut")))
-    kept = p.join(F.broadcast(cuts), p.m >= cuts.threshold)  # a row per coverage
+    p = written(pairs.select("test_id", margin(name).alias("m"), win(name).alias("w")), "scored")
+    cuts = [0.0 if c >= 1.0 else cut for c, cut in zip(coverages, quantiles(p, "m", [1.0 - c for c in coverages]))]
+    steps = F.array(*[F.struct(F.lit(float(c)).alias("target"), F.lit(cut).cast("double").alias("threshold")) for c, cut in zip(coverages, cuts)])
+    kept = p.withColumn("step", F.explode(F.filter(steps, lambda s: F.col("m") >= s["threshold"]))).select("*", "step.*", F.lit(p.count()).alias("n_all"))
     per = kept.groupBy("target", "threshold", "n_all", "test_id").agg(F.avg("w").alias("x"), F.count("*").alias("k"))
     out = per.groupBy("target", "threshold", "n_all").agg(F.avg("x").alias("accuracy"), F.sum("k").alias("n_pairs"), F.coalesce(F.stddev_samp("x") / F.sqrt(F.count("*")), F.lit(0.0)).alias("se"))
     return out.select("target", "threshold", (F.col("n_pairs") / F.col("n_all")).alias("coverage"), "accuracy", (F.col("accuracy") - 1.96 * F.col("se")).alias("lo"), (F.col("accuracy") + 1.96 * F.col("se")).alias("hi"), "n_pairs")
@@ -85,5 +86,6 @@ def top_disagreements(pairs: DataFrame, a: str, b: str, k: int = 25) -> DataFram
 
 
 def flip_rate(pairs: DataFrame, base: str, alt: str) -> DataFrame:
+    """One row: share of pairs whose order changes, mean and largest size of what a score lead changes by."""
     lead = lambda n: F.col(f"{n}_hi") - F.col(f"{n}_lo")
-    return pairs.agg(F.avg((F.signum(lead(base)) != F.signum(lead(alt))).cast("double")).alias("flip_rate"), F.avg(F.abs(lead(base) - lead(alt))).alias("mean_change"))
+    return pairs.agg(F.avg((F.signum(lead(base)) != F.signum(lead(alt))).cast("double")).alias("flip_rate"), F.avg(F.abs(lead(base) - lead(alt))).alias("mean_change"), F.max(F.abs(lead(base) - lead(alt))).alias("max_change"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trialworks.functions import text as X
 from trialworks.operators.components import connected_components
 from trialworks.operators.prefix import sum_before
+from trialworks.operators.ranks import counted_ranges, values_at
 
 
 def leakage_groups(arms: DataFrame, row_id: str = "row_id") -> DataFrame:
@@ -35,6 +36,18 @@ def group_order(group: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", group.cast("string"), F.lit(str(seed))).cast("binary"))
 
 
+def hash_places(groups: DataFrame, by: list[str], seed: int) -> DataFrame:
+    """Adds at: the place from 0 of each row's group_id in hash order, within ``by``. Rows have distinct (by, group_id).
+
+    Buckets by the hash's first four digits are counted first, so no task ranks all groups of a stratum.
+    """
+    g = groups.withColumn("h", group_order(F.col("group_id"), seed))
+    g = g.withColumn("bucket", F.conv(F.substring("h", 1, 4), 16, 10).cast("long"))
+    first = sum_before(g.groupBy(*by, "bucket").agg(F.count("*").alias("c")), by, "bucket", "c", "first").select(*by, "bucket", "first")
+    at = F.col("first") + F.row_number().over(Window.partitionBy(*by, "bucket").orderBy("h", "group_id")) - 1
+    return g.join(first, [*by, "bucket"]).withColumn("at", at).drop("h", "bucket", "first")
+
+
 def grouped_split(groups: DataFrame, shares: tuple[float, float] = (0.70, 0.15), seed: int = 7, exact: bool = True) -> DataFrame:
     """Adds split to every row; whole groups only.
 
@@ -44,13 +57,10 @@ def grouped_split(groups: DataFrame, shares: tuple[float, float] = (0.70, 0.15),
     if not exact:
         u = F.conv(F.substring(group_order(F.col("group_id"), seed), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
         return groups.withColumn("split", F.when(u < shares[0], "train").when(u < sum(shares), "val").otherwise("test"))
-    g = groups.select("group_id").distinct().withColumn("h", group_order(F.col("group_id"), seed))
+    g = groups.select("group_id").distinct()
     n = g.count()
     a, b = round(n * shares[0]), round(n * shares[0]) + round(n * shares[1])
-    # Buckets by the hash's first four digits are counted first, so no task ranks all groups.
-    g = g.withColumn("bucket", F.conv(F.substring("h", 1, 4), 16, 10).cast("long"))
-    first = sum_before(g.groupBy("bucket").agg(F.count("*").alias("c")), [], "bucket", "c", "first").select("bucket", "first")
-    g = g.join(first, "bucket").withColumn("at", F.col("first") + F.row_number().over(Window.partitionBy("bucket").orderBy("h", "group_id")) - 1)
+    g = hash_places(g, [], seed)
     g = g.select("group_id", F.when(F.col("at") < a, "train").when(F.col("at") < b, "val").otherwise("test").alias("split"))
     return groups.join(g, "group_id")
 
@@ -82,20 +92,34 @@ def group_sample(groups: DataFrame, budget: int, seed: int = 7) -> DataFrame:
 
 
 def temporal_split(rows: DataFrame, share: float = 0.60, time: str = "created_at", row_id: str = "row_id") -> DataFrame:
-    """Adds early: whether a row is among the first ``share`` by time, ties by id; found from counts per day."""
-    d = rows.withColumn("__day", F.datediff(F.col(time).cast("date"), F.lit("1970-01-01").cast("date")))
-    n = d.count()
-    first = sum_before(d.groupBy("__day").agg(F.count("*").alias("c")), [], "__day", "c", "first").select("__day", "first")
-    at = F.col("first") + F.row_number().over(Window.partitionBy("__day").orderBy(time, row_id)) - 1
-    return d.join(first, "__day").withColumn("early", at < int(n * share)).drop("__day", "first")
+    """Adds early: whether a row is among the first ``share`` by time, ties by id. A row without a time is left out.
+
+    The cut is found from counts per instant in ranges of time, and inside the instant that it falls into from counts per id
+    in ranges of the id; no rows are ranked. Ids are distinct.
+    """
+    d = rows.withColumn("__us", F.unix_micros(F.col(time).cast("timestamp"))).where("__us is not null")
+    counts, n = counted_ranges(d, "__us")
+    cut = int(n * share)
+    last = counts.where((F.col("at") < cut) & (F.col("at") + F.col("n") >= cut)).first()  # the instant of the last early row
+    if last is None:
+        return d.withColumn("early", F.lit(False)).drop("__us")
+    early = F.col("__us") <= last.v
+    if last["at"] + last.n > cut:
+        rank = cut - last["at"] - 1
+        edge = values_at(d.where(F.col("__us") == last.v), row_id, [rank])[rank]
+        early = (F.col("__us") < last.v) | ((F.col("__us") == last.v) & (F.col(row_id) <= F.lit(edge)))
+    return d.withColumn("early", early).drop("__us")
 
 
 def fingerprint(rows: DataFrame, text: str = "copy_text") -> DataFrame:
     """One row: a content hash of a table, whatever its row order. Rows are counted by hash, hashed by bucket, then all."""
     h = F.sha2(X.norm_ws_lower(F.coalesce(F.col(text), F.lit(""))), 256)
     counts = rows.select(h.alias("h")).groupBy("h").agg(F.concat_ws(" ", "h", F.count("*").cast("string")).alias("line"))
-    buckets = counts.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256).alias("s"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "s"))), lambda x: x["s"]), "\n"), 256).alias("fingerprint"))
+    lines = counts.select(F.substring("h", 1, 6).alias("b"), "h", F.col("line").alias("s"))
+    for digits in (6, 3):  # a bucket of six digits holds a row in 16 million, one of three digits up to 4096 of those
+        level = F.transform(F.array_sort(F.collect_list(F.struct("h", "s"))), lambda x: x["s"])
+        lines = lines.groupBy(F.substring("b", 1, digits).alias("b")).agg(F.sha2(F.array_join(level, "\n"), 256).alias("s")).withColumn("h", F.col("b"))
+    return lines.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "s"))), lambda x: x["s"]), "\n"), 256).alias("fingerprint"))
 
 
 def carve_dev(split: DataFrame, share: float = 0.15, seed: int = 8) -> DataFrame:
@@ -108,8 +132,9 @@ def stratified_split(groups: DataFrame, stratum: str, shares: tuple[float, float
     """Adds split: groups are dealt by hash order within the stratum that most of their rows have (ties: the smaller)."""
     n = groups.groupBy("group_id", stratum).agg(F.count("*").alias("n"))
     main = n.groupBy("group_id").agg(F.min(F.struct((-F.col("n")).alias("less"), F.col(stratum).alias("stratum")))["stratum"].alias("stratum"))
-    w = Window.partitionBy("stratum")  # a row per group
-    g = main.withColumn("at", F.row_number().over(w.orderBy(group_order(F.col("group_id"), seed), "group_id")) - 1).withColumn("all", F.count("*").over(w))
+    main = main.withColumn("key", F.struct(F.col("stratum").isNull().alias("none"), F.coalesce(F.col("stratum").cast("string"), F.lit("")).alias("s"))).select("group_id", "key")
+    sizes = main.groupBy("key").agg(F.count("*").alias("all"))
+    g = hash_places(main, ["key"], seed).join(sizes, "key")
     a, b = F.round(F.col("all") * shares[0]), F.round(F.col("all") * shares[0]) + F.round(F.col("all") * shares[1])
     return groups.join(g.select("group_id", F.when(F.col("at") < a, "train").when(F.col("at") < b, "val").otherwise("test").alias("split")), "group_id")
 

@@ -12,7 +12,7 @@ from trialworks.operators import lexicon as L
 from trialworks.operators import ranking as K
 from trialworks.operators import splits as G
 from trialworks.plans.fixtures import sql, view
-from trialworks.plans.registry import CLUSTERED, COUNT, IN, LABELLED, PAIRS, SCORED, SPLIT, duck_hash01, labelled, query, scored, table, words
+from trialworks.plans.registry import CLUSTERED, COUNT, IN, LABELLED, PAIRS, SCORED, SPLIT, duck_hash01, full_groups, labelled, query, scored, table, words
 
 KEY = "test_id || '/' || arm_id"
 
@@ -295,10 +295,10 @@ select vec_id, (list(label order by s desc, label))[1] as label from s group by
 
 
 # Splits.
-@query(f"""with recursive {SPLIT}, tg as (select distinct group_id from split where split = 'train'), od as (select group_id, row_number() over (order by md5(group_id || ':8'), group_id) - 1 as place, count(*) over () as n from tg)
+@query(f"""with {SPLIT}, tg as (select distinct group_id from split where split = 'train'), od as (select group_id, row_number() over (order by md5(group_id || ':8'), group_id) - 1 as place, count(*) over () as n from tg)
 select row_id, case when place < round_even(n * 0.85::double, 0) then 'fit' else 'dev' end as part from split join od using (group_id)""")
 def carve_dev(spark, d):
-    return G.carve_dev(G.grouped_split(G.leakage_groups(view(spark, d, "closure_pass")))).select("row_id", "part")
+    return G.carve_dev(G.grouped_split(full_groups(spark, d))).select("row_id", "part")
 
 
 STRATA = f"""g as (select min(doc_id) over (partition by trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))) as group_id, doc_id, coalesce(source, '') as source from documents),
