@@ -97,7 +97,7 @@ def surface(t: Column) -> dict[str, Column]:
         "type_token_ratio": F.size(F.array_distinct(toks)) / n, "stopword_frac": share_of(toks, STOPWORDS),
         "exclaim_count": F.regexp_count(t, F.lit("!")), "question_count": F.regexp_count(t, F.lit("[?]")),
         "caps_ratio": F.regexp_count(t, F.lit("[A-Z]")) / c, "digit_ratio": digits / c, "has_number": (digits > 0).cast("double"),
-        "punct_density": F.regexp_count(t, F.lit(PUNCTUATION)) / c,
+        "punct_density": F.regexp_count(t, F.lit(PUNCTUATION)) / c, "quote_count": quote_count(t),
     }
 
 

@@ -250,7 +250,7 @@ IN = lambda name: f"len(list_filter(w, lambda x: list_contains({words(name)}, x)
 @query(rf"""with {TOKENS}, s as (select *, greatest(len(w), 1) as n, greatest(chars, 1) as c, greatest(len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: length(trim(x)) > 0)), 1) as sents from toks)
 select doc_id, len(w) as n_words, chars as n_chars, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) / n as avg_word_len, len(list_filter(w, lambda x: length(x) >= 8)) / n as long_word_frac, sents as n_sentences, len(w) / sents as avg_sent_len,
   len(list_distinct(w)) / n as type_token_ratio, {IN('STOPWORDS')} / n as stopword_frac, {COUNT('!')} as exclaim_count, {COUNT('[?]')} as question_count, {COUNT('[A-Z]')} / c as caps_ratio, {COUNT('[0-9]')} / c as digit_ratio,
-  ({COUNT('[0-9]')} > 0)::double as has_number, {COUNT("[,.;:!?\\-—''\"()]")} / c as punct_density from s""")
+  ({COUNT('[0-9]')} > 0)::double as has_number, {COUNT("[,.;:!?\\-—''\"()]")} / c as punct_density, {COUNT("[\"'']")} as quote_count from s""")
 def surface_features(spark, d):
     return table(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in X.surface(F.col("text")).items()])
 

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs over growing logs: counters, windows, outcomes, dedup, quarantine."""
+"""Structured Streaming jobs over growing logs: counters, windows, outcomes, dedup. Those that decide are in :mod:`decisions`."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialworks.operators.privacy import apply_retention, quarantine
+from trialworks.operators.privacy import apply_retention
 from trialworks.operators.study import track_record
 from trialworks.storage import shared_dir
 
@@ -89,17 +89,6 @@ def running_record(predictions: DataFrame, floor: int = 10) -> DataFrame:
     return track_record(predictions, floor)
 
 
-def quarantined(stream: DataFrame, text: str, clean_path: str, held_path: str, checkpoint: str):
-    """Writes rows without personal data to one table and the others, text withheld, to another."""
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        clean, held = quarantine(batch, text)
-        clean.write.mode("append").parquet(clean_path)
-        held.drop(text).write.mode("append").parquet(held_path)
-
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
-
-
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a stream over what is there now into Parquet files and returns when it is done."""
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).option("path", path).format("parquet").trigger(availableNow=True).start().awaitTermination()
