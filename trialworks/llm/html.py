@@ -290,7 +290,7 @@ def viterbi(leads: list[float], step: list, start: list) -> list[int]:
 
 
 @lru_cache(4)
-def trained(pages: int = 360, seed: int = 11) -> dict:
+def trained(pages: int = 600, seed: int = 11) -> dict:
     """A model trained on ``pages`` labelled pages that :func:`labelled_page` lays out."""
     data = []
     draw = np.random.default_rng(seed)
@@ -329,7 +329,7 @@ def labelled_page(draw: np.random.Generator) -> str:
         kind = draw.random()
         if kind < 0.25:
             return ""
-        name = str(draw.choice(names)) if kind < 0.8 else word()
+        name = str(draw.choice(names)) if names and kind < 0.8 else word()
         return f' {draw.choice(["class", "class", "id"])}="{name}"'
 
     def some(p: float, make) -> str:
@@ -397,16 +397,22 @@ def labelled_page(draw: np.random.Generator) -> str:
 
     inside = [advert, notice, sidebar, lambda: f'<div class="{draw.choice(["share", "social", "tags", "author", "byline", "meta"])}">\x02{words(1, 6)}</div>', form]
     title = words(2, 9)
-    t = draw.choice(["article", "article", "article", "main", "div", "section", "td"])
-    name = attr("content", "article", "post", "entry", "story", "article-body", "post-content", "main") if t != "div" else f' class="{draw.choice(["content", "article", "post", "entry-content", "story-body", "main", "text"])}"'
+    t = draw.choice(["article", "article", "article", "main", "div", "div", "section", "td"])
+    name = attr("content", "article", "post", "entry", "story", "article-body", "post-content", "main") if t != "div" else attr("content", "article", "post", "entry-content", "story-body", "main", "text")
     body = [main_block() for _ in range(draw.integers(1, 12))]
+    if draw.random() < 0.12:  # paragraphs laid out as plain elements
+        body = [re.sub(r"<(/?)p\b", r"<\1div", x) for x in body]
     for _ in range(draw.integers(0, 2)):
         body.insert(draw.integers(0, len(body) + 1), str(inside[draw.integers(len(inside))]()))
-    core = f"<{t}{name}>" + some(0.85, lambda: draw.choice([f"<h1>\x01{title}</h1>", f"<header><h1>\x01{title}</h1></header>"], p=[0.85, 0.15])) + some(0.15, lambda: f"<b>\x01{words(2, 9)}.<br>") + "".join(map(str, body)) + some(0.12, comments) + f"</{t}>"
+    core = some(0.85, lambda: draw.choice([f"<h1>\x01{title}</h1>", f"<header><h1>\x01{title}</h1></header>"], p=[0.85, 0.15])) + some(0.15, lambda: f"<b>\x01{words(2, 9)}.<br>") + "".join(map(str, body)) + some(0.12, comments)
+    if t != "div" or draw.random() < 0.75:  # else right in the page, among what is around it
+        core = f"<{t}{name}>{core}</{t}>"
     if t == "td":
         core = f"<table><tr>{some(0.5, lambda: '<td>' + links('ul') + '</td>')}{core}</tr></table>"
     if t != "main" and draw.random() < 0.2:
         core = f"<main>{core}</main>"
+    while draw.random() < 0.25:
+        core = f"<div{some(0.5, lambda: attr())}>{core}</div>"
     before = some(0.5, header) + some(0.8, menu) + some(0.25, notice) + some(0.45, advert) + some(0.2, form) + some(0.2, sidebar)
     after = some(0.35, sidebar) + some(0.35, comments) + some(0.3, advert) + some(0.2, notice) + some(0.15, form) + some(0.85, footer)
     if draw.random() < 0.3:
@@ -432,7 +438,7 @@ def extract(page: Column, model: dict) -> Column:
     return run(F.coalesce(page, F.lit("")))
 
 
-def extract_pages(pages: DataFrame, training_pages: int = 360, html: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:
+def extract_pages(pages: DataFrame, training_pages: int = 600, html: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, url, text, n_chars for every row; text is empty for a null or empty page or one without main text.
 
     The model is trained on ``training_pages`` laid-out pages with known labels and travels with the tasks (a few
