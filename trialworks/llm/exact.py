@@ -51,11 +51,12 @@ def keep_best(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     share an id or have none. Of rows alike in id and length the one whose text is least in byte order stays. No column name
     clashes; an empty table gives an empty result.
     """
-    best = exact_groups(docs, text=text, doc_id=doc_id).where("kept").select(F.col("doc_id").alias("keep"), "text_sha256", "n_chars")
+    named = lambda sha, chars: F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("none")), sha, chars.cast("string")).alias("key")
+    best = exact_groups(docs, text=text, doc_id=doc_id).where("kept").withColumnRenamed("doc_id", "id").select(named(F.col("text_sha256"), F.col("n_chars")))
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"), F.sha2(squeezed(F.col(text)), 256).alias("sha"), F.length(t).alias("chars"), t.alias("t"))
-    found = rows.join(best, F.col("id").eqNullSafe(F.col("keep")) & (F.col("sha") == F.col("text_sha256")) & (F.col("chars") == F.col("n_chars")), "left_semi")
-    w = Window.partitionBy("sha").orderBy("t")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"), F.sha2(squeezed(F.col(text)), 256).alias("sha"), F.length(t).alias("chars"))
+    found = rows.select("row", named(F.col("sha"), F.col("chars"))).join(best, "key", "left_semi")  # a key is one group's, so rows move once
+    w = Window.partitionBy("key").orderBy(F.coalesce(F.col("row").getField(text), F.lit("")))
     return found.withColumn("n", F.row_number().over(w)).where("n = 1").select("row.*")
 
 
