@@ -66,3 +66,32 @@ def test_pairs_and_clusters_against_brute_force(spark):
     want = {(least_id[rows[i][1]], least_id[rows[j][1]]) for i, j in want}
     assert {(r.a, r.b) for r in D.near_duplicate_pairs(docs).collect()} == {(min(p), max(p)) for p in want}
     assert clusters(docs) == brute(rows)
+
+
+def test_bins_bound_what_two_texts_share(spark):
+    draw = np.random.default_rng(8)
+    base = words(draw, 300)
+    texts = ["", "ab", "a b c", " ".join(base), " ".join(base[:290] + words(draw, 10)), " ".join(words(draw, 300)), " ".join(words(draw, 3000)), " ".join(base[:20])]
+    rows = spark.createDataFrame(list(enumerate(texts)), SCHEMA).select("doc_id", D.sketch(D.F.col("text")).alias("s")).select("doc_id", "s.*").orderBy("doc_id").collect()
+    sets = [D.shingle_set(t) for t in texts]
+    assert [r["size"] for r in rows] == [len(s) for s in sets]
+    for a, b in itertools.product(range(len(texts)), repeat=2):
+        most = D.most_shared(rows[a].bins, rows[b].bins)
+        assert len(sets[a] & sets[b]) <= most <= min(len(sets[a]), len(sets[b]))
+    assert D.most_shared(rows[3].bins, rows[5].bins) < 0.85 * len(sets[3])  # texts with nothing in common are told apart
+    full = np.array([5], "<u8").tobytes() + bytes([255] * 8)  # bins that had no room for 5 more
+    assert D.most_shared(full, np.array([3], "<u8").tobytes() + bytes([255] * 16)) == 8 * 255 + 3
+
+
+def test_similarity_holds_the_sets_of_one_pair():
+    import tracemalloc
+
+    draw = np.random.default_rng(9)
+    text = [" ".join(words(draw, 200)) for _ in range(30)]
+    pairs = text * 10, (text[1:] + text[:1]) * 10
+    tracemalloc.start()
+    found = D.similarities(*pairs, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [sim(a, b) for a, b in zip(*pairs)]
+    assert peak < 2_000_000  # the sets of all 300 pairs are some 50 MB

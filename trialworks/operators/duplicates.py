@@ -26,6 +26,18 @@ def shingle_set(t: str, k: int = 5) -> set[str]:
     return {t[i : i + k] for i in range(len(t) - k + 1)} if len(t) >= k else ({t} if t else set())
 
 
+def similarities(x, y, k: int) -> list[float]:
+    """Of each pair of texts. One pair's sets are held at a time: those of a whole batch take gigabytes."""
+    out, last, s = [], None, set()
+    for p, q in zip(x, y):
+        if p != last:
+            last, s = p, shingle_set(p, k)
+        t = shingle_set(q, k)
+        both = len(s & t)
+        out.append(both / max(1, len(s) + len(t) - both))
+    return out
+
+
 def jaccard(a: Column, b: Column, k: int = 5) -> Column:
     """Similarity of two loose texts' k-gram sets; 0 where both are empty."""
 
@@ -33,8 +45,7 @@ def jaccard(a: Column, b: Column, k: int = 5) -> Column:
     def run(x, y):
         import pandas as pd
 
-        sets = [(shingle_set(p, k), shingle_set(q, k)) for p, q in zip(x, y)]
-        return pd.Series([len(s & t) / max(1, len(s | t)) for s, t in sets], dtype="float64")
+        return pd.Series(similarities(x, y, k), dtype="float64")
 
     return run(a, b)
 
@@ -46,11 +57,13 @@ def hash_parameters(n: int, seed: int = 17) -> list[tuple[int, int]]:
     return [(draw.randrange(1, PRIME), draw.randrange(PRIME)) for _ in range(n)]
 
 
-def minhash(t: Column, n: int = 64, k: int = 5) -> Column:
-    """Minima of (a h + b) mod P over the hashes of a loose text's k-grams; zeros for none. Products stay below 2^63."""
+def sketch(t: Column, n: int = 64, k: int = 5) -> Column:
+    """(m, size, bins) of a loose text's k-grams. ``m``: minima of (a h + b) mod P over their hashes, zeros for none; products
+    stay below 2^63. ``size``: how many differ. ``bins``: how many fall into each of some size / 8 bins, a byte each, and
+    before them how many the bytes had no room for."""
     params = hash_parameters(n)
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("m array<long>, size long, bins binary")
     def run(texts):
         import zlib
 
@@ -60,29 +73,36 @@ def minhash(t: Column, n: int = 64, k: int = 5) -> Column:
         a, b = (np.array(x, np.int64)[:, None] for x in zip(*params))
         out = []
         for text in texts:
-            h = np.fromiter((zlib.crc32(s.encode()) % PRIME for s in shingle_set(text, k)), np.int64)
+            crc = np.fromiter((zlib.crc32(s.encode()) for s in shingle_set(text, k)), np.int64)
+            h = crc % PRIME
             parts = [((a * h[i : i + 4096] + b) % PRIME).min(1) for i in range(0, len(h), 4096)]
-            out.append(np.min(parts, 0) if parts else np.zeros(n, np.int64))
-        return pd.Series(out)
+            size = 1 << max(3, (len(h) // 8).bit_length())
+            counts = np.bincount(crc & (size - 1), minlength=size)
+            held = np.minimum(counts, 255)
+            bins = np.array([counts.sum() - held.sum()], "<u8").tobytes() + held.astype(np.uint8).tobytes()
+            out.append((np.min(parts, 0) if parts else np.zeros(n, np.int64), len(h), bins))
+        return pd.DataFrame(out, columns=["m", "size", "bins"])
 
     return run(t)
 
 
+def most_shared(a: bytes, b: bytes) -> int:
+    """No fewer k-grams than two texts share, from their bins: equal ones fall into the same bin."""
+    import numpy as np
+
+    x, y = np.frombuffer(a, np.uint8, offset=8), np.frombuffer(b, np.uint8, offset=8)
+    least = min(len(x), len(y))  # both lengths are powers of two: the bins of the longer are folded
+    x, y = (z if len(z) == least else z.reshape(-1, least).sum(0) for z in (x, y))
+    return int(np.minimum(x, y).sum()) + min(int.from_bytes(a[:8], "little"), int.from_bytes(b[:8], "little"))
+
+
 def _sketched(docs: DataFrame, n: int, bands: int, k: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
-    """(id, t, size) of each class of equal loose texts, named by its least id, and (id, size, key), a row per band."""
+    """(id, t, size, bins) of each class of equal loose texts, named by its least id, and (id, size, key), a row per band."""
     rows = docs.select(F.col(doc_id).alias("id"), X.norm_loose(F.col(text)).alias("t")).where("t <> ''").groupBy("t").agg(F.min("id").alias("id"))
-    sets = written(rows.select("id", "t", minhash(F.col("t"), n, k).alias("m"), _set_size(F.col("t"), k).alias("size")), "sketches")
+    sets = written(rows.select("id", "t", sketch(F.col("t"), n, k).alias("s")).select("id", "t", "s.*"), "sketches")
     per = n // bands
     keys = F.array(*[F.xxhash64(F.lit(i), F.slice("m", i * per + 1, per)) for i in range(bands)])
-    return sets.select("id", "t", "size"), sets.select("id", "size", F.explode(keys).alias("key"))
-
-
-def _set_size(t: Column, k: int) -> Column:
-    @F.pandas_udf("long")
-    def run(texts):
-        return texts.map(lambda x: len(shingle_set(x, k)))
-
-    return run(t)
+    return sets.select("id", "t", "size", "bins"), sets.select("id", "size", F.explode(keys).alias("key"))
 
 
 def _fits(a: Column, b: Column, similarity: float) -> Column:
@@ -90,6 +110,19 @@ def _fits(a: Column, b: Column, similarity: float) -> Column:
     return F.least(a, b) + 1e-6 >= F.greatest(a, b) * similarity
 
 
+def _may_reach(a: Column, b: Column, x: Column, y: Column, similarity: float) -> Column:
+    """False only for sizes ``a``, ``b`` and bins ``x``, ``y`` at which no two sets reach ``similarity``."""
+
+    @F.pandas_udf("boolean")
+    def run(a, b, x, y):
+        import pandas as pd
+
+        most = [(most_shared(p, q), m + n) for m, n, p, q in zip(a, b, x, y)]
+        return pd.Series([i + 1e-6 >= (both - i) * similarity for i, both in most], dtype="bool")
+
+    return _fits(a, b, similarity) & run(a, b, x, y)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, k: int) -> DataFrame:
     t = sets.select("id", "t")
     found = pairs.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b").withColumn("similarity", jaccard(F.col("ta"), F.col("tb"), k))
@@ -99,14 +132,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, k: int) -> D
 def near_duplicate_pairs(docs: DataFrame, similarity: float = 0.8, n: int = 64, bands: int = 16, k: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(a, b, similarity) of all pairs of distinct loose texts that share a band bucket and verify, a < b.
 
-    Equal loose texts are one class, named by its least id. All members of a bucket meet, but for those whose sizes
-    rule the similarity out, so the pairs of a group of near copies grow with its square, as the result does;
+    Equal loose texts are one class, named by its least id. All members of a bucket meet, but for those whose sizes or
+    bins rule the similarity out, so the pairs of a group of near copies grow with its square, as the result does;
     :func:`near_duplicate_clusters` closes the same links without making them all.
     """
     sets, hits = _sketched(docs, n, bands, k, text, doc_id)
-    a, b = hits.toDF("a", "size_a", "key"), hits.toDF("b", "size_b", "key")
-    pairs = a.join(b, "key").where(F.col("a") < F.col("b")).where(_fits(F.col("size_a"), F.col("size_b"), similarity)).select("a", "b").distinct()
-    return _verified(pairs, sets, similarity, k)
+    shared = hits.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    hits = written(hits.join(shared, "key").join(sets.select("id", "bins"), "id").select("id", "size", "key", "bins"), "buckets")
+    a, b = hits.toDF("a", "size_a", "key", "bins_a"), hits.toDF("b", "size_b", "key", "bins_b")
+    may = _may_reach(*(F.col(c) for c in ("size_a", "size_b", "bins_a", "bins_b")), similarity)
+    pairs = a.join(b, "key").where(F.col("a") < F.col("b")).where(may).select("a", "b").distinct()
+    return _verified(written(pairs, "pairs"), sets, similarity, k)
 
 
 def near_duplicate_links(docs: DataFrame, similarity: float = 0.8, n: int = 64, bands: int = 16, k: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -117,20 +153,23 @@ def near_duplicate_links(docs: DataFrame, similarity: float = 0.8, n: int = 64,
     the pairs would link texts that are together already. No bucket is capped.
     """
     sets, hits = _sketched(docs, n, bands, k, text, doc_id)
+    bins = sets.select("id", "size", "bins")
     hubs = hits.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "size")).alias("hub")).where("c > 1")
     hits = written(hits.join(hubs, "key"), "buckets")
-    star = hits.where(F.col("id") != F.col("hub.id")).where(_fits(F.col("size"), F.col("hub.size"), similarity)).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
-    star = written(star.distinct(), "stars")
+    star = hits.where(F.col("id") != F.col("hub.id")).where(_fits(F.col("size"), F.col("hub.size"), similarity)).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+    star = star.join(bins.toDF("a", "size_a", "bins_a"), "a").join(bins.toDF("b", "size_b", "bins_b"), "b")
+    star = written(star.where(_may_reach(*(F.col(c) for c in ("size_a", "size_b", "bins_a", "bins_b")), similarity)).select("a", "b"), "stars")
     links = written(_verified(star, sets, similarity, k).select("a", "b"), "links")
     component = connected_components(links, "a", "b")
     named = hits.join(component, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("label"))
     several = named.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("m", "label"))["label"].alias("largest")).where("labels > 1")
-    open_ = written(named.join(several.select("key", "largest"), "key"), "open-buckets")
+    open_ = written(named.join(several.select("key", "largest"), "key").join(sets.select("id", "bins"), "id"), "open-buckets")
     x, y = open_.where("label <> largest").alias("x"), open_.alias("y")
     once = (F.col("y.label") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id"))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & _fits(F.col("x.size"), F.col("y.size"), similarity))
+    pairs = pairs.where(_may_reach(*(F.col(c) for c in ("x.size", "y.size", "x.bins", "y.bins")), similarity))
     pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    return links.unionByName(_verified(pairs, sets, similarity, k).select("a", "b"))
+    return links.unionByName(_verified(written(pairs, "pairs"), sets, similarity, k).select("a", "b"))
 
 
 def near_duplicate_clusters(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
