@@ -105,3 +105,15 @@ def test_streams_equal_the_batch(spark, tmp_path):
     jobs.drain(jobs.windowed_rates(stream()), f"{tmp_path}/win", f"{tmp_path}/c3")
     done = {(r.start, r.test_id): r.clicks for r in spark.read.parquet(f"{tmp_path}/win").collect()}
     assert done and done.items() <= batch.items()
+
+
+def test_exact_p_values_of_many_discordant_items(spark):
+    def plain(b, c):
+        n, k = b + c, min(b, c)
+        terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
+        return min(1.0, 2 * math.fsum(map(math.exp, terms))) if n else 1.0
+
+    pairs = [(0, 0), (0, 1), (5, 0), (1, 8), (8, 1), (15, 16), (16, 17), (20, 40), (31, 31), (500, 580), (120_000, 121_500), (400_000, 400_000), (0, 2_000)]
+    got = spark.createDataFrame(pairs, "b long, c long").withColumn("p", S.mcnemar_exact("b", "c")).collect()
+    for r in got:  # the last two sizes would take 10^10 steps and more if each term had its own factorials
+        assert r.p == pytest.approx(plain(r.b, r.c), rel=1e-7, abs=1e-300), (r.b, r.c)

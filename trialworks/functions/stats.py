@@ -59,13 +59,26 @@ def wilson(k: Column | str, n: Column | str, z: float = Z95) -> tuple[Column, Co
     return (F.when(n > 0, F.greatest(mid - half, F.lit(0.0))).otherwise(0.0), F.when(n > 0, F.least(mid + half, F.lit(1.0))).otherwise(1.0))
 
 
+def ln_factorial(n: Column) -> Column:
+    """ln n!: by Stirling's series from 32 on, where its next term is below 1e-16, and as a sum below."""
+    x = F.greatest(n, F.lit(32)).cast("double")
+    large = x * F.ln(x) - x + 0.5 * F.ln(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
+    small = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n, F.lit(32))).cast("int")), F.lit(0.0), lambda a, i: a + F.ln(i.cast("double")))
+    return F.when(n >= 32, large).otherwise(small)
+
+
 def mcnemar_exact(b: Column | str, c: Column | str) -> Column:
-    """Two-sided exact p-value on discordant counts, summed in logarithms; 1 for no discordant item."""
+    """Two-sided exact p-value on discordant counts; 1 for no discordant item.
+
+    The terms of the smaller count and below are taken relative to the last, which is the largest, so the work grows with
+    that count; only the last one's logarithm needs factorials."""
     b, c = col(b).cast("int"), col(c).cast("int")
     n, k = b + c, F.least(b, c)
-    lf = lambda m: F.aggregate(F.sequence(F.lit(0), m.cast("int")), F.lit(0.0), lambda a, i: a + F.when(i > 1, F.ln(i.cast("double"))).otherwise(0.0))
-    terms = F.transform(F.sequence(F.lit(0), k), lambda i: F.exp(lf(n) - lf(i) - lf(n - i) - n * math.log(2)))
-    return F.when(n > 0, F.least(F.lit(1.0), 2 * F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))).otherwise(1.0)
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    next_ = lambda a, i: a["term"] * i / (n - i + 1)  # noqa: E731  from the term of i to that of i - 1
+    rest = F.aggregate(F.filter(F.sequence(k, F.lit(0)), lambda i: i > 0), start, lambda a, i: F.struct(next_(a, i).alias("term"), (a["sum"] + next_(a, i)).alias("sum")), lambda a: a["sum"])
+    last = F.exp(ln_factorial(n) - ln_factorial(k) - ln_factorial(n - k) - n * math.log(2))
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * last * rest)).otherwise(1.0)
 
 
 def items_needed(p_human: Column, p_model: Column) -> Column:
