@@ -219,3 +219,23 @@ def test_tenant_tables_are_pruned_and_audited(spark, tmp_path):
         T.TenantTable(spark, path, "../x", "u", "notes", schema)
     with pytest.raises(ValueError, match="not a tenant id"):
         T.insert_all(spark.createDataFrame([("x/y", 1)], "tenant_id string, id long"), path, "u", "notes")
+
+
+def test_quiz_responses_of_several_tasks_are_all_read(spark, tmp_path):
+    from trialworks.plans import serving
+
+    n = 4000
+    docs = spark.range(0, n, 1, 6).selectExpr("id as doc_id", "concat('src', id % 3) as source", "1000 + id as n_chars", "'x' as text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(0, n, 1, 6).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.range(1).write.parquet(f"{tmp_path}/part.parquet")  # is opened, as its name begins another
+    wide = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in wide}
+    for k, v in wide.items():
+        spark.conf.set(k, v)
+    try:
+        got = serving.quiz_responses(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted((r.participant, int(r.item), r.ms) for r in got) == sorted((f"src{i % 3}", i, 1000 + i) for i in range(n))

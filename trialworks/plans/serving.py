@@ -122,11 +122,12 @@ def answers(spark, d):
 
 @query(f"with {STUDY} select participant, paid, item::varchar as item, choice::int as choice, ms::bigint as ms from st")
 def quiz_responses(spark, d):
-    """Answers as one folder of JSON a participant, nested, and read back."""
+    """Answers as one folder of JSON a participant, nested, and read back. A file is read as one response, so what several
+    tasks hold of a participant goes to a folder each."""
     path = folder(spark, "responses")
     a = F.collect_list(F.struct(F.col("item").cast("string").alias("id"), F.col("choice").cast("int").alias("choice"), F.col("ms").cast("long").alias("ms")))
     per = answers(spark, d).groupBy("participant", F.spark_partition_id().alias("part"), "paid").agg(a.alias("answers"))
-    per.select("participant", F.lit(7).alias("seed"), F.struct(F.lit(None).cast("int").alias("years"), "paid").alias("profile"), "answers").write.partitionBy("participant").json(path)
+    per.select("participant", F.lit(7).alias("seed"), F.struct(F.lit(None).cast("int").alias("years"), "paid").alias("profile"), "answers", "part").write.partitionBy("participant", "part").json(path)
     return R.read_responses(spark, path, 7, r"participant=([^/]+)/").select("participant", "paid", "item", "choice", "ms")
 
 
