@@ -69,3 +69,28 @@ def test_queries_cover_the_whole_table(spark, tables):
 def test_guard_over_one_large_group(spark, tables):
     (guard,) = run(spark, "component_guard_abort", tables[0])
     assert guard.share > 0.2 and not guard.passed
+
+
+def test_components_are_sought_among_experiments_that_share_a_copy(spark, monkeypatch):
+    from trialworks.operators import splits as G
+
+    seen = []
+    sought = G.connected_components
+    monkeypatch.setattr(G, "connected_components", lambda edges, *a: seen.append(edges.count()) or sought(edges, *a))
+    rows = [(10 * t + k, t, f"copy {t}.{k}") for t in range(50) for k in range(4)]
+    rows += [(900, 3, "Shared"), (901, 7, "shared"), (902, 7, "more"), (903, 41, "more"), (904, 8, None), (905, 9, None), (906, None, "x"), (907, None, "y")]
+    rows += [(908, 11, "p"), (908, 12, "q"), (None, 20, "lone"), (None, 21, "lone")]  # an id of two rows links them; a row without one does not
+    got = G.leakage_groups(spark.createDataFrame(rows, "row_id long, test_id long, copy_text string")).collect()
+    label = {r: r for r, _, _ in rows if r is not None}
+    for _ in range(9):
+        for key in (lambda r: ("t", r[1]), lambda r: ("c", (r[2] or "").lower())):
+            least = {}
+            for r in rows:
+                if r[0] is not None:
+                    least[key(r)] = min(label[r[0]], least.get(key(r), label[r[0]]))
+            for r in rows:
+                if r[0] is not None:
+                    label[r[0]] = min(label[r[0]], least[key(r)])
+    assert len(got) == len(rows)
+    assert all(r.group_id == (None if r.row_id is None else label[r.row_id]) for r in got)
+    assert seen[0] < 10  # not an edge or two a row
