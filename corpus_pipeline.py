@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trialworks.llm.exact import keep_best, keep_rows
 from trialworks.llm.language import fit_languages, has_letter, predict_language
 from trialworks.llm.minhash import near_duplicates
-from trialworks.llm.mixing import in_mixed_order, placed, target_weights
+from trialworks.llm.mixing import file_order, from_files, in_mixed_order, weights_of_order
 from trialworks.llm.packing import pack
 from trialworks.storage import written
 
@@ -52,15 +52,21 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: DataFrame | None = None, **options) -> DataFrame:
     """The pieces of every document in full sequences of 4096 tokens.
 
-    Windows are filled to the target weights of the mixing stage, each source's queue in its order. Tables do not keep
-    an order, so both are derived again from this stage's rows; ``weights`` (source, weight) replaces the target.
+    Rows are taken in the order of the files that they are read from, as the mixing stage has written them, and windows are
+    filled to the weights that this order shows (:func:`weights_of_order`), each source's queue in its order; ``weights``
+    (source, weight) replaces them. Rows that come from no files have no order: they are put in the mixed one first.
     """
+    if not from_files(docs):
+        docs = written(in_mixed_order(docs, weights=weights), "mixed")
+    rows, slot, place = file_order(docs)
     shares: dict[str, float] = {}
-    for r in (target_weights(docs) if weights is None else weights).collect():  # a row per source
-        shares[r.source or ""] = shares.get(r.source or "", 0.0) + r.weight
+    if weights is None:
+        shares = weights_of_order(rows, place)
+    else:
+        for r in weights.collect():  # a row per source
+            shares[r.source or ""] = shares.get(r.source or "", 0.0) + r.weight
     total = sum(shares.values())
     shares = {s: w / total for s, w in shares.items()} if total > 0 else {}
-    rows, slot, place = placed(docs, weights=weights)
     return pack(rows, public_tokenizers.path("word_bpe_49k.json"), shares=shares, order=(slot, place), **options)
 
 

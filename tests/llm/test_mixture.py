@@ -37,3 +37,18 @@ def test_packed_windows_follow_the_target_weights(spark):
             run = sum((got[w] for w in range(len(got) * part // 10, len(got) * (part + 1) // 10)), Counter())
             assert abs(run["s0"] / run.total() - share) < 0.05, (part, share, run)
     assert all(list(dict.fromkeys(ids)) != sorted(set(ids)) for ids in order.values())  # the mixed order, not that of ids
+
+
+def test_packing_takes_order_and_weights_from_the_files_it_reads(spark, tmp_path):
+    rows = [(r[0], r[1], "en", ["s0", "s0", "s1"][i % 3] if i < 900 else "s0", 1) for i, r in enumerate(skewed(1200))][::-1]  # s1 ends before s0 begins to be alone, read backwards
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/a")
+    spark.createDataFrame(rows[::-1], SCHEMA).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/b")
+    for path, want in (("a", rows), ("b", rows[::-1])):
+        out = sorted(P.packing(spark, spark.read.parquet(f"{tmp_path}/{path}"), "", length=1024, lane_bytes=100_000).collect(), key=lambda p: (p.sequence_id, p.offset))
+        first = list(dict.fromkeys(p.doc_id for p in out))
+        for s in ("s0", "s1"):
+            mine = {r[0] for r in want if r[3] == s}
+            assert [i for i in first if i in mine] == [r[0] for r in want if r[3] == s]
+    rows, _, place = P.file_order(spark.read.parquet(f"{tmp_path}/b"))
+    w = P.weights_of_order(rows, place)
+    assert w["s0"] == 1.0 and abs(w["s1"] - 0.5) < 0.05  # a third of what is there until it ends

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,6 +195,54 @@ def in_mixed_order(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return rows.repartitionByRange(slot, doc_id).sortWithinPartitions(slot, place, doc_id).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def from_files(docs: DataFrame) -> bool:
+    """Whether ``docs`` are rows of Parquet files as read, so that each still has its place in them."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
+def file_order(docs: DataFrame, slot_bytes: int = 16_384, run: int = 1024, text: str = "text") -> tuple[DataFrame, str, str]:
+    """The rows of ``docs``, which must be :func:`from_files`, with slot and place: the order that the files keep, by the
+    number in a file's name and the row's in it; and the names of these columns.
+
+    A slot is some ``slot_bytes`` bytes of the order: exact sums of ``run`` rows, and even parts of them within. Only a row
+    per run is sent to every task, texts do not move.
+    """
+    part = F.coalesce(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("int"), F.lit(0))
+    size = F.coalesce(F.octet_length(text), F.lit(0)) + 1
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), part.alias("part"), F.col("_metadata.file_path").alias("file"),
+                       F.col("_metadata.row_index").alias("at"), F.floor(F.col("_metadata.row_index") / run).alias("run"), size.alias("size"))
+    runs = written(rows.groupBy("part", "file", "run").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "runs")
+    files = runs.groupBy("part", "file").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
+    w = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    files = files.select("file", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_before") for c in ("bytes", "n")])
+    w = Window.partitionBy("file").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("base", F.coalesce(F.sum("bytes").over(w), F.lit(0))).join(F.broadcast(files), "file")
+    rows = rows.drop("part").join(F.broadcast(runs.drop("part")), ["file", "run"])
+    slot, place = unused(docs, "slot"), unused(docs, "place")
+    inside = (F.col("at") - F.col("run") * run) * F.col("bytes") / F.col("n")
+    return rows.select("row.*", F.floor((F.col("bytes_before") + F.col("base") + inside) / slot_bytes).alias(slot), (F.col("n_before") + F.col("at")).alias(place)), slot, place
+
+
+def weights_of_order(rows: DataFrame, place: str, least: int = 16_384, text: str = "text", source: str = "source") -> dict[str, float]:
+    """The weight of each source (null: the empty string) that the order by ``place`` shows: its bytes, by those that the
+    source which ends last has until this one's end (one block, ``least``, if it has less). A row per source is collected."""
+    r = rows.select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(place).alias("place"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).alias("size"))
+    ends = sorted(r.groupBy("source").agg(F.max("place").alias("end"), F.sum("size").alias("size")).collect(), key=lambda x: x.end)
+    if not ends:
+        return {}
+    before = F.size(F.filter(F.lit([x.end for x in ends]), lambda e: e < F.col("place")))  # ends that lie before
+    sums = {x.i: x.size for x in r.where(F.col("source") == ends[-1].source).groupBy(before.alias("i")).agg(F.sum("size").alias("size")).collect()}
+    out, so_far = {}, 0
+    for i, x in enumerate(ends):
+        so_far += sums.get(i, 0)
+        out[x.source] = x.size / max(so_far, least) if i + 1 < len(ends) else 1.0
+    return out
+
+
 #: The same in DuckDB, for the defaults: one run over all slots, step by step. {docs} is the table.
 MIX_SQL = """
 with recursive d as (
