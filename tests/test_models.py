@@ -54,3 +54,16 @@ def test_read_log_is_empty_until_the_first_read(spark, tmp_path):
     assert G.read_log(spark, str(tmp_path)).count() == 0
     G.unlock_test(test, str(tmp_path), "the one final evaluation", "final")
     assert [(r.evaluation, r.n) for r in G.read_log(spark, str(tmp_path)).collect()] == [("final", 5)]
+
+
+def test_pairs_made_from_blocks_are_those_of_the_joins(spark):
+    from trialworks.operators import effects as E
+
+    h = lambda k: S.hash01("id", k)
+    rows = spark.range(400).select(F.floor(F.sqrt("id")).alias("test_id"), F.concat(F.lit("arm "), F.col("id")).alias("arm_id"), F.concat(F.lit("copy "), (F.col("id") % 13).cast("string")).alias("copy_text"),
+                                   F.round(h(1), 1).alias("target"), (1 + h(2)).alias("weight"), h(3).alias("a"), (F.col("id") % 5).alias("b"))
+    want = M.pair_differences(E.build_pairs(rows), rows, ["a", "b"])
+    got = M.arm_differences(rows, ["a", "b"], block=7)
+    as_set = lambda d: sorted((r.test_id, round(r.weight, 9), round(r.a, 9), round(r.b, 9)) for r in d.collect())
+    assert as_set(got) == as_set(want) and len(as_set(got)) > 3000
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()  # a pass over the pairs moves none

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialworks.functions import stats as S
 from trialworks.functions import text as X
-from trialworks.operators.effects import ranked
+from trialworks.operators.effects import MOST_PAIRS, ranked
 from trialworks.operators.ranking import centroids, dot, guard_ranking, unit
+from trialworks.operators.ranks import within_budget
+from trialworks.storage import written
 
 
 def pair_differences(pairs: DataFrame, arms: DataFrame, features: list[str]) -> DataFrame:
@@ -19,19 +22,60 @@ def pair_differences(pairs: DataFrame, arms: DataFrame, features: list[str]) ->
     return both.select("test_id", (F.col("gap") * F.col("pair_weight")).alias("weight"), *[(F.col(f"hi_{f}") - F.col(f"lo_{f}")).alias(f) for f in features])
 
 
-def fit_pairwise_ranker(differences: DataFrame, features: list[str], penalty: float = 1e-4) -> list[float]:
+def arm_differences(arms: DataFrame, features: list[str], min_gap: float = 0.05, block: int = 256, most: int = MOST_PAIRS) -> DataFrame:
+    """What :func:`pair_differences` gives for build_pairs of ``arms`` (test_id, arm_id, copy_text, target, weight, features),
+    without moving a pair: an experiment's arms are written once, in blocks, and each use of the result makes the pairs of
+    two blocks anew from their row. More than ``most`` pairs of one experiment are an error."""
+    columns = ["arm_id", "copy_text", "target", "weight", *features]
+    arms = within_budget(arms.select("test_id", "arm_id", "copy_text", "target", "weight", *[F.col(f).cast("double").alias(f) for f in features]), ["test_id"], most)
+    blocks = F.ceil(F.count("*").over(Window.partitionBy("test_id")) / block)
+    parts = arms.withColumn("block", F.pmod(F.xxhash64("arm_id"), blocks)).groupBy("test_id", "block").agg(F.collect_list(F.struct(*columns)).alias("of"))
+    parts = written(parts, "blocks")
+    side = lambda a: parts.select("test_id", F.col("block").alias(f"block_{a}"), F.col("of").alias(f"of_{a}"))
+    both = written(side("a").join(side("b"), "test_id").where("block_a <= block_b"), "block-pairs")
+    rows = both.select("test_id", "block_a", "block_b", F.explode("of_a").alias("a"), "of_b").select("test_id", "block_a", "block_b", "a", F.explode("of_b").alias("b"))
+    gap = F.col("a.target") - F.col("b.target")
+    rows = rows.where("(a.arm_id < b.arm_id or block_a < block_b) and a.copy_text <> b.copy_text").where(F.abs(gap) >= min_gap)  # equal ids lie in one block
+    return rows.select("test_id", (F.abs(gap) * (2 / (1 / F.col("a.weight") + 1 / F.col("b.weight")))).alias("weight"), *[((F.col(f"a.{f}") - F.col(f"b.{f}")) * F.signum(gap)).alias(f) for f in features])
+
+
+def fit_pairwise_ranker(differences: DataFrame, features: list[str], penalty: float = 1e-4, rounds: int = 50, close: float = 1e-9) -> list[float]:
     """Weights of the linear score whose logistic loss on winner less loser is least, by the pairs' weights.
 
-    Each difference is given in both directions, so that no intercept is learnt. Fitted by Spark's own solver.
+    There is no intercept, and half of ``penalty`` times the squared weights, each by its feature's spread, is added to the
+    mean loss. Newton's method: a round is one aggregate over ``differences``, of the loss, its slopes and their slopes, and
+    only these sums reach the driver. Nothing is cached, so differences should be cheap to read again
+    (:func:`arm_differences`, a written table). A step that does not lower the loss is halved.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    d = differences.where("weight > 0")
-    both = d.withColumn("label", F.lit(1.0)).unionByName(d.withColumns({f: -F.col(f) for f in features}).withColumn("label", F.lit(0.0)))
-    rows = VectorAssembler(inputCols=features, outputCol="x").transform(both).select("label", "weight", "x")
-    fit = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", fitIntercept=False, regParam=penalty, standardization=True, maxIter=100)
-    return [float(w) for w in fit.fit(rows).coefficients]
+    d, n = differences.where("weight > 0"), len(features)
+    x, lower = [F.col(f) for f in features], [(i, j) for i in range(n) for j in range(i + 1)]
+    w, at, step, best, spread = F.col("weight"), np.zeros(n), np.zeros(n), None, None
+    for _ in range(rounds):
+        m = linear_score(features, [float(v) for v in at + step])
+        d_ = d.withColumn("__m", m).withColumn("__p", 1 / (1 + F.exp(F.col("__m"))))  # how sure the loser is called
+        p, h = F.col("__p") * w, F.col("__p") * (1 - F.col("__p")) * w
+        r = d_.agg(F.sum(w).alias("w"), F.sum(w * w).alias("ww"), F.sum(w * S.softplus(-F.col("__m"))).alias("loss"), *[F.sum(p * x[i]).alias(f"g{i}") for i in range(n)],
+                   *[F.sum(h * x[i] * x[j]).alias(f"h{i}_{j}") for i, j in lower]).first()
+        if r.w is None:
+            return [0.0] * n
+        if spread is None:  # at weights of 0, p (1 - p) is a quarter; each pair counts in both directions, so the mean is 0
+            spread = np.array([4 * r[f"h{i}_{i}"] / max(r.w - r.ww / r.w / 2, 1e-300) for i in range(n)])
+            used = spread > 0
+        there = at + step
+        loss = r.loss / r.w + penalty / 2 * float(spread @ there**2)
+        if best is not None and not loss <= best:
+            if np.abs(step).max() <= close * max(1.0, np.abs(at).max()):
+                break
+            step = step / 2
+            continue
+        gained, at, best = np.inf if best is None else best - loss, there, loss
+        slope = np.array([r[f"g{i}"] for i in range(n)]) / r.w - penalty * spread * at
+        curve = np.array([[r[f"h{max(i, j)}_{min(i, j)}"] for j in range(n)] for i in range(n)]) / r.w + np.diag(penalty * spread)
+        step = np.zeros(n)
+        step[used] = np.linalg.lstsq(curve[np.ix_(used, used)], slope[used], rcond=None)[0]
+        if gained <= close * best or not np.abs(step).max(initial=0.0):  # what is left is of the square of this
+            break
+    return [float(v) for v in at]
 
 
 def linear_score(features: list[str], weights: list[float]) -> Column:

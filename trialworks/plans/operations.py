@@ -19,7 +19,7 @@ from trialworks.plans.diagnostics import RATED, VECTORS, surface
 from trialworks.plans.fixtures import VIEWS, sql, view
 from trialworks.plans.registry import _ORACLES, LABELLED, PAIRS, duck_hash01, labelled, labelled_arms, query, table
 from trialworks.sources import readers as R
-from trialworks.storage import shared_dir
+from trialworks.storage import shared_dir, written
 from trialworks.streaming import jobs as J
 
 
@@ -295,15 +295,15 @@ WORDED = ["n_words", "n_chars", "avg_word_len", "long_word_frac", "type_token_ra
 
 
 def worded(spark, d):
-    arms = labelled(spark, d)
-    return arms, arms.select("test_id", "arm_id", "copy_text").join(surface(arms.select("arm_id", "copy_text").distinct(), "arm_id", "copy_text"), "arm_id")
+    """The labelled arms with their features, written once, since several passes read them."""
+    arms = written(labelled(spark, d).select("test_id", "arm_id", "copy_text", "target", "weight"), "arms")
+    return written(arms.join(surface(arms.select("arm_id", "copy_text").distinct(), "arm_id", "copy_text"), "arm_id"), "worded")
 
 
 @query()
 def fit_pairwise_ranker(spark, d):
     """Accuracy on every fifth experiment of a ranker fitted on the others."""
-    arms, f = worded(spark, d)
-    diff = M.pair_differences(E.build_pairs(arms), f, WORDED)
+    diff = M.arm_differences(worded(spark, d), WORDED)
     w = M.fit_pairwise_ranker(diff.where("test_id % 5 <> 0"), WORDED)
     held = diff.where("test_id % 5 = 0")
     return held.agg(F.count("*").alias("n_pairs"), F.avg((M.linear_score(WORDED, w) > 0).cast("double")).alias("accuracy"))
@@ -311,8 +311,8 @@ def fit_pairwise_ranker(spark, d):
 
 @query()
 def bagged_ensemble(spark, d):
-    arms, f = worded(spark, d)
-    return M.bagged_ensemble(M.pair_differences(E.build_pairs(arms), f, WORDED), f, WORDED).select("test_id", "arm_id", F.round("score", 4).alias("score"))
+    f = worded(spark, d)
+    return M.bagged_ensemble(M.arm_differences(f, WORDED), f, WORDED).select("test_id", "arm_id", F.round("score", 4).alias("score"))
 
 
 @query()
