@@ -67,3 +67,23 @@ def test_pairs_made_from_blocks_are_those_of_the_joins(spark):
     as_set = lambda d: sorted((r.test_id, round(r.weight, 9), round(r.a, 9), round(r.b, 9)) for r in d.collect())
     assert as_set(got) == as_set(want) and len(as_set(got)) > 3000
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()  # a pass over the pairs moves none
+
+
+def test_text_vectors_by_plain_counts_with_repeated_and_missing_ids(spark):
+    import hashlib
+    import math
+    import re
+    from collections import Counter
+
+    rows = [(1, "Red red fox-trot"), (2, "blue fox don't"), (2, "red sky"), (None, "sky"), (None, "fox fox"), (3, None), (4, "- 12"), (5, "\u0130stanbul RED " + "word " * 3000)]
+    place = lambda w: int(int(hashlib.md5(f"{w}|80".encode()).hexdigest()[:13], 16) / 2**52 * 4096)
+    docs: dict = {}
+    for i, t in rows:
+        docs.setdefault(i, Counter()).update(place(w) for w in re.findall("[a-z][a-z'-]*", (t or "").lower()))
+    texts, want = Counter(p for c in docs.values() for p in c), {}
+    for i, c in docs.items():
+        w = {p: n * math.log((5 + 1) / (texts[p] + 1)) for p, n in c.items()}  # five ids that are not null
+        size = math.sqrt(sum(x * x for x in w.values()))
+        want |= {(i, p): round(x / size, 9) for p, x in w.items() if x > 0}
+    out = M.text_vectors(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.place): round(r.x, 9) for r in out.collect()} == want and any(i is None for i, _ in want)

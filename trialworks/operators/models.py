@@ -126,17 +126,64 @@ def distinctive_clusters(vectors: DataFrame, label: str, vector: str, least: int
 def text_vectors(docs: DataFrame, dimensions: int = 4096, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, place, x): the hashed TF-IDF vector of each text, of length 1, as a row per place that is not 0.
 
-    Words are counted per document before they are hashed, so equal words shuffle once. Texts without a word, or whose
-    words all texts have, give no row. An encoder of one's own takes this one's place by returning the same columns.
+    A text's words are counted and hashed in its own row, and a document stays a row of places and counts until the end, so
+    only documents that repeat an id are shuffled; rows without an id are one document. The driver holds a number per place.
+    Texts without a word, or whose words all texts have, give no row. An encoder of one's own takes this one's place by
+    returning the same columns.
     """
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(X.tokens(F.coalesce(F.col(text), F.lit("")))).alias("word"))
-    tf = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    tf = tf.groupBy("doc_id", F.floor(S.hash01("word", 80) * dimensions).alias("place")).agg(F.sum("n").alias("n"))
-    df = tf.groupBy("place").agg(F.count("*").alias("texts")).crossJoin(F.broadcast(docs.agg(F.count_distinct(doc_id).alias("all"))))
-    idf = df.select("place", F.ln((F.col("all") + 1) / (F.col("texts") + 1)).alias("idf"))
-    w = tf.join(F.broadcast(idf), "place").withColumn("w", F.col("n") * F.col("idf")).where("w > 0")  # a row per dimension
-    size = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    return w.join(size, "doc_id").select("doc_id", "place", (F.col("w") / F.col("size")).alias("x"))
+    token = X.TOKEN
+
+    def count(batches):
+        import re
+        from collections import Counter
+        from hashlib import md5
+
+        import pyarrow as pa
+
+        words, known = re.compile(token), {}  # of each word, its place
+        for b in batches:
+            places, counts, ends = [], [], [0]
+            for t in b.column("text"):
+                of: dict[int, int] = {}
+                for word, n in Counter(words.findall(t.as_py())).items():
+                    place = known.get(word)
+                    if place is None:
+                        if len(known) >= 500_000:
+                            known.clear()
+                        place = known[word] = int(int(md5(f"{word}|80".encode()).hexdigest()[:13], 16) / 2.0**52 * dimensions)  # S.hash01(word, 80)
+                    of[place] = of.get(place, 0) + n
+                places += of
+                counts += of.values()
+                ends.append(len(places))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v, pa.int64())) for v in (places, counts)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *lists], ["doc_id", "place", "n"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    tf = written(rows.mapInArrow(count, f"doc_id {kind}, place array<long>, n array<long>"), "counts")
+    repeats = written(tf.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("id")), "repeats")
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    merged = tf.join(repeats, same, "left_semi").select("doc_id", F.explode(F.arrays_zip("place", "n")).alias("p")).groupBy("doc_id", "p.place").agg(F.sum("p.n").alias("n"))
+    merged = merged.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("p")).select("doc_id", F.col("p.place").alias("place"), F.col("p.n").alias("n"))
+    whole = tf.join(repeats, same, "left_anti").unionByName(merged)
+    df = whole.select(F.explode("place").alias("place")).groupBy("place").agg(F.count("*").alias("texts")).crossJoin(F.broadcast(tf.agg(F.count_distinct("doc_id").alias("all"))))
+    idf = np.zeros(dimensions)
+    for r in df.select("place", F.ln((F.col("all") + 1) / (F.col("texts") + 1)).alias("idf")).collect():  # a row per place
+        idf[r.place] = r.idf
+
+    def weigh(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for part in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
+                place, n = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("place", "n"))
+                of = np.repeat(np.arange(part.num_rows), part.column("place").value_lengths().to_numpy(zero_copy_only=False))
+                w = n * idf[place]
+                size = np.sqrt(np.bincount(of, w * w, part.num_rows))
+                keep = w > 0
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of[keep])), pa.array(place[keep]), pa.array(w[keep] / size[of[keep]])], ["doc_id", "place", "x"])
+
+    return whole.mapInArrow(weigh, f"doc_id {kind}, place long, x double")
 
 
 def compare_batch(variants: DataFrame, score: str, text: str, group: str = "test_id", key: str = "arm_id") -> DataFrame:
