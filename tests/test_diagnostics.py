@@ -80,3 +80,25 @@ def test_features_of_rated_words(spark):
 def test_norms_need_three_ratings(spark):
     raw = spark.createDataFrame([("Cat ", "7.12345", "3", "5", "4"), ("dog", "x", "3", "5", "4"), ("", "1", "1", "1", "1"), ("sun", "1", "2", "3", None)], "word string, valence string, arousal string, dominance string, concreteness string")
     assert sorted((r.word, r.valence, r.concreteness) for r in L.read_norms(raw).collect()) == [("cat", 7.123, 4.0), ("sun", 1.0, None)]
+
+
+def test_allocation_by_plain_draws_whatever_the_groups(spark):
+    import hashlib
+    import math
+
+    rows = [(t, ("arm é " if a % 3 else "x" * 50) + "y" * a, 100 + 10 * a, (7 * a + t) % 20) for t in (1, 2, 12345) for a in range(9)] + [(3, "only", 10, 1)]
+    h = lambda k, s: int(hashlib.md5(f"{k}|{s}".encode()).hexdigest()[:13], 16) / 2**52
+    wins: dict = {}
+    for d in range(1, 121):
+        best: dict = {}
+        for t, a, n, c in rows:
+            al, be = 0.5 + c, 39.5 + n - c
+            k = f"{t}/{a}/{d}"
+            v = al / (al + be) + math.sqrt(al * be / ((al + be) ** 2 * (al + be + 1))) * math.sqrt(-2 * math.log(max(h(k, 21), 1e-12))) * math.cos(2 * math.pi * h(k, 22))
+            best[t] = max(best.get(t, (-1, "")), (round(min(1, max(0, v)), 12), a))
+        for t, (_, a) in best.items():
+            wins[t, a] = wins.get((t, a), 0) + 1
+    arms = spark.createDataFrame(rows, "test_id long, arm_id string, impressions long, clicks long")
+    for part in (4096, 2):
+        got = {(r.test_id, r.arm_id): round(r.share * 120) for r in K.allocate(arms, 120, part=part).collect()}
+        assert got == {(t, a): wins.get((t, a), 0) for t, a, _, _ in rows}

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from trialworks.functions import stats as S
 from trialworks.functions import text as X
+from trialworks.functions.hashing import hash01_draws
+from trialworks.storage import written
 
 
 def validate_request(variants: Column) -> Column:
@@ -56,11 +58,14 @@ def ridge(df: DataFrame, features: list[str], y: str, penalty: float = 1.0) -> n
     return np.linalg.solve(gram + penalty * np.eye(n), np.array([sums[f"y{i}"] or 0.0 for i in range(n)], float))
 
 
-def allocate(arms: DataFrame, draws: int = 2000, strength: float = 40.0, base: float = 0.0125, score: str | None = None) -> DataFrame:
+def allocate(arms: DataFrame, draws: int = 2000, strength: float = 40.0, base: float = 0.0125, score: str | None = None, part: int = 4096) -> DataFrame:
     """(test_id, arm_id, share): how often an arm has the best rate over draws from its posterior.
 
     Rates start from ``base``, tilted by the softmax of the arms' standardised scores where ``score`` names a column, and
     weigh as ``strength`` impressions. A draw is a normal one with the posterior's mean and variance, from hashed numbers.
+
+    Draws are made where an experiment's arms lie, ``part`` arms of it at most a group, and only the winners leave: as
+    counts, or a winner a draw where an experiment has several groups.
     """
     w = Window.partitionBy("test_id")
     rate = F.lit(base)
@@ -73,12 +78,63 @@ def allocate(arms: DataFrame, draws: int = 2000, strength: float = 40.0, base: f
     a = a.withColumn("rate", rate).select("test_id", "arm_id", (F.col("rate") * strength + F.col("clicks")).alias("alpha"), ((1 - F.col("rate")) * strength + F.col("impressions") - F.col("clicks")).alias("beta"))
     n = F.col("alpha") + F.col("beta")
     a = a.select("test_id", "arm_id", (F.col("alpha") / n).alias("mean"), F.sqrt(F.col("alpha") * F.col("beta") / (n * n * (n + 1))).alias("sd"))
-    d = a.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    key = F.concat_ws("/", F.col("test_id").cast("string"), F.col("arm_id").cast("string"), F.col("draw").cast("string"))
-    u = F.sqrt(-2 * F.ln(F.greatest(S.hash01(key, 21), F.lit(1e-12)))) * F.cos(2 * np.pi * S.hash01(key, 22))
-    value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("mean") + F.col("sd") * u))
-    best = d.groupBy("test_id", "draw").agg(F.max_by("arm_id", F.struct(F.round(value, 12), F.col("arm_id"))).alias("arm_id"))
-    wins = best.groupBy("test_id", "arm_id").agg(F.count("*").alias("wins"))
+    a = written(a, "posteriors")
+    key = F.concat_ws("/", F.col("test_id").cast("string"), F.col("arm_id").cast("string")).cast("binary")
+    d = a.select("test_id", "arm_id", key.alias("key"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "sd")], F.ceil(F.count("*").over(w) / part).alias("parts"))
+    d = d.withColumn("part", F.pmod(F.xxhash64("arm_id"), F.col("parts")))
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed: the work is in the draws, not in the rows
+    d = d.repartition(tasks, "test_id", "part").sortWithinPartitions("test_id", "part", F.desc("arm_id"))  # of equal draws the larger id wins
+
+    def winners(batches):
+        import pyarrow as pa
+
+        names, at_once, group, best = ["test_id", "arm_id", "draw", "value", "wins"], max(1, 1_000_000 // draws), None, None
+        none = lambda n, kind: pa.nulls(n, kind)
+
+        def done():
+            test, parts, value, arm = best
+            if parts == 1:
+                of: dict = {}
+                for x in arm:
+                    of[x] = of.get(x, 0) + 1
+                n = len(of)
+                return [[test] * n, list(of), none(n, pa.int32()), none(n, pa.float64()), pa.array(of.values(), pa.int64())]
+            return [[test] * draws, list(arm), pa.array(range(draws), pa.int32()), pa.array(value), none(draws, pa.int64())]
+
+        def packed(found):
+            cols = list(zip(*found))
+            flat = [pa.array([x for c in cols[i] for x in c], kinds[i]) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*flat, *[pa.concat_arrays(c) for c in cols[2:]]], names)
+
+        for whole in batches:
+            kinds = [whole.schema.field(n).type for n in names[:2]]
+            for b in (whole.slice(i, at_once) for i in range(0, whole.num_rows, at_once)):
+                keys, found = b.column("key").to_pylist(), []
+                u = np.sqrt(-2 * np.log(np.maximum(hash01_draws(keys, draws, 21), 1e-12))) * np.cos(2 * np.pi * hash01_draws(keys, draws, 22))
+                value = b.column("mean").to_numpy()[:, None] + b.column("sd").to_numpy()[:, None] * u
+                value = np.round(np.where(np.isnan(value), 1.0, np.clip(value, 0.0, 1.0)), 12)
+                arms = np.array(b.column("arm_id").to_pylist() + [None], object)[:-1]
+                groups, parts = list(zip(b.column("test_id").to_pylist(), b.column("part").to_pylist())), b.column("parts").to_pylist()
+                starts = [i for i in range(len(groups)) if not i or groups[i] != groups[i - 1]]
+                for i, j in zip(starts, [*starts[1:], len(groups)]):
+                    top = value[i:j].argmax(0)
+                    high, arm = value[i:j][top, np.arange(draws)], arms[i:j][top]
+                    if best is not None and groups[i] == group:
+                        more = high > best[2]
+                        high, arm = np.where(more, high, best[2]), np.where(more, arm, best[3])
+                    elif best is not None:
+                        found.append(done())
+                    group, best = groups[i], (groups[i][0], parts[i], high, arm)
+                if found:
+                    yield packed(found)
+        if best is not None:
+            yield packed([done()])
+
+    kind = {f.name: f.dataType.simpleString() for f in a.schema}
+    won = written(d.mapInArrow(winners, f"test_id {kind['test_id']}, arm_id {kind['arm_id']}, draw int, value double, wins long"), "winners")
+    best = won.where("draw is not null").groupBy("test_id", "draw").agg(F.max(F.struct("value", "arm_id")).alias("b"))
+    wins = won.where("draw is null").select("test_id", "arm_id", "wins").unionByName(best.select("test_id", F.col("b.arm_id").alias("arm_id"), F.lit(1).cast("long").alias("wins")))
+    wins = wins.groupBy("test_id", "arm_id").agg(F.sum("wins").alias("wins"))
     return a.select("test_id", "arm_id").join(wins, ["test_id", "arm_id"], "left").select("test_id", "arm_id", (F.coalesce("wins", F.lit(0)) / F.lit(draws)).alias("share"))
 
 
