@@ -148,3 +148,19 @@ def test_ingest_cut_off_between_files_ends_with_the_same_rows(spark, tmp_path, m
     assert B.committed(spark, path, "rows", schema).count() < 3
     D.ingest_stream(source(spark, tmp_path / "in", schema), path, "id").awaitTermination()
     assert sorted(r.id for r in B.committed(spark, path, "rows", schema).collect()) == [1, 2, 3]
+
+
+def test_outcomes_by_trigger_are_those_kept_by_state(spark, tmp_path):
+    put(spark, tmp_path / "in", [(1, 0, at(0)), (1, 1, at(1)), (2, 1, at(24)), (None, 1, at(25)), (5, 1, at(30)), (5, 0, at(30))], OUTCOME)
+    put(spark, tmp_path / "in", [(1, 1, at(48)), (3, 0, at(50)), (None, 0, at(51))], OUTCOME)
+    put(spark, tmp_path / "in", [(4, 0, at(24 * 40))], OUTCOME)  # the watermark passes the others' periods
+    put(spark, tmp_path / "in", [(1, 1, at(24 * 41))], OUTCOME)  # a first one again
+    kept, once = str(tmp_path / "kept"), str(tmp_path / "once")
+    for _ in range(2):  # the second start finds nothing new
+        D.kept_outcomes(source(spark, tmp_path / "in", OUTCOME), kept).awaitTermination()
+        D.first_outcomes(source(spark, tmp_path / "in", OUTCOME), once).awaitTermination()
+    got = sorted((r.id or 0, r.kind, r.actual) for r in B.committed(spark, kept, "outcomes", D.KINDS).collect())
+    want = [(0, "accepted", 1), (0, "rejected", 0), (0, "swept", 1), (1, "accepted", 0), (1, "accepted", 1), (1, "rejected", 1), (1, "rejected", 1), (1, "swept", 0), (2, "accepted", 1), (2, "swept", 1)]
+    assert got == want + [(3, "accepted", 0), (3, "swept", 0), (4, "accepted", 0), (5, "accepted", 0), (5, "rejected", 1), (5, "swept", 0)]
+    got = sorted((r.id or 0, r.accepted, r.actual) for r in B.committed(spark, once, "outcomes", D.ONCE).collect())
+    assert got == [(0, False, 0), (0, True, 1), (1, False, 1), (1, False, 1), (1, False, 1), (1, True, 0), (2, True, 1), (3, True, 0), (4, True, 0), (5, False, 1), (5, True, 0)]

@@ -20,6 +20,8 @@ from trialworks.plans.fixtures import VIEWS, sql, view
 from trialworks.plans.registry import _ORACLES, LABELLED, PAIRS, duck_hash01, labelled, labelled_arms, query, table
 from trialworks.sources import readers as R
 from trialworks.storage import shared_dir, written
+from trialworks.streaming import batches as B
+from trialworks.streaming import decisions as D
 from trialworks.streaming import jobs as J
 
 
@@ -66,7 +68,9 @@ def stream_resolved(spark, d):
 select id, actual, k = 1 as accepted, count(*) as n from o group by all""")
 def stream_write_once(spark, d):
     o = stream(spark, d, "orders").select(F.col("o_custkey").alias("id"), (F.col("o_orderkey") % 2).cast("int").alias("actual"), F.col("o_orderdate").alias("resolved_at"))
-    return J.settled(J.write_once(o), "write-once").groupBy("id", "actual", "accepted").agg(F.count("*").alias("n"))
+    path = f"{shared_dir(spark)}/write-once-{uuid.uuid4().hex}"
+    D.first_outcomes(o, path).awaitTermination()
+    return B.committed(spark, path, "outcomes", D.ONCE).groupBy("id", "actual", "accepted").agg(F.count("*").alias("n"))
 
 
 def tenants(spark, d):

@@ -55,8 +55,9 @@ r as (select id, actual, case when k = 1 then 'accepted' else 'rejected' end as
 select id, actual, kind, count(*) as n from r group by all""")
 def stream_expiring_outcomes(spark, d):
     o = stream(spark, d, "orders").select(F.col("o_custkey").alias("id"), (F.col("o_orderkey") % 2).alias("actual"), F.col("o_orderdate").cast("timestamp").alias("resolved_at"))
-    with D.on_rocksdb(spark):
-        return J.settled(D.expiring_outcomes(o), "expiring").groupBy("id", "actual", "kind").agg(F.count("*").alias("n"))
+    path = folder(spark, "expiring")
+    D.kept_outcomes(o, path).awaitTermination()
+    return B.committed(spark, path, "outcomes", D.KINDS).groupBy("id", "actual", "kind").agg(F.count("*").alias("n"))
 
 
 @query("select o_orderkey % 50 = 0 as held, count(*) as n, sum(o_orderkey)::bigint as keys from orders group by all")

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from trialworks.functions import stats as S
 from trialworks.operators.privacy import quarantine
 from trialworks.operators.ranking import allocate, should_stop
-from trialworks.streaming.batches import commit, committed
+from trialworks.storage import remove, written
+from trialworks.streaming.batches import commit, committed, done
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COUNTERS = "test_id long, arm long, impressions long, clicks long"
@@ -148,6 +149,58 @@ def expiring_outcomes(outcomes: DataFrame, days: int = 30, late: str = "1 day")
     return o.groupBy("id").transformWithStateInPandas(_Expiring(days * 86_400_000), "id long, actual int, kind string", "append", "EventTime")
 
 
+def _firsts(batch: DataFrame, kept: DataFrame, time: str) -> DataFrame:
+    """A trigger's rows with first: the earliest of an id that is not in ``kept``, ties to the smaller value, nulls last."""
+    w = Window.partitionBy("id").orderBy(F.asc_nulls_last(time), F.asc_nulls_last("actual"))
+    there = kept.select(F.col("id").alias("there"), F.lit(True).alias("known"))
+    rows = batch.withColumn("k", F.row_number().over(w)).join(there, F.col("id").eqNullSafe(F.col("there")), "left")
+    return rows.withColumn("first", (F.col("k") == 1) & F.col("known").isNull()).drop("k", "there", "known")
+
+
+ONCE = "id long, actual int, accepted boolean"
+
+
+def first_outcomes(outcomes: DataFrame, path: str):
+    """What :func:`jobs.write_once` tells, for triggers that bring many predictions: each is one sort and one join with what
+    earlier triggers accepted, instead of a call of Python per prediction. Rows (ONCE) are in ``path``/outcomes."""
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        o = batch.select(F.col("id").cast("long").alias("id"), F.col("actual").cast("int").alias("actual"), "resolved_at")
+        kept = committed(batch.sparkSession, path, "outcomes", ONCE, epoch).where("accepted")
+        commit(path, epoch, {"outcomes": _firsts(o, kept, "resolved_at").select("id", "actual", F.col("first").alias("accepted"))})
+
+    return outcomes.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
+
+
+KEPT, KINDS = "id long, actual int, resolved_ms long", "id long, actual int, kind string"
+
+
+def kept_outcomes(outcomes: DataFrame, path: str, days: int = 30, late_s: int = 86_400):
+    """What :func:`expiring_outcomes` tells, for triggers that bring many predictions: each is a sort and a join with the
+    outcomes kept, which it writes anew, so they are those of the period and no more. Rows (KINDS) are in ``path``/outcomes.
+
+    A trigger ends by sweeping those whose period the latest time of all rows so far, less ``late_s``, has passed. A row
+    that comes late is not dropped: it is rejected, or, where nothing is kept, accepted and swept as any other.
+    """
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        o = batch.select(F.col("id").cast("long").alias("id"), F.col("actual").cast("int").alias("actual"), F.unix_millis(F.col("resolved_at").cast("timestamp")).alias("resolved_ms"))
+        last = max(done(spark, path, epoch), default=-1)
+        kept = committed(spark, path, "kept", KEPT, epoch).where(F.col("epoch") == last).drop("epoch")
+        rows = written(_firsts(o, kept, "resolved_ms"), "outcomes")
+        times = [t for t in (rows.agg(F.max("resolved_ms")).first()[0], committed(spark, path, "latest", "latest long", epoch).agg(F.max("latest")).first()[0]) if t is not None]
+        latest = max(times, default=None)
+        state = kept.unionByName(rows.where("first").select("id", "actual", "resolved_ms"))
+        over = F.coalesce(F.col("resolved_ms") + days * 86_400_000 <= F.lit(None if latest is None else latest - late_s * 1000).cast("long"), F.lit(False))
+        told = rows.select("id", "actual", F.when(F.col("first"), "accepted").otherwise("rejected").alias("kind"))
+        swept = state.where(over).select("id", "actual", F.lit("swept").alias("kind"))
+        commit(path, epoch, {"outcomes": told.unionByName(swept), "kept": state.where(~over), "latest": spark.range(1).select(F.lit(latest).cast("long").alias("latest"))})
+        remove(rows)
+
+    return outcomes.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
+
+
 class on_rocksdb:
     """For ``with``: streams that start inside keep their state in RocksDB, which state with timers needs."""
 
