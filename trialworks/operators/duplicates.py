@@ -28,13 +28,22 @@ def shingle_set(t: str, k: int = 5) -> set[str]:
 
 def similarities(x, y, k: int) -> list[float]:
     """Of each pair of texts. One pair's sets are held at a time: those of a whole batch take gigabytes."""
-    out, last, s = [], None, set()
+    import numpy as np
+
+    from trialworks.functions.shingles import codes
+
+    out, last, s = [], None, None
     for p, q in zip(x, y):
         if p != last:
-            last, s = p, shingle_set(p, k)
-        t = shingle_set(q, k)
-        both = len(s & t)
-        out.append(both / max(1, len(s) + len(t) - both))
+            last, s = p, codes(p, k)
+        t = codes(q, k)
+        if s is None or t is None:
+            s_, t_ = shingle_set(p, k), shingle_set(q, k)
+            both, n = len(s_ & t_), len(s_) + len(t_)
+        else:
+            all_ = np.sort(np.concatenate([s, t]))
+            both, n = int((all_[1:] == all_[:-1]).sum()), len(all_)
+        out.append(both / max(1, n - both))
     return out
 
 
@@ -65,23 +74,12 @@ def sketch(t: Column, n: int = 64, k: int = 5) -> Column:
 
     @F.pandas_udf("m array<long>, size long, bins binary")
     def run(texts):
-        import zlib
-
-        import numpy as np
         import pandas as pd
 
-        a, b = (np.array(x, np.int64)[:, None] for x in zip(*params))
-        out = []
-        for text in texts:
-            crc = np.fromiter((zlib.crc32(s.encode()) for s in shingle_set(text, k)), np.int64)
-            h = crc % PRIME
-            parts = [((a * h[i : i + 4096] + b) % PRIME).min(1) for i in range(0, len(h), 4096)]
-            size = 1 << max(3, (len(h) // 8).bit_length())
-            counts = np.bincount(crc & (size - 1), minlength=size)
-            held = np.minimum(counts, 255)
-            bins = np.array([counts.sum() - held.sum()], "<u8").tobytes() + held.astype(np.uint8).tobytes()
-            out.append((np.min(parts, 0) if parts else np.zeros(n, np.int64), len(h), bins))
-        return pd.DataFrame(out, columns=["m", "size", "bins"])
+        from trialworks.functions.shingles import sketches
+
+        m, size, bins = sketches([t.encode() for t in texts], params, k)
+        return pd.DataFrame({"m": list(m), "size": size, "bins": bins})
 
     return run(t)
 
@@ -97,38 +95,87 @@ def most_shared(a: bytes, b: bytes) -> int:
 
 
 def _sketched(docs: DataFrame, n: int, bands: int, k: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
-    """(id, t, size, bins) of each class of equal loose texts, named by its least id, and (id, size, key), a row per band."""
-    rows = docs.select(F.col(doc_id).alias("id"), X.norm_loose(F.col(text)).alias("t")).where("t <> ''").groupBy("t").agg(F.min("id").alias("id"))
-    sets = written(rows.select("id", "t", sketch(F.col("t"), n, k).alias("s")).select("id", "t", "s.*"), "sketches")
-    per = n // bands
-    keys = F.array(*[F.xxhash64(F.lit(i), F.slice("m", i * per + 1, per)) for i in range(bands)])
-    return sets.select("id", "t", "size", "bins"), sets.select("id", "size", F.explode(keys).alias("key"))
+    """(id, row, t, digest) of each document, ``t`` its loose text and ``digest`` the hash of it, null for none; and
+    (digest, row, id, size, bins, keys) of each class of equal loose texts, named by its least id and standing at a row of it."""
+    params, per = hash_parameters(n), n // bands
 
+    def run(batches):
+        from hashlib import blake2b
 
-def _fits(a: Column, b: Column, similarity: float) -> Column:
-    """False only for sizes at which no two sets reach ``similarity``."""
-    return F.least(a, b) + 1e-6 >= F.greatest(a, b) * similarity
+        import pyarrow as pa
 
+        from trialworks.functions.shingles import loose, sketches
 
-def _may_reach(a: Column, b: Column, x: Column, y: Column, similarity: float) -> Column:
-    """False only for sizes ``a``, ``b`` and bins ``x``, ``y`` at which no two sets reach ``similarity``."""
+        for whole in batches:
+            for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                texts = loose(b.column("t"))
+                m, size, bins = sketches(texts, params, k)
+                m = pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), n).cast(pa.list_(pa.int64()))
+                columns = [b.column("id"), b.column("row"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array([blake2b(t, digest_size=16).digest() if t else None for t in texts], pa.binary()), m, pa.array(size), pa.array(bins, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "row", "t", "digest", "m", "size", "bins"])
+
+    rows = docs.select(F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("row"), F.lower(F.col(text)).alias("t"))
+    kind = rows.schema["id"].dataType.simpleString()
+    rows = rows.mapInArrow(run, f"id {kind}, row long, t string, digest binary, m array<long>, size long, bins binary")
+    keys = F.array(*[F.xxhash64(F.lit(i), F.slice("m", i * per + 1, per)) for i in range(bands)])
+    rows = written(rows.select("id", "row", "t", "digest", "size", "bins", keys.alias("keys")), "sketches")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")
+    same = [F.first(c).alias(c) for c in ("size", "bins", "keys")]  # they depend on the text alone
+    classes = rows.where("digest is not null").groupBy("digest").agg(least, *same)
+    return rows.select("id", "row", "t", "digest"), written(classes.select("digest", "least.row", "least.id", "size", "bins", "keys"), "classes")
 
-    @F.pandas_udf("boolean")
-    def run(a, b, x, y):
-        import pandas as pd
 
-        most = [(most_shared(p, q), m + n) for m, n, p, q in zip(a, b, x, y)]
-        return pd.Series([i + 1e-6 >= (both - i) * similarity for i, both in most], dtype="bool")
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(key, row, size, c, hub) of the classes in each bucket of ``c`` > 1; ``hub`` is one of them."""
+    hits = classes.where("id is not null").select("row", "size", F.explode("keys").alias("key"))
+    return hits.join(hits.groupBy("key").agg(F.count("*").alias("c"), F.min("row").alias("hub")).where("c > 1"), "key")
 
-    return _fits(a, b, similarity) & run(a, b, x, y)
 
+def _meeting(hits: DataFrame, similarity: float, block: int = 4096) -> DataFrame:
+    """(a, b), a < b, of all rows of a bucket that may reach ``similarity`` by their sizes and bins (:func:`most_shared`),
+    differ in ``label``, and of which at least one has ``meet``. ``hits``: key, c, row, size, bins, label, meet.
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, k: int) -> DataFrame:
-    t = sets.select("id", "t")
-    found = pairs.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b").withColumn("similarity", jaccard(F.col("ta"), F.col("tb"), k))
+    A bucket's rows are compared where they lie, as arrays; a bucket of more than ``block`` rows is cut into blocks, and
+    each two of them meet in a group of their own.
+    """
+    parts = F.ceil(F.col("c") / block).cast("int")
+    d = hits.withColumn("own", F.pmod(F.xxhash64("row"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    d = d.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "row", "size", "bins", "label", "meet")
+    tasks = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed: the work grows with a bucket's square
+    d = d.repartition(tasks, "key", "p", "q").sortWithinPartitions("key", "p", "q", "size")
+
+    def run(batches):
+        import pyarrow as pa
+
+        from trialworks.functions.shingles import Bucket
+
+        held = None
+        for b in (b for b in batches if b.num_rows):
+            t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
+            at = Bucket.starts(t)[-1]  # the last group may go on
+            if at:
+                yield from Bucket(t.slice(0, at), similarity).pairs()
+            held = t.slice(at)
+        if held is not None:
+            yield from Bucket(held, similarity).pairs()
+
+    return d.mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, similarity: float, k: int) -> DataFrame:
+    """(a, b, similarity) of the pairs of rows that reach it."""
+    t = rows.select("row", "t")
+    found = pairs.join(t.toDF("b", "tb"), "b").join(t.toDF("a", "ta"), "a").withColumn("similarity", jaccard(F.col("ta"), F.col("tb"), k))
     return found.where(F.col("similarity") >= similarity).select("a", "b", "similarity")
 
 
+def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs with ids in place of rows, the lesser first."""
+    ids = classes.select("row", "id")
+    p = pairs.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b")
+    return p.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *[c for c in pairs.columns if c not in ("a", "b")])
+
+
 def near_duplicate_pairs(docs: DataFrame, similarity: float = 0.8, n: int = 64, bands: int = 16, k: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(a, b, similarity) of all pairs of distinct loose texts that share a band bucket and verify, a < b.
 
@@ -136,49 +183,36 @@ def near_duplicate_pairs(docs: DataFrame, similarity: float = 0.8, n: int = 64,
     bins rule the similarity out, so the pairs of a group of near copies grow with its square, as the result does;
     :func:`near_duplicate_clusters` closes the same links without making them all.
     """
-    sets, hits = _sketched(docs, n, bands, k, text, doc_id)
-    shared = hits.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    hits = written(hits.join(shared, "key").join(sets.select("id", "bins"), "id").select("id", "size", "key", "bins"), "buckets")
-    a, b = hits.toDF("a", "size_a", "key", "bins_a"), hits.toDF("b", "size_b", "key", "bins_b")
-    may = _may_reach(*(F.col(c) for c in ("size_a", "size_b", "bins_a", "bins_b")), similarity)
-    pairs = a.join(b, "key").where(F.col("a") < F.col("b")).where(may).select("a", "b").distinct()
-    return _verified(written(pairs, "pairs"), sets, similarity, k)
+    rows, classes = _sketched(docs, n, bands, k, text, doc_id)
+    hits = _buckets(classes).join(classes.select("row", "bins"), "row").select("key", "c", "row", "size", "bins", F.col("row").alias("label"), F.lit(True).alias("meet"))
+    return _named(_verified(written(_meeting(hits, similarity), "pairs"), rows, similarity, k), classes)
 
 
-def near_duplicate_links(docs: DataFrame, similarity: float = 0.8, n: int = 64, bands: int = 16, k: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def _links(rows: DataFrame, classes: DataFrame, similarity: float, k: int) -> DataFrame:
     """(a, b) with the same components as the pairs of :func:`near_duplicate_pairs`.
 
-    First a bucket's members meet its least one only, and the links found are closed. Then, in buckets whose members
-    are still in several components, the members outside the largest one meet those of other components; the rest of
-    the pairs would link texts that are together already. No bucket is capped.
+    First a bucket's members meet one of them only, its hub, and the links found are closed. Then, in buckets whose
+    members are still in several components, the members outside the largest one meet those of other components; the
+    rest of the pairs would link texts that are together already. No bucket is capped.
     """
-    sets, hits = _sketched(docs, n, bands, k, text, doc_id)
-    bins = sets.select("id", "size", "bins")
-    hubs = hits.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "size")).alias("hub")).where("c > 1")
-    hits = written(hits.join(hubs, "key"), "buckets")
-    star = hits.where(F.col("id") != F.col("hub.id")).where(_fits(F.col("size"), F.col("hub.size"), similarity)).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-    star = star.join(bins.toDF("a", "size_a", "bins_a"), "a").join(bins.toDF("b", "size_b", "bins_b"), "b")
-    star = written(star.where(_may_reach(*(F.col(c) for c in ("size_a", "size_b", "bins_a", "bins_b")), similarity)).select("a", "b"), "stars")
-    links = written(_verified(star, sets, similarity, k).select("a", "b"), "links")
-    component = connected_components(links, "a", "b")
-    named = hits.join(component, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("label"))
+    bins = classes.select("row", "bins")
+    hits = written(_buckets(classes), "buckets")
+    star = hits.join(bins, "row").select("key", "c", "row", "size", "bins", F.col("row").alias("label"), (F.col("row") == F.col("hub")).alias("meet"))
+    star = written(_meeting(star, similarity), "stars")
+    links = written(_verified(star, rows, similarity, k).select("a", "b"), "links")
+    component = connected_components(links, "a", "b").withColumnRenamed("id", "row")
+    named = written(hits.join(component, "row", "left").select("key", "c", "row", "size", F.coalesce("component", "row").alias("label")), "labels")
     several = named.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("m", "label"))["label"].alias("largest")).where("labels > 1")
-    open_ = written(named.join(several.select("key", "largest"), "key").join(sets.select("id", "bins"), "id"), "open-buckets")
-    x, y = open_.where("label <> largest").alias("x"), open_.alias("y")
-    once = (F.col("y.label") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & _fits(F.col("x.size"), F.col("y.size"), similarity))
-    pairs = pairs.where(_may_reach(*(F.col(c) for c in ("x.size", "y.size", "x.bins", "y.bins")), similarity))
-    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    return links.unionByName(_verified(written(pairs, "pairs"), sets, similarity, k).select("a", "b"))
+    open_ = named.join(several.select("key", "largest"), "key").join(bins, "row").select("key", "c", "row", "size", "bins", "label", (F.col("label") != F.col("largest")).alias("meet"))
+    pairs = written(_meeting(open_, similarity).join(star, ["a", "b"], "left_anti"), "pairs")
+    return _named(links.unionByName(_verified(pairs, rows, similarity, k).select("a", "b")), classes)
 
 
-def near_duplicate_clusters(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+def near_duplicate_clusters(docs: DataFrame, similarity: float = 0.8, n: int = 64, bands: int = 16, k: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(id, component) over all rows: near-duplicate links closed, copies of a class included, single rows too."""
-    key = X.norm_loose(F.col(text))
-    named = docs.select(F.col(doc_id).alias("id"), key.alias("t"))
-    least = named.where("t <> ''").groupBy("t").agg(F.min("id").alias("rep"))
-    named = named.join(least, "t", "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    component = connected_components(near_duplicate_links(docs, text=text, doc_id=doc_id, **options), "a", "b")
+    rows, classes = _sketched(docs, n, bands, k, text, doc_id)
+    component = connected_components(_links(rows, classes, similarity, k), "a", "b")
+    named = rows.select("id", "digest").join(classes.select("digest", F.col("id").alias("rep")), "digest", "left").select("id", F.coalesce("rep", "id").alias("rep"))
     return named.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
 
 
