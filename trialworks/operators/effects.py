@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,14 +126,15 @@ def decidability(arms: DataFrame) -> DataFrame:
     return out.withColumn("decidable", F.coalesce(F.col("shortfall") == 0, F.lit(False)))
 
 
-def build_pairs(arms: DataFrame, min_gap: float = 0.05, vector: str | None = None, most: int = MOST_PAIRS) -> DataFrame:
+def build_pairs(arms: DataFrame, min_gap: float = 0.05, vector: str | None = None, most: int = MOST_PAIRS, scores: Sequence[str] = ()) -> DataFrame:
     """Winner and loser of every comparable pair of an experiment: target gap of at least ``min_gap``, different copy.
 
     ``vector`` names a feature array: pairs whose arrays are equal are left out, too. The number of pairs is the sum of
     squared experiment sizes by definition; an experiment with more than ``most`` is an error, and :func:`pair_budget`
-    tells which.
+    tells which. ``scores`` names columns that a pair takes along from both arms, as {name}_hi and {name}_lo: joined
+    to the pairs afterwards (:func:`evaluate.score_pairs`), they would move all of them.
     """
-    columns = ["arm_id", "copy_text", "target", "weight", *([vector] if vector else [])]
+    columns = ["arm_id", "copy_text", "target", "weight", *([vector] if vector else []), *scores]
     arms = within_budget(arms.select("test_id", *columns), ["test_id"], most)
     side = lambda a: arms.select("test_id", *[F.col(c).alias(f"{c}_{a}") for c in columns])
     both = side("a").join(side("b"), "test_id").where("arm_id_a < arm_id_b and copy_text_a <> copy_text_b")
@@ -140,7 +143,8 @@ def build_pairs(arms: DataFrame, min_gap: float = 0.05, vector: str | None = Non
     gap, first = F.abs(F.col("target_a") - F.col("target_b")), F.col("target_a") > F.col("target_b")
     pick = lambda c, x, y: F.when(first, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))
     harmonic = 2 / (1 / F.col("weight_a") + 1 / F.col("weight_b"))
-    return both.where(gap >= min_gap).select("test_id", pick("arm_id", "a", "b").alias("hi_id"), pick("arm_id", "b", "a").alias("lo_id"), gap.alias("gap"), harmonic.alias("pair_weight"))
+    taken = [pick(c, *sides).alias(f"{c}_{name}") for c in scores for name, sides in (("hi", "ab"), ("lo", "ba"))]
+    return both.where(gap >= min_gap).select("test_id", pick("arm_id", "a", "b").alias("hi_id"), pick("arm_id", "b", "a").alias("lo_id"), gap.alias("gap"), harmonic.alias("pair_weight"), *taken)
 
 
 def pair_budget(arms: DataFrame, limit: int) -> DataFrame:
