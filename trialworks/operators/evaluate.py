@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialworks.operators.ranks import quantiles
-from trialworks.storage import written
+from trialworks.operators.ranks import narrowed_quantiles
 
 
 def score_pairs(pairs: DataFrame, scores: DataFrame, name: str = "score") -> DataFrame:
@@ -49,14 +48,16 @@ def strict_accuracy(pairs: DataFrame, name: str = "score", min_gap: float = 0.10
 def accuracy_at_coverage(pairs: DataFrame, coverages: list[float], name: str = "score") -> DataFrame:
     """Clustered accuracy when only the most confident share of pairs is answered; one row per coverage.
 
-    Thresholds are exact linear quantiles of the margins, from counts in ranges of the margin; the scored pairs are made once.
+    Thresholds are exact linear quantiles of the margins. The pairs are neither moved nor written but made again on each
+    pass, so they should be cheap to make: from written arms, with the scores taken along (:func:`effects.build_pairs`).
     """
-    p = written(pairs.select("test_id", margin(name).alias("m"), win(name).alias("w")), "scored")
-    cuts = [0.0 if c >= 1.0 else cut for c, cut in zip(coverages, quantiles(p, "m", [1.0 - c for c in coverages]))]
-    steps = F.array(*[F.struct(F.lit(float(c)).alias("target"), F.lit(cut).cast("double").alias("threshold")) for c, cut in zip(coverages, cuts)])
-    kept = p.withColumn("step", F.explode(F.filter(steps, lambda s: F.col("m") >= s["threshold"]))).select("*", "step.*", F.lit(p.count()).alias("n_all"))
-    per = kept.groupBy("target", "threshold", "n_all", "test_id").agg(F.avg("w").alias("x"), F.count("*").alias("k"))
-    out = per.groupBy("target", "threshold", "n_all").agg(F.avg("x").alias("accuracy"), F.sum("k").alias("n_pairs"), F.coalesce(F.stddev_samp("x") / F.sqrt(F.count("*")), F.lit(0.0)).alias("se"))
+    p = pairs.select("test_id", margin(name).alias("m"), win(name).alias("w"))
+    cuts = [0.0 if c >= 1.0 else cut for c, cut in zip(coverages, narrowed_quantiles(p, "m", [1.0 - c for c in coverages]))]
+    kept = [F.col("m") >= F.lit(cut).cast("double") for cut in cuts]
+    per = p.groupBy("test_id").agg(F.count("*").alias("all"), *[c for i, k in enumerate(kept) for c in (F.avg(F.when(k, F.col("w"))).alias(f"x{i}"), F.count_if(k).alias(f"k{i}"))])
+    steps = F.array(*[F.struct(F.lit(float(c)).alias("target"), F.lit(cut).cast("double").alias("threshold"), F.col(f"x{i}").alias("x"), F.col(f"k{i}").alias("k")) for i, (c, cut) in enumerate(zip(coverages, cuts))])
+    steps = per.select("all", F.explode(steps).alias("s")).select("all", "s.*")
+    out = steps.groupBy("target", "threshold").agg(F.sum("all").alias("n_all"), F.avg("x").alias("accuracy"), F.sum("k").alias("n_pairs"), F.coalesce(F.stddev_samp("x") / F.sqrt(F.count("x")), F.lit(0.0)).alias("se")).where("n_pairs > 0")
     return out.select("target", "threshold", (F.col("n_pairs") / F.col("n_all")).alias("coverage"), "accuracy", (F.col("accuracy") - 1.96 * F.col("se")).alias("lo"), (F.col("accuracy") + 1.96 * F.col("se")).alias("hi"), "n_pairs")
 
 
